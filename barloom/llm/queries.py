@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality
+from . import bpe, chat, common, mixing, quality, repair, secrets
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -20,7 +21,65 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.measure(docs, model).select("doc_id", "__q.n_words", "__q.word_chars", "__q.n_symbols", "__q.n_dup_lines", "__q.n_repeat_words", "__q.base_failed", "__q.kept", "__q.score")
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op3_repair_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{common.shared_dir(spark)}/barloom-{uuid.uuid4().hex}/tokens"
+    repair.write(read(spark, sf_dir, "documents"), path, tokenizer_path())
+    return repair.read(spark, path, digest=True)
+
+
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode(read(spark, sf_dir, "documents"), tokenizer_path(), digest=True)
+
+
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find(read(spark, sf_dir, "documents"))
+
+
+def op10_chat_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.collapse(read(spark, sf_dir, "conversations"))
+
+
+OP2_SQL = """
+WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+r AS (SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS w,
+  source_size * 2.0::DOUBLE AS cap, (SELECT sum(source_size) FROM s) * 150::DOUBLE / 100 AS total FROM s),
+k AS (SELECT *, (total - coalesce(sum(cap) OVER (ORDER BY cap / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0))
+  / sum(w) OVER (ORDER BY cap / w, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM r),
+v AS (SELECT max(level) FILTER (cap / w > level) AS level FROM k),
+t AS (SELECT source, source_size, least(cap, coalesce((SELECT level FROM v), 1e300) * w) AS target FROM r),
+p AS (SELECT d.doc_id, d.size, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0 END AS share,
+  row_number() OVER (PARTITION BY d.source ORDER BY d.size, d.doc_id) AS pos,
+  ('0x' || substr(md5('mix-1/' || coalesce('s:' || d.source, 'null')), 1, 4))::INT::DOUBLE / 65536.0 AS u
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target, CAST(least(floor(share * pos + u) - floor(share * (pos - 1) + u), 2) AS BIGINT) * size AS taken FROM p
+"""
+
+OP10_SQL = """
+WITH t AS (SELECT conv_id, turn, '<|im_start|>' || coalesce(role, '') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10) AS body FROM conversations),
+p AS (SELECT conv_id, row_number() OVER w AS n, count(*) OVER (PARTITION BY conv_id) AS total, string_agg(body, '') OVER w AS prefix
+  FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING)),
+whole AS (SELECT min(conv_id) AS conv_id, n, prefix, count(*) AS n_same FROM p WHERE n = total GROUP BY n, prefix)
+SELECT conv_id, n AS n_turns, n_same, prefix AS rendered FROM whole
+WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.n < p.total AND p.n = whole.n AND p.prefix = whole.prefix)
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_mix_sources": op2_mix_sources,
+    "op3_repair_tokens": op3_repair_tokens,
     "op5_quality_rules": op5_quality_rules,
+    "op6_bpe": op6_bpe,
+    "op9_secrets": op9_secrets,
+    "op10_chat_snapshots": op10_chat_snapshots,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op2_mix_sources": OP2_SQL, "op10_chat_snapshots": OP10_SQL}
