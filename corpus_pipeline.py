@@ -1,11 +1,17 @@
 """A corpus in stages: each takes the documents that the one before kept. Stages are (name, function) pairs; a function
-takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next one's docs."""
+takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next one's docs.
+
+All stages but the last return the columns of documents. Whether clean documents stay: quality rules and near-duplicates
+drop rows, secret scans only change texts, the mix takes each document 0, 1 or 2 times (mixing to targets of 150 % of all
+words), and the last stage encodes what it is given."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from barloom.llm import common, quality
+from barloom.llm import bpe, common, mixing, neardup, quality, secrets
+from barloom.llm.queries import tokenizer_path
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -15,8 +21,34 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).select(*COLUMNS)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays, the one with the smallest id."""
+    gone = neardup.near_duplicates(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("gone"))
+    gone = common.materialize(gone, "gone")  # a small file of ids is broadcast by its size
+    return docs.join(gone, F.col("doc_id") == F.col("gone"), "left_anti").select(*COLUMNS)
+
+
+def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets in the texts are replaced by a mark; n_chars follows."""
+    return secrets.redact(docs).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it."""
+    return mixing.mixed_documents(docs).select(*COLUMNS)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, ids): a row for each copy that the mix took, ids as little-endian unsigned 32-bit integers."""
+    return bpe.encode(docs, tokenizer_path())
+
+
 STAGES = [
     ("quality_rules", quality_rules),
+    ("near_duplicates", near_duplicates),
+    ("secret_scans", secret_scans),
+    ("mix_sources", mix_sources),
+    ("encode", encode),
 ]
 
 #: No SQL: tests compare run() with a brute-force version.
