@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 PIECE = 16_384
 #: First window on either side of a join, in characters.
 MARGIN = 64
-#: Pretokens whose ids a worker remembers.
+#: Pretokens whose ids a worker remembers, and as many older ones.
 REMEMBERED = 400_000
 
 # The letters of the fast pattern, and the contractions of the vocabulary's own pattern.
@@ -53,11 +53,13 @@ class Tokenizer(dict):
         self.library.no_padding()
         self.specials = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self._bytes: list[bytes] | None = None
+        self._older: dict[str, bytes] = {}
 
     def __missing__(self, pretoken: str) -> bytes:
-        if len(self) >= REMEMBERED:
+        if len(self) >= REMEMBERED:  # what is met again is taken over from the older half
+            self._older = dict(self)
             self.clear()
-        found = self[pretoken] = self.whole(pretoken)
+        found = self[pretoken] = self._older.get(pretoken) or self.whole(pretoken)
         return found
 
     def whole(self, text: str) -> bytes:

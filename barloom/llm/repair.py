@@ -57,30 +57,34 @@ def compress(ids: np.ndarray, ends: np.ndarray, vocabulary: int) -> tuple[Gramma
             break
         a, b = seq[:-1], seq[1:]
         slot = ((a * np.uint32((2654435761 + 2 * k * 40503) & 0xFFFFFFFF)) ^ (b * np.uint32((2246822519 + 2 * k * 9973) & 0xFFFFFFFF))) >> np.uint32(15)
+        slot = slot.astype(np.intp)
         key = (a.astype(np.uint64) << np.uint64(32)) | b
         held = np.zeros(SLOTS, np.uint64)
         held[slot] = key
         own = (held[slot] == key) & (a != END) & (b != END)
-        count = np.bincount(slot[own], minlength=SLOTS)
+        slot[~own] = SLOTS
+        count = np.bincount(slot, minlength=SLOTS + 1)[:SLOTS]
         good = np.flatnonzero(count >= LEAST)
         room = min(MOST_RULES, 65_536 - total) if total < 65_536 else 0
         if not good.size or room <= 0:
             break
         good = good[np.argsort(-count[good], kind="stable")][:room]
-        rank = np.full(SLOTS, len(good), np.int32)
+        rank = np.full(SLOTS + 1, len(good), np.int32)
         rank[good] = np.arange(len(good), dtype=np.int32)
         at = np.full(seq.size + 1, len(good), np.int32)  # shifted by one: at[i + 1] belongs to the pair at i
-        at[1:-1] = np.where(own, rank[slot], len(good))
+        at[1:-1] = rank[slot]
         mine = at[1:-1]
-        wins = np.flatnonzero((mine < len(good)) & (mine < at[:-2]) & (mine <= at[2:]))
+        wins = np.flatnonzero((mine < at[:-2]) & (mine <= at[2:]) & (mine < len(good)))
         if wins.size < LEAST:
             break
-        used, place = np.unique(mine[wins], return_inverse=True)
+        won = mine[wins]
+        kept = np.bincount(won, minlength=len(good)) > 0
+        used, place = np.flatnonzero(kept), (np.cumsum(kept) - 1)[won]
         pairs = np.stack([held[good[used]] >> np.uint64(32), held[good[used]] & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32)
         known = np.concatenate([np.ones(vocabulary, np.int64), *lengths])
         lengths.append(known[pairs].sum(1))
         rules.append(pairs)
-        seq = seq.copy()
+        seq = seq.copy()  # the caller's ids stay
         seq[wins] = (total + place).astype(np.uint32)
         keep = np.ones(seq.size, bool)
         keep[wins + 1] = False
