@@ -92,7 +92,7 @@ def need() -> Column:
 
 def lists(classes: DataFrame) -> DataFrame:
     """(value, doc, n, shared): the inverted lists that pairs must meet on, of values that two classes have at least."""
-    values = classes.select(F.col("doc_id").alias("doc"), "n", F.explode("sketch").alias("value"))
+    values = classes.select(F.col("doc_id").alias("doc"), "n", F.explode("sketch").alias("value"))  # K for each class at most
     known = values.groupBy("value").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     common = values.join(known.withColumnRenamed("value", "v"), F.col("value") == F.col("v"))
     each = common.groupBy("doc", "n").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("c"))  # K values at most
@@ -145,10 +145,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     given = own.filter("doc_id is not null")
     sketched = materialize(given.mapInPandas(_sketches, "doc_id long, n int, digest string, sketch array<long>"), "sketches")
     first = materialize(sketched.filter("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
-    classes = sketched.join(first.withColumnRenamed("digest", "d"), (F.col("digest") == F.col("d")) & (F.col("doc_id") == F.col("rep"))).select("doc_id", "n", "sketch").dropDuplicates(["doc_id"])
+    # Sketches aren't shuffled for this while the copies' ids are few: a small file of ids is broadcast by its size, a
+    # large one sorted and merged.
+    named = sketched.select("doc_id", "digest").join(first.withColumnRenamed("digest", "d"), F.col("digest") == F.col("d"))
+    copies = materialize(named.filter("doc_id <> rep").select(F.col("doc_id").alias("copy")).distinct(), "copies")
+    classes = sketched.filter("n > 0").join(copies, F.col("doc_id") == F.col("copy"), "left_anti").select("doc_id", "n", "sketch")
     posted = materialize(lists(classes), "lists")
     wanted = materialize(posted.select(F.col("doc").alias("w")).distinct(), "wanted")
-    # A small file of ids is broadcast by its size, a large one sorted and merged.
     texts = given.join(wanted, F.col("doc_id") == F.col("w"), "left_semi")
     sets = materialize(texts.mapInPandas(_sets, "doc_id long, members array<long>").dropDuplicates(["doc_id"]), "sets")
     star = materialize(confirm(pivots(posted), sets), "star")
