@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import feature_queries
+from . import feature_queries, label_queries
 
-QUERIES = dict(feature_queries.QUERIES)
-SQL = dict(feature_queries.SQL)
+QUERIES = feature_queries.QUERIES | label_queries.QUERIES
+SQL = feature_queries.SQL | label_queries.SQL
