@@ -135,7 +135,7 @@ def impact(trades: DataFrame, rules: dict[str, list[Rule]], tp: float, sl: float
         parts.append(one.select(*by, "n_before", "wins_before", "losses_before", "pips_before", F.explode(each).alias("r")).select(*by, "n_before", "wins_before", "losses_before", "pips_before", "r.*"))
     out = reduce(DataFrame.unionByName, parts)
     out = out.withColumns({"wins_removed": c("wins_before") - c("wins_after"), "losses_removed": c("losses_before") - c("losses_after")})
-    out = out.withColumns({"pips_saved": c("losses_removed") * sl, "pips_lost": c("wins_removed") * tp})
+    out = out.withColumns({"pips_saved": c("losses_removed") * float(sl), "pips_lost": c("wins_removed") * float(tp)})
     out = out.withColumns({"net_pips": c("pips_saved") - c("pips_lost"), "efficiency": F.when(c("wins_removed") > 0, c("losses_removed") / c("wins_removed")), "loss_removal": F.coalesce(F.try_divide("losses_removed", "losses_before"), F.lit(0.0)), "win_preservation": F.coalesce(F.try_divide("wins_after", "wins_before"), F.lit(0.0))})
     return out.withColumn("percent_improvement", F.coalesce(F.try_divide(c("net_pips") * 100, F.abs("pips_before")), F.lit(0.0)))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import feature_queries, label_queries
+from . import feature_queries, label_queries, model_queries, trade_queries
 
-QUERIES = feature_queries.QUERIES | label_queries.QUERIES
-SQL = feature_queries.SQL | label_queries.SQL
+QUERIES = feature_queries.QUERIES | label_queries.QUERIES | trade_queries.QUERIES | model_queries.QUERIES
+SQL = feature_queries.SQL | label_queries.SQL | trade_queries.SQL
