@@ -9,10 +9,10 @@ links connect form a component.
    values: for sets that their sketches hold whole, three quarters of n; else three quarters of K less six standard
    deviations. So a class with fewer shared values has no partner, and any other one needs lists only of its
    shared - need + 1 rarest values to meet every partner on one of them: text that many documents hold has no lists.
-3. In each list all members are checked against one, the member with the largest share of shared values, which in a group
-   of copies is their original; what is linked becomes one component. A list is never expanded into all its pairs.
-4. Where a list still holds several components, members of different ones are paired, the larger set first, in classes
-   of size that its count of shared values allows; this leaves out nothing that could be linked.
+3. In each list all members are compared with one, its pivot: the member with the largest share of shared values, which in a
+   group of copies is their original. What is linked becomes one component. A list is never expanded into all its pairs.
+4. Members of one pivot that lie in different components are paired where their intersections with the pivot, their sizes
+   and what they share outside of it allow a link; partners that share a list share its pivot, so none is left out.
 5. A pair is dropped if the sketch of the union puts it six standard deviations below 75 %, and otherwise confirmed on the
    full sets.
 
@@ -39,6 +39,8 @@ K, SHINGLE, PERCENT = 256, 5, 75
 #: Shared retained values of linked sets, at least, where sketches don't hold the sets whole.
 LEAST_SHARED = math.floor(K * PERCENT / 100 - 6 * math.sqrt(K * PERCENT / 100 * (1 - PERCENT / 100)))
 REMEMBERED = 400_000
+#: Standard deviations that bounds from samples leave.
+DEVIATIONS = 4.5
 
 _word = re.compile(WORD)
 _lower = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
@@ -101,42 +103,51 @@ def lists(classes: DataFrame) -> DataFrame:
 
 
 def pivots(posted: DataFrame) -> DataFrame:
-    """(a, b): every member of a list with the list's central one."""
+    """(a, n, shared, b): every member of a list with the list's pivot, which is a member of itself."""
     rank = F.struct((F.col("shared") / F.least("n", F.lit(K))).alias("share"), (-F.col("doc")).alias("first"))
-    central = posted.groupBy("value").agg(F.max_by(F.struct("doc", "n"), rank).alias("p"), F.count(F.lit(1)).alias("size")).filter("size > 1")
-    met = posted.join(central.withColumnRenamed("value", "v"), F.col("value") == F.col("v")).select(F.col("doc").alias("a"), "n", F.col("p.doc").alias("b"), F.col("p.n").alias("m"))
-    return met.filter("a <> b and 100 * least(n, m) >= 75 * greatest(n, m)").select("a", "b").distinct()
+    central = posted.groupBy("value").agg(F.max_by("doc", rank).alias("b"), F.count(F.lit(1)).alias("size")).filter("size > 1")
+    met = posted.join(central.withColumnRenamed("value", "v"), F.col("value") == F.col("v"))
+    return met.select(F.col("doc").alias("a"), "n", "shared", "b").distinct()
 
 
-def across(posted: DataFrame, labels: DataFrame) -> DataFrame:
-    """(a, b): members of one list that lie in different components and may be linked by their sizes and shared values."""
-    named = posted.join(labels, F.col("doc") == F.col("node"), "left").withColumn("c", F.coalesce("component", "doc")).drop("node", "component")
-    mixed = named.groupBy("value").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select(F.col("value").alias("v"))
-    named = named.join(mixed, F.col("value") == F.col("v"), "left_semi")
-    step = lambda x: F.floor(F.log(x.cast("double")) / math.log(1.05)).cast("int")
-    # Sets that sketches hold whole have at most `shared` members in common with anyone: 7 * common >= 3 * (n + m) at 75 %.
-    top = F.when(F.col("n") <= K, F.least(F.col("n"), F.floor((7 * F.col("shared") - 3 * F.col("n")) / 3))).otherwise(F.col("n"))
-    a = named.withColumn("top", top).withColumn("low", F.ceil(F.col("n") * PERCENT / 100)).filter("top >= low and low >= 1")
-    a = a.select("value", F.col("doc").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"), "top", "low", F.explode(F.sequence(step(F.col("low")), step(F.col("top")))).alias("bucket"))
-    b = named.select(F.col("value").alias("v"), F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"), F.col("shared").alias("sb"), step(F.col("n")).alias("s"))
-    fits = (F.col("value") == F.col("v")) & (F.col("bucket") == F.col("s")) & (F.col("ca") != F.col("cb")) & F.col("nb").between(F.col("low"), F.col("top"))
-    fits &= (F.col("nb") < F.col("na")) | (F.col("b") < F.col("a"))
-    fits &= (F.col("na") > K) | (7 * F.col("sb") >= 3 * (F.col("na") + F.col("nb")))
-    return a.join(b, fits).select("a", "b").distinct()
+def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Add what pairs (a, b) have in common: first the union's sketch, then, where it allows a link, the full sets.
 
-
-def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs that are linked: first by the union's sketch, then on the full sets."""
+    seen: members of both sketches; common: of both sets; linked: 75 % or more, tried only if the sketches allow it.
+    """
     left = sets.select(F.col("doc_id").alias("x"), F.col("members").alias("p"))
     right = sets.select(F.col("doc_id").alias("y"), F.col("members").alias("q"))
     both = pairs.join(left, F.col("a") == F.col("x")).join(right, F.col("b") == F.col("y"))
     pk, qk = F.slice("p", 1, K), F.slice("q", 1, K)
     union = F.slice(F.sort_array(F.array_union(pk, qk)), 1, K)
-    seen = F.size(F.array_intersect(union, F.array_intersect(pk, qk)))
+    near = F.size(F.array_intersect(union, F.array_intersect(pk, qk)))
     floor = F.when(F.size(union) < K, F.ceil(F.size(union) * PERCENT / 100)).otherwise(F.lit(LEAST_SHARED))
     common = F.size(F.array_intersect("p", "q"))
-    linked = F.when(seen >= floor, common * 100 >= (F.size("p") + F.size("q") - common) * PERCENT).otherwise(F.lit(False))
-    return both.select("a", "b", linked.alias("linked")).filter("linked").select("a", "b")
+    linked = F.when(near >= floor, common * 100 >= (F.size("p") + F.size("q") - common) * PERCENT).otherwise(F.lit(False))
+    return both.select(*pairs.columns, F.size(F.array_intersect(pk, qk)).alias("seen"), common.alias("common"), linked.alias("linked"))
+
+
+def across(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """(a, b): members of one pivot that lie in different components and may be linked.
+
+    For sets a and b and a pivot p, |a & b| is at most min(|a & p|, |b & p|) plus what they share outside of p. For that, a
+    set that its sketch holds whole has its shared values outside of p; of others the larger one's sketch has a sample, and
+    its count is taken DEVIATIONS above what was seen. A link needs 7 |a & b| >= 3 (|a| + |b|).
+    """
+    named = members.join(labels, F.col("a") == F.col("node"), "left").withColumn("c", F.coalesce("component", "a")).drop("node", "component")
+    mixed = named.groupBy("b").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select(F.col("b").alias("v"))
+    named = named.join(mixed, F.col("b") == F.col("v"), "left_semi")
+    step = lambda x: F.floor(F.log(x.cast("double")) / math.log(1.05)).cast("int")
+    n, seen = F.col("n"), F.greatest(F.col("shared") - F.col("seen"), F.lit(0))
+    sampled = F.ceil((seen + DEVIATIONS * F.sqrt(seen + 1.0) + DEVIATIONS**2 / 2) * n / K)
+    other = F.least(F.when(n <= K, F.greatest(F.col("shared") - F.col("common"), F.lit(0))).otherwise(sampled), n - F.col("common")).cast("int")
+    rest = F.when(n <= K, other).otherwise(n - F.col("common"))
+    a = named.filter("n > 0").select(F.col("b").alias("pivot"), "a", n.alias("na"), F.col("c").alias("ca"), F.col("common").alias("pa"), other.alias("oa"), F.explode(F.sequence(step(F.ceil(n * PERCENT / 100)), step(n))).alias("bucket"))
+    b = named.filter("n > 0").select(F.col("b").alias("v"), F.col("a").alias("b"), n.alias("nb"), F.col("c").alias("cb"), F.col("common").alias("pb"), rest.alias("ob"), step(n).alias("s"))
+    fits = (F.col("pivot") == F.col("v")) & (F.col("bucket") == F.col("s")) & (F.col("ca") != F.col("cb"))
+    fits &= (F.col("nb") < F.col("na")) | ((F.col("nb") == F.col("na")) & (F.col("b") < F.col("a")))
+    fits &= 7 * (F.least("pa", "pb") + F.least("oa", "ob")) >= 3 * (F.col("na") + F.col("nb"))
+    return a.join(b, fits).select("a", "b").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -154,10 +165,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     wanted = materialize(posted.select(F.col("doc").alias("w")).distinct(), "wanted")
     texts = given.join(wanted, F.col("doc_id") == F.col("w"), "left_semi")
     sets = materialize(texts.mapInPandas(_sets, "doc_id long, members array<long>").dropDuplicates(["doc_id"]), "sets")
-    star = materialize(confirm(pivots(posted), sets), "star")
-    rest = materialize(confirm(across(posted, components(star)), sets), "rest")
-    links = star.unionByName(rest)
-    labels = components(links)
+    members = materialize(compared(pivots(posted), sets), "members")
+    star = members.filter("linked and a <> b").select("a", "b")
+    rest = materialize(compared(across(members, components(star)), sets).filter("linked").select("a", "b"), "rest")
+    labels = components(star.unionByName(rest))
     to = first.join(labels, F.col("rep") == F.col("node"), "left").select(F.col("digest").alias("d"), F.coalesce("component", "rep").alias("component_id"))
     done = sketched.join(to, F.col("digest") == F.col("d"), "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
     done = done.withColumn("kept", F.col("doc_id") == F.col("component_id"))
