@@ -140,13 +140,15 @@ def across(members: DataFrame, labels: DataFrame) -> DataFrame:
     step = lambda x: F.floor(F.log(x.cast("double")) / math.log(1.05)).cast("int")
     n, seen = F.col("n"), F.greatest(F.col("shared") - F.col("seen"), F.lit(0))
     sampled = F.ceil((seen + DEVIATIONS * F.sqrt(seen + 1.0) + DEVIATIONS**2 / 2) * n / K)
-    other = F.least(F.when(n <= K, F.greatest(F.col("shared") - F.col("common"), F.lit(0))).otherwise(sampled), n - F.col("common")).cast("int")
-    rest = F.when(n <= K, other).otherwise(n - F.col("common"))
+    outside = n - F.col("common")
+    other = F.least(F.when(n <= K, seen).otherwise(sampled), outside).cast("int")
     a = named.filter("n > 0").select(F.col("b").alias("pivot"), "a", n.alias("na"), F.col("c").alias("ca"), F.col("common").alias("pa"), other.alias("oa"), F.explode(F.sequence(step(F.ceil(n * PERCENT / 100)), step(n))).alias("bucket"))
-    b = named.filter("n > 0").select(F.col("b").alias("v"), F.col("a").alias("b"), n.alias("nb"), F.col("c").alias("cb"), F.col("common").alias("pb"), rest.alias("ob"), step(n).alias("s"))
+    b = named.filter("n > 0").select(F.col("b").alias("v"), F.col("a").alias("b"), n.alias("nb"), F.col("c").alias("cb"), F.col("common").alias("pb"), F.least(seen, outside).alias("ob"), outside.alias("xb"), step(n).alias("s"))
     fits = (F.col("pivot") == F.col("v")) & (F.col("bucket") == F.col("s")) & (F.col("ca") != F.col("cb"))
     fits &= (F.col("nb") < F.col("na")) | ((F.col("nb") == F.col("na")) & (F.col("b") < F.col("a")))
-    fits &= 7 * (F.least("pa", "pb") + F.least("oa", "ob")) >= 3 * (F.col("na") + F.col("nb"))
+    # The smaller set's count holds only if the larger one's sketch is whole, too.
+    apart = F.least(F.col("oa"), F.when(F.col("na") <= K, F.col("ob")).otherwise(F.col("xb")))
+    fits &= 7 * (F.least("pa", "pb") + apart) >= 3 * (F.col("na") + F.col("nb"))
     return a.join(b, fits).select("a", "b").distinct()
 
 
