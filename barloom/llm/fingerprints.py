@@ -119,8 +119,8 @@ def likeness_of(x: str, y: str) -> Column:
     return F.pandas_udf(_likenesses, "double")(x, y)
 
 
-def order_next(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> tuple[DataFrame, Window]:
-    """(doc_id, text, next_text, own) and the window that they are in: rows in descending id (ties by text, null ids
+def order_next(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, text, next_text, own): rows in descending id (ties by text, null ids
     last), each beside the next one's text, the last one beside the first's.
 
     Rows lie in buckets of neighbouring ids, four for each shuffle partition. The first row of a bucket is copied to the
@@ -140,19 +140,18 @@ def order_next(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> t
     )
     rows = copied.select("doc_id", "text", F.explode(places).alias("p")).select("doc_id", "text", "p.b", "p.own")
     window = Window.partitionBy("b").orderBy(F.desc("own"), F.col("doc_id").desc_nulls_last(), "text")
-    return rows.withColumn("next_text", F.lead("text").over(window)), window
+    return rows.withColumn("next_text", F.lead("text").over(window))
 
 
 def edited_and_next(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Fingerprints of every text and of its edited text, in which the last third is replaced by the next text's start,
     with their likeness and that of the next text."""
-    rows, window = order_next(docs, id_col, text)
+    rows = order_next(docs, id_col, text)
     n = F.length("text")
     third = F.floor(n / 3).cast("int")
     edited = F.concat(F.expr("substring(text, 1, length(text) - cast(floor(length(text) / 3) as int))"), F.coalesce(F.expr("substring(next_text, 1, cast(floor(length(text) / 3) as int))"), F.lit("")))
     rows = rows.withColumn("edited", F.when(third > 0, edited).otherwise(F.col("text")))
-    rows = rows.withColumn("fingerprint", fingerprint_of("text")).withColumn("edited_fingerprint", fingerprint_of("edited"))
-    out = rows.select("b", "own", "doc_id", "text", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint")
-    out = out.withColumn("next_fingerprint", F.lead("fingerprint").over(window)).filter("own")
+    # The next text's fingerprint is made once more here: a second window would shuffle the rows again.
+    rows = rows.filter("own").select("doc_id", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), fingerprint_of("text").alias("fingerprint"), fingerprint_of("edited").alias("edited_fingerprint"), fingerprint_of("next_text").alias("next_fingerprint"))
     near: list[Column] = [likeness_of("fingerprint", c).alias(name) for c, name in (("edited_fingerprint", "near_edited"), ("next_fingerprint", "near_next"))]
-    return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", *near)
+    return rows.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", *near)
