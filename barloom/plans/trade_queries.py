@@ -186,7 +186,7 @@ query("walk_forward_rows", f"SELECT d.fold, CASE WHEN ts::DATE < test_end - 270
 
 # Strategy
 
-_pred = "pred AS (SELECT row_number() OVER () AS rid, l_orderkey, l_linenumber, CAST(20.01 + l_quantity AS DOUBLE) AS atr_pips, CAST(15 + l_partkey % 60 AS DOUBLE) AS predicted_mae, CAST((l_suppkey % 100) AS DOUBLE) / 100 AS volatility, 0.95 - l_discount AS p30, 0.75 - l_discount * 2 AS p50, 0.5 - l_tax * 3 AS p100 FROM lineitem)"
+_pred = "pred AS MATERIALIZED (SELECT row_number() OVER () AS rid, l_orderkey, l_linenumber, CAST(20.01 + l_quantity AS DOUBLE) AS atr_pips, CAST(15 + l_partkey % 60 AS DOUBLE) AS predicted_mae, CAST((l_suppkey % 100) AS DOUBLE) / 100 AS volatility, 0.95 - l_discount AS p30, 0.75 - l_discount * 2 AS p50, 0.5 - l_tax * 3 AS p100 FROM lineitem)"
 _stop = "stopped AS (SELECT *, round(greatest(15.0, least(100.0, CASE WHEN volatility > 0.75 THEN greatest(atr_pips * 1.5, predicted_mae * 1.2) WHEN volatility < 0.25 THEN least(atr_pips * 1.5, predicted_mae * 1.2) * 1.1 ELSE (atr_pips * 1.5 + predicted_mae * 1.2) / 2 END))::DOUBLE, 1) AS sl FROM pred)".replace("1.5", "1.5::DOUBLE").replace("1.2", "1.2::DOUBLE").replace("1.1 ", "1.1::DOUBLE ")
 _levels = {30: "p30", 40: "p30 + (p50 - p30) * 0.5::DOUBLE", 50: "p50", 80: "p50 + (p100 - p50) * 0.6::DOUBLE", 100: "p100"}
 _opt = "opt AS (SELECT s.*, x.tp, x.p, round(x.p * x.tp - (1 - x.p) * sl, 9) AS ev FROM stopped s, LATERAL (VALUES " + ", ".join(f"({k}::DOUBLE, {v})" for k, v in _levels.items()) + ") x(tp, p))"
