@@ -248,6 +248,26 @@ def test_passages(spark, empty):
     assert passages.passages(empty).isEmpty()
 
 
+def test_passages_around_other_words(spark):
+    rng = random.Random(9)
+    head, foot = prose(rng, 60, "h"), prose(rng, 60, "f")
+    texts = [f"{head} {prose(rng, 150, 'a')} {foot}", f"{head} {prose(rng, 180, 'b')} {foot}", f"{head} {foot}", f"{prose(rng, 20, 'c')} {head} {prose(rng, 100, 'd')} {foot} {prose(rng, 20, 'e')}"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted((r.doc_id, r.start_word, r.end_word, r.home_id, r.home_start, r.home_end, r.n_equal) for r in passages.passages(df).collect())
+    own = {1: (0, 240), 2: (0, 60), 3: (20, 180)}
+    assert got == [(i, at, at + 60, 0, home, home + 60, 60) for i, places in own.items() for at, home in zip(places, (0, 210))]
+
+
+def test_a_split_chain_keeps_short_pieces_together():
+    ids = iter(range(10**6))
+    new = lambda n: [next(ids) for _ in range(n)]
+    one, two, three = new(30), new(30), new(60)
+    a, b = (np.array([*one, *new(8), *two, *new(m), *three], np.uint32) for m in (90, 200))
+    chain = [(0, 0, 25), (38, 38, 25), (158, 268, 55)]
+    assert passages.aligned(a, b, chain) == [(0, 68, 0, 68, 60), (158, 218, 268, 328, 60)]
+    assert passages.aligned(a[:68], b[:68], chain[:2]) == [(0, 68, 0, 68, 60)]
+
+
 def test_chains_prefer_the_collinear(spark):
     xs, ys = np.array([0, 5, 10, 30, 35, 12]), np.array([100, 105, 110, 131, 136, 3])
     best = passages.chains(xs, ys)[0]
