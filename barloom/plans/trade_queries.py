@@ -206,5 +206,5 @@ _eq = [
 ]
 query("equity_curve", "SELECT config_id, count(*) AS n_trades, round((exp(sum(ln(1 + ret))) - 1) * 100, 5) + 0.0 AS total_return_percent, round(max(dd), 5) + 0.0 AS max_drawdown_percent, round(avg(ret) / stddev_samp(ret) * sqrt(1512), 5) + 0.0 AS sharpe FROM eq GROUP BY config_id", _eq)(lambda t: shown(strategy.equity_summary(strategy.equity(t, ["config_id"], ORDER, 0.001), ["config_id"]), digits=5))
 query("regime_performance", f"SELECT d1_is_trending_up, count(*) AS n_trades, {RATE} AS win_rate, round(avg(pips_result), 6) + 0.0 AS avg_pips, avg(pips_result) < 0 AS weak FROM trades GROUP BY 1")(lambda t: strategy.by_regime(t, "d1_is_trending_up"))
-query("permutation_mc")(lambda t: strategy.resample_summary(strategy.resample(t.filter("fold = 1"), ["config_id"], 20, identity=["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]), ["config_id"], 2000))
-query("bootstrap_mc")(lambda t: strategy.resample_summary(strategy.resample(t.filter("fold = 1"), ["config_id"], 20, replace=True, identity=["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]), ["config_id"], 2000))
+query("permutation_mc")(lambda t: strategy.resample_summary(strategy.resample(t, ["config_id"], identity=["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]), ["config_id"], 2000))
+query("bootstrap_mc")(lambda t: strategy.resample_summary(strategy.resample(t, ["config_id"], replace=True, identity=["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]), ["config_id"], 2000))

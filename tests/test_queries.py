@@ -36,6 +36,44 @@ def test_every_sql_has_a_query():
     assert set(registry.SQL) <= set(registry.QUERIES) and len(registry.QUERIES) > 120
 
 
+@pytest.mark.parametrize("name", ["permutation_mc", "bootstrap_mc"])
+def test_simulations_of_the_whole_log(spark, name):
+    from barloom.plans import trade_queries as tq
+
+    log = tq.log(spark, DATA).toPandas().groupby("config_id")["pips_result"]
+    got = {r.config_id: r for r in registry.QUERIES[name](spark, DATA).collect()}
+    assert got.keys() == set(log.groups)
+    for config, pips in log:
+        r, spread = got[config], pips.std() * len(pips) ** 0.5
+        assert r.n_sims == 1000
+        assert abs(r.mean_total - pips.sum()) <= (1e-6 if name == "permutation_mc" else 6 * spread / 1000**0.5)
+        assert r.drawdown_p5 < r.drawdown_p95
+
+
+@pytest.mark.parametrize("replace", [False, True])
+def test_resample_against_brute_force(spark, replace):
+    from pyspark.sql import functions as F
+
+    from barloom.operators import strategy
+
+    data = [("ab"[i % 2], i, float((i * 37) % 11 - 5)) for i in range(25)]
+    t = spark.createDataFrame(data, "config_id string, trade long, pips_result double")
+    got = {(r.config_id, r.sim): (r.total, r.max_drawdown) for r in strategy.resample(t, ["config_id"], 7, replace=replace, identity=["trade"]).collect()}
+    hashes = {(r.sim, r.trade): r.h for r in t.withColumn("sim", F.explode(F.sequence(F.lit(0), F.lit(6)))).withColumn("h", F.xxhash64(F.lit(1), "sim", "trade")).collect()}
+    want = {}
+    for g in "ab":
+        own = [(i, x) for k, i, x in data if k == g]
+        for sim in range(7):
+            path = [own[hashes[sim, i] % len(own)][1] for i, _ in own] if replace else [x for _, x in sorted((hashes[sim, i], x) for i, x in own)]
+            s, peak, fall = 0.0, -math.inf, 0.0
+            for x in path:
+                s += x
+                peak = max(peak, s)
+                fall = max(fall, peak - s)
+            want[g, sim] = (s, fall)
+    assert got == want
+
+
 def test_stream_equals_batch(spark):
     got = registry.QUERIES["stream_bars_4h"](spark, DATA)
     batch = registry.QUERIES["bars_4h"](spark, DATA)
