@@ -83,6 +83,8 @@ query("filter_impact", "SELECT * FROM impact", _impact(_each, 100, 40))(lambda t
 query("filter_rank", f"SELECT *, {_verdict} AS verdict FROM impact ORDER BY net_pips DESC, rule LIMIT 10", _impact(_each, 100, 40))(lambda t: trades.verdicts(trades.impact(t, _each, 100, 40), 10))
 query("filter_combos", "SELECT impact.* FROM impact WHERE net_pips > 0 AND NOT EXISTS (SELECT 1 FROM unnest(string_split(rule, ' & ')) u(r) WHERE r NOT IN (SELECT rule FROM top))", None)(lambda t: trades.rule_combinations(t, RULES[-8:], 100, 40, 4))
 SQL.pop("filter_combos", None)
+# All candidate rules; filter_combos stays with the few that its SQL has. No SQL: tests compare it with brute force.
+query("filter_combos_all")(lambda t: trades.rule_combinations(t, RULES, 100, 40))
 _few = RULES[-8:]
 _names = [r.name for r in _few]
 _sets = {f"{a} & {b}": [x for x in _few if x.name in (a, b)] for a in _names for b in _names if a != b}

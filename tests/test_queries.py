@@ -36,6 +36,29 @@ def test_every_sql_has_a_query():
     assert set(registry.SQL) <= set(registry.QUERIES) and len(registry.QUERIES) > 120
 
 
+def test_combinations_of_the_best_of_all_rules(spark):
+    import operator
+    from itertools import combinations
+
+    from barloom.plans import trade_queries as tq
+
+    t = tq.log(spark, DATA).toPandas()
+    won, lost = t["outcome"] == "WIN", t["outcome"] == "LOSS"
+    kept = {r.name: {">=": operator.ge, "==": operator.eq, "<=": operator.le}[r.op](t[r.feature].astype(float), r.value) for r in tq.RULES}
+    net = lambda k: float(40 * (lost & ~k).sum() - 100 * (won & ~k).sum())
+    best = sorted(kept, key=lambda n: (-net(kept[n]), n))[:5]
+    want = {}
+    for k in (2, 3):
+        for names in combinations(best, k):
+            both = True
+            for n in names:
+                both = kept[n] & both
+            if net(both) > 0:
+                want[" & ".join(names)] = (int(both.sum()), net(both))
+    got = {r.rule: (r.n_after, r.net_pips) for r in registry.QUERIES["filter_combos_all"](spark, DATA).collect()}
+    assert got == want and len(tq.RULES) > 8
+
+
 @pytest.mark.parametrize("name", ["permutation_mc", "bootstrap_mc"])
 def test_simulations_of_the_whole_log(spark, name):
     from barloom.plans import trade_queries as tq
