@@ -2,12 +2,14 @@
 
 The rules' matches are labelled credentials. For each kind a prefix tree of their character classes is built and its
 states are merged where a Hoeffding test finds no significant difference in what follows (ALERGIA), which leaves a small
-probabilistic automaton; another one is inferred from ordinary long tokens. Every candidate token of every text that no
-rule has found is scored: the mean log-likelihood ratio, a symbol, of the likeliest kind against the ordinary automaton.
-From the threshold on, which lies between the two samples' scores, it counts as a secret of kind `format`.
+probabilistic automaton; another one is inferred from ordinary tokens. These are tokens that come after different words,
+wherever that is, which leaves out a secret that is copied with its document; and numbers whose form does. Every candidate
+token of every text that no rule has found is scored: the mean log-likelihood ratio, a symbol, of the likeliest kind against
+the ordinary automaton. From the threshold on, which lies between the scores of ordinary tokens and those of credentials that
+the automata weren't fitted on, it counts as a secret of kind `format`, however many do.
 
 The automata are fitted on bounded samples (SAMPLE strings of each kind, ORDINARY tokens, chosen by hash); all texts are
-scanned whole and all candidates scored.
+scanned whole, all candidates of SHORTEST characters or more and all ordinary tokens scored.
 
 Cases: null and empty texts have no spans; repeated rows are scanned one by one; without labelled credentials or ordinary
 tokens no candidate is added; an empty table gives an empty result. Positions are code points, ends exclusive.
@@ -17,6 +19,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+import string
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from math import inf, log, sqrt
@@ -29,7 +33,11 @@ from .common import materialize
 
 KINDS = ("assign", "access", "hex", "format")
 SAMPLE, ORDINARY, ALPHA = 500, 4000, 0.01
-SHORTEST = 16
+SHORTEST = 6
+#: Scores that a worker keeps.
+KNOWN = 1 << 16
+#: Characters before a token that tell its places apart.
+BEFORE = 24
 
 # The base rules.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -37,7 +45,8 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # the runs of [0-9a-f]+ that have 24 characters or more
 NAMES = ("passw", "secret", "token", "api")
 
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % SHORTEST)
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]+(?:\.[A-Za-z0-9+/_=-]+)*")
+_classes = str.maketrans({c: "d" if c <= "9" else "u" if c <= "Z" else "h" if c <= "f" else "l" for c in string.digits + string.ascii_letters})
 
 
 def base_spans(text: str) -> list[tuple[int, int, int, str]]:
@@ -53,14 +62,23 @@ def base_spans(text: str) -> list[tuple[int, int, int, str]]:
 
 
 def candidates(text: str, spans: list[tuple[int, int, int, str]]) -> list[tuple[int, int, str]]:
-    """Long tokens that overlap no span."""
-    found = [(m.start(), m.end(), m[0]) for m in CANDIDATE.finditer(text)]
-    return [x for x in found if not any(a < x[1] and x[0] < b for a, _, b, _ in spans)] if spans else found
+    """Tokens that overlap no span."""
+    found = [(m.start(), m.end(), m[0]) for m in CANDIDATE.finditer(text) if m.end() - m.start() >= SHORTEST]
+    if not spans:
+        return found
+    out, k, reach = [], 0, 0
+    for x in found:
+        while k < len(spans) and spans[k][0] < x[1]:
+            reach = max(reach, spans[k][2])
+            k += 1
+        if reach <= x[0]:
+            out.append(x)
+    return out
 
 
 def symbols(token: str) -> str:
     """Character classes: d digit, h a-f, l other lower case, u upper case; other characters stand for themselves."""
-    return "".join("d" if "0" <= c <= "9" else "h" if "a" <= c <= "f" else "l" if "a" <= c <= "z" else "u" if "A" <= c <= "Z" else c for c in token)
+    return token.translate(_classes)
 
 
 @dataclass
@@ -156,12 +174,18 @@ class Scanner:
     kinds: list[Automaton]
     ordinary: Automaton | None
     threshold: float
+    known: dict[str, float] = field(default_factory=dict)
 
     def score(self, token: str) -> float:
         if not self.kinds or self.ordinary is None:
             return -inf
         s = symbols(token)
-        return max(a.likelihood(s) for a in self.kinds) - self.ordinary.likelihood(s)
+        value = self.known.get(s)
+        if value is None:
+            if len(self.known) >= KNOWN:
+                self.known.clear()
+            value = self.known[s] = max(a.likelihood(s) for a in self.kinds) - self.ordinary.likelihood(s)
+        return value
 
     def spans(self, base: list[tuple[int, int, int]], found: list[tuple[int, int, str]]) -> list[tuple[int, int, int]]:
         """(start, kind's number, end) of the rules' spans and of the candidates that count as secrets."""
@@ -172,65 +196,81 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
 
-SCAN = "doc_id string, n_assign long, n_access long, n_hex long, base array<struct<s:int,k:int,e:int>>, labelled array<struct<k:int,x:string>>, candidates array<struct<s:int,e:int,x:string>>"
-
-
-def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rules' spans and the candidates of every row, written once: narrow rows, from one pass over the texts."""
+def scan(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(k, x, lo, hi): the distinct credentials of the rules' kinds, and candidates as kind 3, with the smallest and the largest
+    hash of the characters before them."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = []
-            for name, value in zip(b["doc_id"].tolist(), b["text"].tolist()):
+            seen: dict[tuple[int, str], tuple[int, int]] = {}
+            for value in b["text"].tolist():
                 spans = base_spans(value)
-                n = [sum(1 for x in spans if x[1] == k) for k in range(3)]
-                out.append((name, *n, [{"s": a, "k": k, "e": e} for a, k, e, _ in spans], [{"k": k, "x": x} for _, k, _, x in spans], [{"s": a, "e": e, "x": x} for a, e, x in candidates(value, spans)]))
-            yield pd.DataFrame(out, columns=["doc_id", "n_assign", "n_access", "n_hex", "base", "labelled", "candidates"])
-
-    own = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return materialize(own.mapInPandas(rows, SCAN), "scan")
-
-
-def fit(scanned: DataFrame) -> Scanner:
-    """Infer the automata from bounded samples of what scan() has found."""
-    labelled = scanned.select(F.explode("labelled").alias("l")).select("l.k", "l.x").distinct()
+                for _, k, _, x in spans:
+                    seen[k, x] = (0, 0)
+                for a, _, x in candidates(value, spans):
+                    h = zlib.crc32(value[max(0, a - BEFORE) : a].encode("utf-8", "replace"))
+                    lo, hi = seen.get((3, x), (h, h))
+                    seen[3, x] = (min(lo, h), max(hi, h))
+            yield pd.DataFrame([(k, x, lo, hi) for (k, x), (lo, hi) in seen.items()], columns=["k", "x", "lo", "hi"])
+
+    own = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"))
+    found = own.mapInPandas(rows, "k int, x string, lo long, hi long")
+    return materialize(found.groupBy("k", "x").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")), "strings")
+
+
+def fit(docs: DataFrame, text: str = "text") -> Scanner:
+    """Infer the automata from bounded samples of what scan() has found, and the threshold from all ordinary tokens."""
+    scanned = scan(docs, text)
     kinds = []
-    positive: list[str] = []
+    held: list[str] = []
     for k in range(3):
-        sample = [r["x"] for r in labelled.filter(F.col("k") == k).orderBy(F.xxhash64("x"), "x").limit(SAMPLE).collect()]
+        sample = [r["x"] for r in scanned.filter(F.col("k") == k).orderBy(F.xxhash64("x"), "x").limit(SAMPLE).collect()]
         if len(sample) >= 8:
-            kinds.append(Automaton([symbols(x) for x in sample]))
-            positive += [x for x in sample if len(x) >= SHORTEST]
-    tokens = scanned.select(F.explode("candidates").alias("c")).select("c.x").distinct()
+            kinds.append(Automaton([symbols(x) for i, x in enumerate(sample) if i % 4]))
+            held += sample[::4]
+    tokens = scanned.filter("k = 3")
+    words = tokens.filter("lo < hi").select("x")
+    numbers = tokens.filter("x not rlike '[A-Za-z]'").withColumn("form", F.regexp_replace("x", "[0-9]", "d"))
+    forms = numbers.groupBy("form").agg(F.min("lo").alias("a"), F.max("hi").alias("b")).filter("a < b").select(F.col("form").alias("f"))
+    numbers = numbers.filter("lo = hi").join(forms, F.col("form") == F.col("f"), "left_semi").select("x")
+    tokens = materialize(words.unionByName(numbers), "ordinary")
     ordinary = [r["x"] for r in tokens.orderBy(F.xxhash64("x"), "x").limit(ORDINARY).collect()]
     if not kinds or len(ordinary) < 8:
         return Scanner([], None, inf)
     scanner = Scanner(kinds, Automaton([symbols(x) for x in ordinary]), inf)
-    high, low = sorted(map(scanner.score, positive)), sorted(map(scanner.score, ordinary))
+
+    @F.pandas_udf("double")
+    def scored(values: pd.Series) -> pd.Series:
+        return values.map(scanner.score)
+
+    top = tokens.agg(F.percentile_approx(scored("x"), 0.998, 100_000).alias("top")).first()["top"]
+    low = sorted(map(scanner.score, held))
     # Between nearly all ordinary tokens and nearly all credentials; never at or below what an ordinary one may score.
-    top = low[int(0.998 * (len(low) - 1))]
-    return Scanner(kinds, scanner.ordinary, max(top + 0.05, (top + high[int(0.02 * (len(high) - 1))]) / 2) if high else inf)
+    return Scanner(kinds, scanner.ordinary, max(top + 0.05, (top + low[int(0.02 * (len(low) - 1))]) / 2))
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_format) of every row."""
-    scanned = scan(docs, id_col, text)
-    scanner = fit(scanned)
+    scanner = fit(docs, text)
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            base = [[(x["s"], x["k"], x["e"]) for x in r] for r in b["base"]]
-            every = [scanner.spans(p, [(x["s"], x["e"], x["x"]) for x in c]) for p, c in zip(base, b["candidates"])]
-            digest = [hashlib.sha256(joined(p).encode()).hexdigest() for p in base]
-            yield b[["doc_id", "n_assign", "n_access", "n_hex"]].assign(base_sha256=digest, spans=[joined(x) for x in every], n_format=[len(x) - len(p) for x, p in zip(every, base)])
+            out = []
+            for name, value in zip(b["doc_id"].tolist(), b["text"].tolist()):
+                found = base_spans(value)
+                base = [x[:3] for x in found]
+                every = scanner.spans(base, candidates(value, found))
+                out.append((name, *(sum(1 for x in base if x[1] == k) for k in range(3)), hashlib.sha256(joined(base).encode()).hexdigest(), joined(every), len(every) - len(base)))
+            yield pd.DataFrame(out, columns=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_format"])
 
-    out = scanned.select("doc_id", "n_assign", "n_access", "n_hex", "base", "candidates").mapInPandas(rows, "doc_id string, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_format long")
+    own = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    out = own.mapInPandas(rows, "doc_id string, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_format long")
     return out.withColumn("doc_id", F.col("doc_id").cast(docs.schema[id_col].dataType))
 
 
 def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """docs with every secret in the text replaced by a mark; overlapping spans by one."""
-    scanner = fit(scan(docs.withColumn("__none", F.lit(None).cast("string")), "__none", text))
+    scanner = fit(docs, text)
 
     @F.pandas_udf("string")
     def clean(values: pd.Series) -> pd.Series:

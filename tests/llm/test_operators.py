@@ -309,6 +309,22 @@ def test_secrets_base_and_redaction(spark, empty):
     assert secrets.find(empty).isEmpty()
 
 
+def test_many_bare_secrets_are_found(spark):
+    rng = random.Random(13)
+    hexes = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    vocabulary = ["".join(rng.choice("aeiounrstl") for _ in range(rng.randrange(6, 20))) for _ in range(900)]
+    bare = [hexes(22) if i % 3 else f"{hexes(14)}.{hexes(8)}" if i % 2 else hexes(14) for i in range(50)]
+    texts = [" ".join([*(rng.choice(vocabulary) for _ in range(40)), f"{rng.randrange(10**15, 10**16)}", f'token = "{hexes(40)}"' if i % 4 == 0 else "end."]) for i in range(200)]
+    texts += [f"{texts[i]} {x} {texts[i + 50]}" for i, x in enumerate(bare)]
+    texts += texts[-5:]  # copies, secrets and all
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: [x for x in r.spans.split(",") if x.startswith("format")] for r in secrets.find(df).collect()}
+    flagged = [(i, texts[i][int(x.split(":")[1]) : int(x.split(":")[2])]) for i, xs in got.items() for x in xs]
+    planted = [(200 + i, bare[i if i < 50 else i - 5]) for i in range(55)]
+    assert len(set(flagged) & set(planted)) >= 50 and not set(flagged) - set(planted)
+    assert sum(r.text.count("[SECRET]") for r in secrets.redact(df).filter("doc_id >= 200").collect()) >= 50
+
+
 def test_automata_tell_formats_apart():
     rng = random.Random(5)
     keys = ["".join(rng.choice("0123456789abcdef") for _ in range(40)) for _ in range(200)]
