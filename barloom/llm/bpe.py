@@ -52,6 +52,8 @@ class Tokenizer(dict):
         self.library.no_truncation()
         self.library.no_padding()
         self.specials = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(map(re.escape, sorted(self.specials, key=len, reverse=True)))) if self.specials else None
+        self.reach = max(map(len, self.specials), default=0)
         self._bytes: list[bytes] | None = None
         self._older: dict[str, bytes] = {}
 
@@ -96,7 +98,26 @@ class Tokenizer(dict):
         return np.array(e.ids, "<u4"), np.array([a for a, _ in e.offsets], np.int64)
 
     def starts(self, text: str) -> list[int]:
-        return [a for _, (a, _) in self.library.pre_tokenizer.pre_tokenize_str(text)]
+        """Where pieces of the pattern start, which runs between special tokens, and special tokens themselves."""
+        out, at = [], 0
+        for a, b in [*self.special_spans(text), (len(text), len(text))]:
+            out += [at + p for _, (p, _) in self.library.pre_tokenizer.pre_tokenize_str(text[at:a])]
+            if b > a:
+                out.append(a)
+            at = b
+        return out
+
+    def special_spans(self, text: str) -> list[tuple[int, int]]:
+        """(start, end) of the special tokens in a text."""
+        return [m.span() for m in self.special.finditer(text)] if self.special else []
+
+    def outside(self, text: str, at: int) -> tuple[int, int]:
+        """Start and end of the special token that a position lies inside of, or the position twice."""
+        first = max(0, at - self.reach)
+        for a, b in self.special_spans(text[first : at + self.reach]):
+            if first + a < at < first + b:
+                return first + a, first + b
+        return at, at
 
     def join(self, text: str, left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray, np.ndarray], cut: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and starts of text from those of text[:cut] and text[cut:], each encoded on its own."""
@@ -106,6 +127,8 @@ class Tokenizer(dict):
             if lo <= 0 and hi >= n:
                 return self.piece(text)
             lo, hi = max(0, lo), min(n, hi)
+            # No special token is cut at the window's ends.
+            lo, hi = self.outside(text, lo)[0], self.outside(text, hi)[1]
             lo = int(left[1][np.searchsorted(left[1], lo, "right") - 1]) if lo else 0
             window = self.piece(text[lo:hi])
             a = self._agree_left(text, left, window, lo, cut, hi)

@@ -130,6 +130,25 @@ def test_tree_concatenation_on_unsplit_text():
         assert t.tree(parts, [t.piece(x) for x in parts]).tobytes() == t.whole(s), (k, size)
 
 
+def test_special_tokens_across_piece_borders(spark):
+    rng = random.Random(14)
+    t = bpe.tokenizer(queries.tokenizer_path())
+    special = "<|endoftext|>"
+    fill = [lambda n: prose(rng, n // 5), lambda n: "".join(rng.choice("  \n'sa1é!|<>") for _ in range(n)), lambda n: "".join(rng.choice("abcdefgh") for _ in range(n)), lambda n: special * (n // 13)]
+    for k in range(400):
+        size = rng.choice((64, 200, 500))
+        s = rng.choice(fill)(rng.randrange(30, 900)) + rng.choice(("", " ", "  ", "!!", "\n\n"))
+        for at in range(size, rng.randrange(2, 6) * size, size):
+            s = (s + rng.choice(fill)(at + 40))[: at - rng.randrange(0, 14)] + special + rng.choice(("", " ", "  ", "??", "|>"))
+        s += rng.choice(fill)(rng.randrange(0, 300))
+        parts = [s[i : i + size] for i in range(0, len(s), size)]
+        assert t.tree(parts, [t.piece(x) for x in parts]).tobytes() == t.whole(s), (k, size)
+    s = prose(rng, 9000)
+    s = s[: bpe.PIECE - 7] + special + s[bpe.PIECE + 6 :]
+    df = spark.createDataFrame([(1, s)], "doc_id long, text string")
+    assert [r.ids for r in bpe.encode(df, queries.tokenizer_path()).collect()] == [t.whole(s)]
+
+
 def test_repair_round_trip(spark, docs, empty, tmp_path):
     path = f"file://{tmp_path}/tokens"
     repair.write(docs, path, queries.tokenizer_path(), shard_ids=2000)
