@@ -238,8 +238,39 @@ def test_near_duplicates_brute_force(spark, docs, empty):
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(df).collect()}
     assert got == {i: (len(sets[i]), find(i)) for i in sets}
     assert neardup.near_duplicates(empty).isEmpty()
-    nulls = spark.createDataFrame([(None, "a b")], "doc_id long, text string")
-    assert [(r.component_id, r.kept) for r in neardup.near_duplicates(nulls).collect()] == [(None, True)]
+    nulls = spark.createDataFrame([(None, "a b"), (None, "a b c d e f g"), (None, None)], "doc_id long, text string")
+    assert sorted((r.n_shingles, r.component_id, r.kept) for r in neardup.near_duplicates(nulls).collect()) == [(0, None, True), (1, None, True), (3, None, True)]
+
+
+def test_near_duplicates_on_the_border(spark):
+    """Pairs of 74 to 80 % of sets of 257 to 2,000 shingles, of which sketches hold a part only: every one as its full sets have it."""
+    rng = random.Random(16)
+    docs, want = [], {}
+    for k in range(400):
+        n = rng.randrange(257, 2001)
+        words = [f"k{k}w{i}" for i in range(n + 4)]
+        cut = round(n * rng.uniform(0.74, 0.80))  # the second text is the first one's first `cut` shingles
+        docs += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words[: cut + 4]))]
+        want[2 * k + 1] = 2 * k if 100 * cut >= 75 * n else 2 * k + 1
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert {i: got[i] for i in want} == want and 60 < sum(i != c for i, c in want.items()) < 400
+
+
+def test_heads_keep_whoever_shares_enough_over_batches():
+    rng = np.random.default_rng(3)
+    x = np.array(sorted({(int(v), int(d)) for v, d in zip(rng.integers(0, 60, 300), rng.integers(0, 40, 300))}))
+    many = {v for v in x[:, 0].tolist() if len(x[x[:, 0] == v]) > 1}
+    want = {}
+    for k, (v, d) in enumerate(x.tolist()):
+        if v in many or k in (0, len(x) - 1):
+            want[d] = want.get(d, 0) + 1
+    for size in (1, 2, 7, 1000):
+        parts = [x[i : i + size] for i in range(0, len(x), size)]
+        got = {}
+        for b in neardup._beside(iter([neardup.pd.DataFrame(p, columns=["value", "doc"]) for p in parts])):
+            for d, h in zip(b["doc"].tolist(), b["hits"].tolist()):
+                got[d] = got.get(d, 0) + h
+        assert got == want, size
 
 
 def test_components_of_a_chain(spark):
