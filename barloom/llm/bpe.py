@@ -54,6 +54,10 @@ class Tokenizer(dict):
         self.specials = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, sorted(self.specials, key=len, reverse=True)))) if self.specials else None
         self.reach = max(map(len, self.specials), default=0)
+        self.model = self.library.model
+        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        rest = [b for b in range(256) if b not in printable]
+        self._shown = {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(rest)}
         self._bytes: list[bytes] | None = None
         self._older: dict[str, bytes] = {}
 
@@ -61,9 +65,17 @@ class Tokenizer(dict):
         if len(self) >= REMEMBERED:  # what is met again is taken over from the older half
             self._older = dict(self)
             self.clear()
-        found = self[pretoken] = self._older.get(pretoken) or self.whole(pretoken)
+        found = self[pretoken] = self._older.get(pretoken) or self.pretoken(pretoken)
         return found
 
+    def pretoken(self, text: str) -> bytes:
+        """Ids of one pretoken by the library's model alone, which takes bytes as printable characters."""
+        if text[0] == " " and text.isascii() and text[1:].isalnum():
+            shown = self._shown[32] + text[1:]
+        else:
+            shown = text.encode("utf-8").decode("latin-1").translate(self._shown)
+        return np.array([x.id for x in self.model.tokenize(shown)], "<u4").tobytes()
+
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
@@ -81,9 +93,7 @@ class Tokenizer(dict):
 
     def _token_bytes(self) -> list[bytes]:
         """The bytes of each id: byte-level vocabularies write byte b as a printable character."""
-        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        rest = [b for b in range(256) if b not in printable]
-        byte_of = {chr(b): b for b in printable} | {chr(256 + k): b for k, b in enumerate(rest)}
+        byte_of = {c: b for b, c in self._shown.items()}
         out = [b""] * self.library.get_vocab_size()
         added = self.library.get_added_tokens_decoder()
         for token, i in self.library.get_vocab().items():
