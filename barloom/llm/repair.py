@@ -4,17 +4,17 @@ A shard holds the ids of consecutive documents. Frequent pairs of neighbouring i
 again; each new id has a rule (its two parts) and an expansion length, so that any range of ids is found by a running sum
 of lengths and only what covers it is expanded. Pairs never cross documents.
 
-Each round replaces many pairs at once: pairs are counted exactly in a table of slots (a pair that shares its slot with
-another waits for the next round, which hashes anew), those that pay for their rule are ranked by count, and where two
-chosen occurrences overlap the more frequent pair wins.
+Each round replaces many pairs at once: a table of slots bounds what pairs can be frequent, these are counted exactly and
+ranked by count, and where two occurrences overlap the more frequent pair wins; of a run of one id every other place counts. The
+rounds end when no pair occurs LEAST times.
 
 Format: one row of a Parquet table for each shard, as any store that Spark writes to takes it: bucket and shard (the
-order), start_in_bucket, n_docs, n_ids, first_new (the first new id), rules (pairs of u32), lengths (u32 of each new id),
+order; a bucket is a range of ids), start_in_bucket, n_docs, n_ids, first_new (the first new id), rules (pairs of u32), lengths (u32 of each new id),
 sequence (u16 or u32, see width), doc_at (u32 place of each document in the sequence, and the end), doc_ids (strings,
-null where the id is), with buckets' sizes in a small table beside it. Documents are in ascending order of (id, text),
-null ids first.
+null where the id is). Documents are in ascending order of id, null ids first, and of a hash of their texts where ids are equal.
 
-Cases: null and empty texts have the end id alone; repeated rows are written one by one; an empty table makes an empty one.
+Cases: null and empty texts have the end id alone; repeated rows and rows with null ids are written one by one; very long texts
+are a shard of their own; vocabularies of any size do; other columns play no part; an empty table makes an empty one.
 """
 
 from __future__ import annotations
@@ -25,16 +25,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import tokenizer
-from .common import order_bucket, partitions
+from .common import partitions
 
 END = 0
 #: Ids of a shard, about; a document is never split.
 SHARD_IDS = 1 << 20
-ROUNDS, SLOTS, LEAST, MOST_RULES = 6, 1 << 17, 6, 3000
+#: Occurrences from which on a pair becomes a rule, and slots of the table that bounds them.
+LEAST, SLOTS = 8, 1 << 18
 
 
 @dataclass
@@ -51,47 +53,42 @@ def compress(ids: np.ndarray, ends: np.ndarray, vocabulary: int) -> tuple[Gramma
     The end id stands last in every document and is never part of a pair, so pairs stay inside documents.
     """
     seq, rules, lengths = ids.astype(np.uint32), [], []
-    total = vocabulary
-    for k in range(ROUNDS):
-        if seq.size < 2:
-            break
+    known = np.ones(vocabulary, np.int64)
+    shift = np.uint32(32 - SLOTS.bit_length() + 1)
+    while seq.size > 1:
         a, b = seq[:-1], seq[1:]
-        slot = ((a * np.uint32((2654435761 + 2 * k * 40503) & 0xFFFFFFFF)) ^ (b * np.uint32((2246822519 + 2 * k * 9973) & 0xFFFFFFFF))) >> np.uint32(15)
-        slot = slot.astype(np.intp)
-        key = (a.astype(np.uint64) << np.uint64(32)) | b
-        held = np.zeros(SLOTS, np.uint64)
-        held[slot] = key
-        own = (held[slot] == key) & (a != END) & (b != END)
-        slot[~own] = SLOTS
-        count = np.bincount(slot, minlength=SLOTS + 1)[:SLOTS]
-        good = np.flatnonzero(count >= LEAST)
-        room = min(MOST_RULES, 65_536 - total) if total < 65_536 else 0
-        if not good.size or room <= 0:
-            break
-        good = good[np.argsort(-count[good], kind="stable")][:room]
-        rank = np.full(SLOTS + 1, len(good), np.int32)
-        rank[good] = np.arange(len(good), dtype=np.int32)
-        at = np.full(seq.size + 1, len(good), np.int32)  # shifted by one: at[i + 1] belongs to the pair at i
-        at[1:-1] = rank[slot]
-        mine = at[1:-1]
-        wins = np.flatnonzero((mine < at[:-2]) & (mine <= at[2:]) & (mine < len(good)))
-        if wins.size < LEAST:
+        may = (a != END) & (b != END)
+        same = a == b
+        if same.any():  # of a run of one id, every other place from its start
+            at = np.arange(a.size)
+            start = np.maximum.accumulate(np.where(same & ~np.append(False, same[:-1]), at, 0))
+            may &= ~(same & ((at - start) & 1 == 1))
+        slot = ((a * np.uint32(2654435761)) ^ (b * np.uint32(2246822519))) * np.uint32(3266489917) >> shift
+        at = np.flatnonzero(may & (np.bincount(slot[may], minlength=SLOTS)[slot] >= LEAST))
+        pairs, which, count = np.unique(a[at].astype(np.uint64) << np.uint64(32) | b[at], return_inverse=True, return_counts=True)
+        if not (count >= LEAST).any():
             break
-        won = mine[wins]
-        kept = np.bincount(won, minlength=len(good)) > 0
-        used, place = np.flatnonzero(kept), (np.cumsum(kept) - 1)[won]
-        pairs = np.stack([held[good[used]] >> np.uint64(32), held[good[used]] & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32)
-        known = np.concatenate([np.ones(vocabulary, np.int64), *lengths])
-        lengths.append(known[pairs].sum(1))
-        rules.append(pairs)
+        rank = np.empty(pairs.size, np.int32)
+        rank[np.argsort(-count, kind="stable")] = np.arange(pairs.size, dtype=np.int32)
+        rank[count < LEAST] = pairs.size
+        place = np.full(seq.size + 1, pairs.size, np.int32)  # shifted by one: place[i + 1] belongs to the pair at i
+        place[at + 1] = rank[which]
+        mine = place[at + 1]
+        wins = (mine < place[at]) & (mine < place[at + 2]) & (mine < pairs.size)
+        won = np.bincount(which[wins], minlength=pairs.size)
+        used = won >= LEAST  # the most frequent pair has all its places, so that every round makes a rule
+        wins &= used[which]
+        new = np.cumsum(used) - 1 + known.size
+        parts = np.stack([pairs[used] >> np.uint64(32), pairs[used] & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32)
+        rules.append(parts)
+        lengths.append(known[parts].sum(1))
+        known = np.concatenate([known, lengths[-1]])
+        at, which = at[wins], which[wins]
         seq = seq.copy()  # the caller's ids stay
-        seq[wins] = (total + place).astype(np.uint32)
+        seq[at] = new[which]
         keep = np.ones(seq.size, bool)
-        keep[wins + 1] = False
+        keep[at + 1] = False
         seq = seq[keep]
-        total += len(used)
-        if wins.size * 50 < seq.size:
-            break
     g = Grammar(vocabulary, np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32), np.concatenate(lengths).astype(np.uint32) if lengths else np.zeros(0, np.uint32), seq)
     doc_ends = np.searchsorted(np.cumsum(symbol_lengths(g, seq)), ends) + 1
     return g, doc_ends
@@ -106,17 +103,7 @@ def symbol_lengths(g: Grammar, symbols: np.ndarray) -> np.ndarray:
 
 def expand(g: Grammar, symbols: np.ndarray) -> np.ndarray:
     """The ids that a stretch of the sequence stands for."""
-    table, first = _table(g)
-    width = symbol_lengths(g, symbols)
-    ends = np.cumsum(width)
-    return table[np.arange(ends[-1] if ends.size else 0) + np.repeat(first[symbols] - (ends - width), width)]
-
-
-def _table(g: Grammar) -> tuple[np.ndarray, np.ndarray]:
-    """All symbols' expansions one after the other, and where each begins. Rules name earlier symbols only."""
-    n = g.first_new + len(g.rules)
-    width = symbol_lengths(g, np.arange(n))
-    out = np.arange(n, dtype=np.uint32)
+    out = symbols.astype(np.uint32)
     while (new := out >= g.first_new).any():
         step = np.where(new, 2, 1)
         at = np.cumsum(step) - step
@@ -125,7 +112,7 @@ def _table(g: Grammar) -> tuple[np.ndarray, np.ndarray]:
         pair = g.rules[out[new] - g.first_new]
         wide[at[new]], wide[at[new] + 1] = pair[:, 0], pair[:, 1]
         out = wide
-    return out, np.cumsum(width) - width
+    return out
 
 
 def ids_between(g: Grammar, start: int, stop: int) -> np.ndarray:
@@ -140,11 +127,11 @@ SHARD = "bucket int, shard int, start_in_bucket long, n_docs int, n_ids long, fi
 
 
 def write(docs: DataFrame, path: str, tokenizer_path: str, *, id_col: str = "doc_id", text: str = "text", shard_ids: int = SHARD_IDS) -> None:
-    """Encode every text and write the shards to path, and the sizes of the buckets to path/../<name>_sizes."""
-    n = partitions(docs.sparkSession)
-    own = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    own = own.withColumn("bucket", order_bucket(own, "doc_id", 4 * n))
-    placed = own.repartition(n, "bucket").sortWithinPartitions("bucket", "doc_id", "text").select("bucket", F.col("doc_id").cast("string").alias("doc_id"), "text")
+    """Encode every text and write the shards to path."""
+    own = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
+    # Ranges of (id, hash) split ids that many rows have; texts take no part in finding them.
+    placed = own.repartitionByRange(partitions(docs.sparkSession), "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text")
+    placed = placed.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
 
     def shards(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         t = tokenizer(tokenizer_path)
@@ -152,26 +139,25 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, *, id_col: str = "doc
         end = np.array([END], "<u4").tobytes()
         held: list[bytes] = []
         names: list[str | None] = []
-        now, shard, start, count = None, 0, 0, 0
+        bucket, shard, start, count = TaskContext.get().partitionId(), 0, 0, 0
 
         def flush() -> pd.DataFrame:
             lens = np.array([len(x) // 4 for x in held])
             g, doc_ends = compress(np.frombuffer(b"".join(held), "<u4"), np.cumsum(lens), size)
             width = 2 if g.first_new + len(g.rules) <= 65_536 else 4
-            row = (now, shard, start, len(held), int(lens.sum()), g.first_new, g.rules.astype("<u4").tobytes(), g.lengths.astype("<u4").tobytes(), width, g.sequence.astype(f"<u{width}").tobytes(), np.append(0, doc_ends).astype("<u4").tobytes(), list(names))
+            row = (bucket, shard, start, len(held), int(lens.sum()), g.first_new, g.rules.astype("<u4").tobytes(), g.lengths.astype("<u4").tobytes(), width, g.sequence.astype(f"<u{width}").tobytes(), np.append(0, doc_ends).astype("<u4").tobytes(), list(names))
             return pd.DataFrame([row], columns=[c.split()[0] for c in SHARD.split(", ")])
 
         for b in batches:
-            for bucket, name, x in zip(b["bucket"].tolist(), b["doc_id"].tolist(), b["text"].tolist()):
-                if held and (bucket != now or count >= shard_ids):
+            for name, x in zip(b["doc_id"].tolist(), b["text"].tolist()):
+                ids = t.encode(x) + end
+                if held and count + len(ids) // 4 > shard_ids:
                     yield flush()
                     shard, start = shard + 1, start + count
                     held, names, count = [], [], 0
-                if bucket != now:
-                    now, shard, start = bucket, 0, 0
-                held.append(t.encode(x) + end)
+                held.append(ids)
                 names.append(name)
-                count += len(held[-1]) // 4
+                count += len(ids) // 4
         if held:
             yield flush()
 
@@ -179,7 +165,7 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, *, id_col: str = "doc
 
 
 def starts(spark: SparkSession, path: str) -> DataFrame:
-    """(bucket, bucket_start): ids in all buckets before. Buckets number 4 for each shuffle partition at most."""
+    """(bucket, bucket_start): ids in all buckets before. There is a bucket for each partition of the writing job at most."""
     sizes = spark.read.schema(SHARD).parquet(path).groupBy("bucket").agg(F.sum("n_ids").alias("n")).orderBy("bucket").collect()
     rows, base = [], 0
     for r in sizes:
@@ -188,21 +174,52 @@ def starts(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(rows, "bucket int, bucket_start long")
 
 
-def read(spark: SparkSession, path: str, *, digest: bool = False, id_type: str = "long") -> DataFrame:
-    """(doc_id, start, n_tokens, ids) of every document in the files; digest: ids_crc32 in place of ids."""
+def _grammar(r) -> Grammar:
+    return Grammar(r.first_new, np.frombuffer(r.rules, "<u4").reshape(-1, 2), np.frombuffer(r.lengths, "<u4"), np.frombuffer(r.sequence, f"<u{r.width}"))
+
+
+def _shards(spark: SparkSession, path: str) -> DataFrame:
+    # A few shards at a time reach a worker: rows are large here.
+    return spark.read.schema(SHARD).parquet(path).join(F.broadcast(starts(spark, path)), "bucket")
+
+
+def read(spark: SparkSession, path: str, *, digest: bool = False, id_type: str = "long", only: list | None = None) -> DataFrame:
+    """(doc_id, start, n_tokens, ids) of every document in the files, or of those with the ids in `only`, of whose shards only what
+    covers them is expanded; digest: ids_crc32 in place of ids."""
     last = "ids_crc32 long" if digest else "ids binary"
+    wanted = None if only is None else {None if x is None else str(x) for x in only}
 
     def documents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for r in b.itertuples(index=False):
-                g = Grammar(r.first_new, np.frombuffer(r.rules, "<u4").reshape(-1, 2), np.frombuffer(r.lengths, "<u4"), np.frombuffer(r.sequence, f"<u{r.width}"))
+                g, names = _grammar(r), list(r.doc_ids)
                 at = np.frombuffer(r.doc_at, "<u4")
                 ends = np.append(0, np.cumsum(symbol_lengths(g, g.sequence)))[at]
-                data = expand(g, g.sequence).astype("<u4").tobytes()
-                parts = [data[4 * i : 4 * j] for i, j in zip(ends.tolist(), ends[1:].tolist())]
+                take = [k for k, x in enumerate(names) if wanted is None or x in wanted]
+                if wanted is None:
+                    data = expand(g, g.sequence).astype("<u4").tobytes()
+                    parts = [data[4 * i : 4 * j] for i, j in zip(ends.tolist(), ends[1:].tolist())]
+                else:
+                    parts = [expand(g, g.sequence[at[k] : at[k + 1]]).astype("<u4").tobytes() for k in take]
                 base = r.bucket_start + r.start_in_bucket
-                yield pd.DataFrame({"doc_id": pd.Series(list(r.doc_ids), dtype=object), "start": ends[:-1] + base, "n_tokens": np.diff(ends), last.split()[0]: [zlib.crc32(x) if digest else x for x in parts]})
+                yield pd.DataFrame({"doc_id": pd.Series([names[k] for k in take], dtype=object), "start": ends[:-1][take] + base, "n_tokens": np.diff(ends)[take], last.split()[0]: [zlib.crc32(x) if digest else x for x in parts]})
 
-    # A few shards at a time reach a worker: rows are large here.
-    shards = spark.read.schema(SHARD).parquet(path).join(F.broadcast(starts(spark, path)), "bucket")
+    shards = _shards(spark, path)
+    if wanted is not None:
+        some = F.arrays_overlap("doc_ids", F.array(*map(F.lit, sorted(x for x in wanted if x is not None))).cast("array<string>"))
+        shards = shards.filter(F.coalesce(some, F.lit(True)))
     return shards.mapInPandas(documents, f"doc_id string, start long, n_tokens long, {last}").withColumn("doc_id", F.col("doc_id").cast(id_type))
+
+
+def read_range(spark: SparkSession, path: str, start: int, stop: int) -> DataFrame:
+    """(start, ids): the ids from start to stop of all documents' ids, by shard; other shards aren't decoded."""
+
+    def parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for r in b.itertuples(index=False):
+                base = r.bucket_start + r.start_in_bucket
+                lo, hi = max(start, base), min(stop, base + r.n_ids)
+                yield pd.DataFrame({"start": [lo], "ids": [ids_between(_grammar(r), lo - base, hi - base).astype("<u4").tobytes()]})
+
+    first = F.col("bucket_start") + F.col("start_in_bucket")
+    return _shards(spark, path).filter((first < stop) & (first + F.col("n_ids") > start)).mapInPandas(parts, "start long, ids binary")

@@ -174,6 +174,39 @@ def test_repair_random_access():
         assert (repair.ids_between(g, a, b) == ids[a:b]).all()
 
 
+def test_repair_leaves_no_frequent_pair():
+    rng = np.random.default_rng(2)
+    for vocabulary, ids in ((10, [5] * 4000), (70_000, [7, 9] * 2000), (50, rng.integers(1, 12, 6000).tolist()), (100_000, np.tile(rng.integers(1, 90_000, 70), 60).tolist()), (9, [3, 3, 3, 4] * 500 + [4] * 333), (9, [])):
+        ids = np.array([*ids, repair.END], np.uint32)
+        g, at = repair.compress(ids, np.array([ids.size]), vocabulary)
+        assert (repair.expand(g, g.sequence) == ids).all() and at.tolist() == [g.sequence.size]
+        count, k = {}, 0
+        seq = g.sequence.tolist()
+        while k + 1 < len(seq):
+            pair = (seq[k], seq[k + 1])
+            if repair.END not in pair:
+                count[pair] = count.get(pair, 0) + 1
+            # Of a run of one id every other place counts.
+            k += 2 if pair[0] == pair[1] and k + 2 < len(seq) and seq[k + 2] == pair[0] else 1
+        assert max(count.values(), default=0) < repair.LEAST
+        if vocabulary in (10, 70_000):
+            assert len(seq) < 40
+
+
+def test_repair_reads_parts_of_the_files(spark, docs, tmp_path):
+    path = f"file://{tmp_path}/tokens"
+    more = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(None, "no id here"), (None, None)], "doc_id long, text string"))
+    repair.write(more, path, queries.tokenizer_path(), shard_ids=2000)
+    every = sorted(repair.read(spark, path).collect(), key=lambda r: r.start)
+    whole = b"".join(r.ids for r in every)
+    assert [r.doc_id for r in every] == [None, None, *sorted(i for i, *_ in rows())]
+    for a, b in ((0, 1), (3, 2500), (1999, 2001), (len(whole) // 4 - 5, len(whole) // 4)):
+        got = sorted(repair.read_range(spark, path, a, b).collect())
+        assert b"".join(r.ids for r in got) == whole[4 * a : 4 * b] and got[0].start == a
+    got = {(r.start, r.doc_id, bytes(r.ids)) for r in repair.read(spark, path, only=[3, 9, None]).collect()}
+    assert got == {(r.start, r.doc_id, bytes(r.ids)) for r in every if r.doc_id in (3, 9, None)} and len(got) == 5
+
+
 def quality_counts(text):
     text = text or ""
     w = WORD.findall(text)
