@@ -20,8 +20,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from sys import byteorder
 
 import numpy as np
 import pandas as pd
@@ -33,7 +35,7 @@ PIECE = 16_384
 #: First window on either side of a join, in characters.
 MARGIN = 64
 #: Pretokens whose ids a worker remembers, and as many older ones.
-REMEMBERED = 400_000
+REMEMBERED = 500_000
 
 # The letters of the fast pattern, and the contractions of the vocabulary's own pattern.
 LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
@@ -74,7 +76,10 @@ class Tokenizer(dict):
             shown = self._shown[32] + text[1:]
         else:
             shown = text.encode("utf-8").decode("latin-1").translate(self._shown)
-        return np.array([x.id for x in self.model.tokenize(shown)], "<u4").tobytes()
+        ids = array("I", [x.id for x in self.model.tokenize(shown)])
+        if byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
 
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()

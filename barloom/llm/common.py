@@ -52,24 +52,6 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def order_bucket(df: DataFrame, key: str, buckets: int, segments: int = 16) -> Column:
-    """A bucket number that never falls as the numeric key rises (null: lowest), near-equal in rows.
-
-    Between `segments` approximate quantiles the key range is cut evenly, so that the driver holds 17 numbers at any
-    size and the expression stays a short CASE. Equal keys share a bucket.
-    """
-    x = F.col(key).cast("double")
-    cuts = sorted(set(df.select(x.alias("x")).approxQuantile("x", [i / segments for i in range(segments + 1)], 0.002)))
-    if len(cuts) < 2:
-        return F.lit(0)
-    sub = max(1, buckets // (len(cuts) - 1))
-    out = F.when(x.isNull() | (x < cuts[0]), F.lit(0))
-    for j, (lo, hi) in enumerate(zip(cuts, cuts[1:])):
-        step = F.least(F.floor((x - F.lit(lo)) * F.lit(sub / (hi - lo))), F.lit(sub - 1))
-        out = out.when(x < F.lit(hi), step.cast("int") + F.lit(j * sub))
-    return out.otherwise(F.lit((len(cuts) - 1) * sub - 1))
-
-
 def global_rank(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
     """Add the 1-based position of each row in a total order, without one task that sees all rows.
 

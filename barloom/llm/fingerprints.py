@@ -9,19 +9,24 @@ are equal or differ by one: twice the longest common subsequence of chunks over
 edit distance (insertions and deletions) by its largest value. Other levels give 0.
 
 Cases: null and empty texts have the fingerprint of no chunks; two of these are alike with 1, one of them and another
-text with 0. Equal texts have equal fingerprints. Repeated rows are rows of their own in order_next().
+text with 0. Equal texts have equal fingerprints. Repeated rows and rows with null ids, which come last, are rows of their own; ties of
+ids go by a hash of the text; very long texts are worked on by themselves; other columns play no part; an empty table gives an
+empty result, and a single row is its own next one.
 """
 
 from __future__ import annotations
 
+import hashlib
 from bisect import bisect_left
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import order_bucket, partitions
+from .common import materialize, partitions
 
 WIDTH, LEVEL, CHUNKS = 7, 2, 64
 DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
@@ -103,55 +108,62 @@ def likeness(x: str | None, y: str | None) -> float:
     return 4.0 * _common(a, b) / (len(a) + len(b)) if a and b else 0.0
 
 
-def _fingerprints(texts: pd.Series) -> pd.Series:
-    return texts.map(fingerprint)
+def edited(text: str, after: str) -> str:
+    """A text whose last third is replaced by as many of the next one's characters."""
+    third = len(text) // 3
+    return text[: len(text) - third] + after[:third] if third else text
 
 
-def _likenesses(xs: pd.Series, ys: pd.Series) -> pd.Series:
-    return pd.Series([likeness(a, b) for a, b in zip(xs, ys)], dtype=float)
+#: done: a row's results; first, last: a partition's first text and its last row, whose next one lies in another partition.
+_ROW = "kind string, part int, doc_id string, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, text string"
+_NAMES = [c.split()[0] for c in _ROW.split(", ")]
 
 
-def fingerprint_of(text: str) -> Column:
-    return F.pandas_udf(_fingerprints, "string")(text)
+def _result(part: int, name: str | None, text: str, mark: str, after: str, after_mark: str) -> tuple:
+    other = edited(text, after)
+    other_mark = mark if other == text else fingerprint(other)
+    return ("done", part, name, len(text), hashlib.sha256(other.encode("utf-8", "replace")).hexdigest(), mark, other_mark, likeness(mark, other_mark), likeness(mark, after_mark), None)
 
 
-def likeness_of(x: str, y: str) -> Column:
-    return F.pandas_udf(_likenesses, "double")(x, y)
+def _in_order(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    part = TaskContext.get().partitionId()
+    held = None
+    for b in batches:
+        out = []
+        for name, text in zip(b["doc_id"].tolist(), b["text"].tolist()):
+            mark = fingerprint(text)
+            if held is None:
+                out.append(("first", part, None, None, None, mark, None, None, None, text))
+            else:
+                out.append(_result(part, *held, text, mark))
+            held = name, text, mark
+        yield pd.DataFrame(out, columns=_NAMES)
+    if held is not None:
+        name, text, mark = held
+        yield pd.DataFrame([("last", part, name, None, None, mark, None, None, None, text)], columns=_NAMES)
 
 
-def order_next(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, text, next_text, own): rows in descending id (ties by text, null ids
-    last), each beside the next one's text, the last one beside the first's.
-
-    Rows lie in buckets of neighbouring ids, four for each shuffle partition. The first row of a bucket is copied to the
-    end of the bucket before it (own is false for the copy), so that no task sees all rows; the driver holds one id for
-    each bucket.
-    """
-    spark = docs.sparkSession
-    own = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    own = own.withColumn("bucket", order_bucket(own, "doc_id", 4 * partitions(spark)))
-    heads = own.groupBy("bucket").agg(F.max("doc_id").alias("head")).orderBy(F.desc("bucket")).collect()
-    to = [(r["head"], heads[k - 1]["bucket"]) for k, r in enumerate(heads)]  # the first bucket's head goes to the last one
-    kind = docs.schema[id_col].dataType.simpleString()
-    copies = spark.createDataFrame(to, f"head {kind}, goes_to int").filter("head is not null")
-    copied = own.join(F.broadcast(copies), F.col("doc_id") == F.col("head"), "left")
-    places = F.when(F.col("goes_to").isNull(), F.array(F.struct(F.col("bucket").alias("b"), F.lit(True).alias("own")))).otherwise(
-        F.array(F.struct(F.col("bucket").alias("b"), F.lit(True).alias("own")), F.struct(F.col("goes_to").alias("b"), F.lit(False).alias("own")))
-    )
-    rows = copied.select("doc_id", "text", F.explode(places).alias("p")).select("doc_id", "text", "p.b", "p.own")
-    window = Window.partitionBy("b").orderBy(F.desc("own"), F.col("doc_id").desc_nulls_last(), "text")
-    return rows.withColumn("next_text", F.lead("text").over(window))
+def _over_borders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        yield pd.DataFrame([_result(r.part, r.doc_id, r.text, r.fingerprint, r.after, r.after_mark) for r in b.itertuples(index=False)], columns=_NAMES)
 
 
 def edited_and_next(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Fingerprints of every text and of its edited text, in which the last third is replaced by the next text's start,
-    with their likeness and that of the next text."""
-    rows = order_next(docs, id_col, text)
-    n = F.length("text")
-    third = F.floor(n / 3).cast("int")
-    edited = F.concat(F.expr("substring(text, 1, length(text) - cast(floor(length(text) / 3) as int))"), F.coalesce(F.expr("substring(next_text, 1, cast(floor(length(text) / 3) as int))"), F.lit("")))
-    rows = rows.withColumn("edited", F.when(third > 0, edited).otherwise(F.col("text")))
-    # The next text's fingerprint is made once more here: a second window would shuffle the rows again.
-    rows = rows.filter("own").select("doc_id", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), fingerprint_of("text").alias("fingerprint"), fingerprint_of("edited").alias("edited_fingerprint"), fingerprint_of("next_text").alias("next_fingerprint"))
-    near: list[Column] = [likeness_of("fingerprint", c).alias(name) for c, name in (("edited_fingerprint", "near_edited"), ("next_fingerprint", "near_next"))]
-    return rows.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", *near)
+    with their likeness and that of the next text.
+
+    Rows are range-partitioned by descending id (null ids last) and a hash of the text, which splits ids that many rows have, and
+    each is compared with the next one in its partition. The last row of a partition meets the first one of the next by a join of
+    one row for each partition; the driver holds the partitions' numbers.
+    """
+    spark = docs.sparkSession
+    own = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
+    order = [F.col("id").desc_nulls_last(), F.col("tie")]
+    placed = own.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order, "text")
+    rows = materialize(placed.select(F.col("id").cast("string").alias("doc_id"), "text").mapInPandas(_in_order, _ROW), "marked")
+    parts = sorted(r["part"] for r in rows.filter("kind = 'first'").select("part").collect())  # one for each partition at most
+    following = spark.createDataFrame(list(zip(parts, parts[1:] + parts[:1])), "p int, then int")
+    firsts = rows.filter("kind = 'first'").select(F.col("part").alias("q"), F.col("text").alias("after"), F.col("fingerprint").alias("after_mark"))
+    lasts = rows.filter("kind = 'last'").join(F.broadcast(following), F.col("part") == F.col("p")).join(firsts, F.col("then") == F.col("q"))
+    every = rows.filter("kind = 'done'").unionByName(lasts.select("part", "doc_id", "text", "fingerprint", "after", "after_mark").mapInPandas(_over_borders, _ROW))
+    return every.select(F.col("doc_id").cast(docs.schema[id_col].dataType).alias("doc_id"), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")

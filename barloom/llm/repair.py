@@ -63,8 +63,11 @@ def compress(ids: np.ndarray, ends: np.ndarray, vocabulary: int) -> tuple[Gramma
             at = np.arange(a.size)
             start = np.maximum.accumulate(np.where(same & ~np.append(False, same[:-1]), at, 0))
             may &= ~(same & ((at - start) & 1 == 1))
-        slot = ((a * np.uint32(2654435761)) ^ (b * np.uint32(2246822519))) * np.uint32(3266489917) >> shift
-        at = np.flatnonzero(may & (np.bincount(slot[may], minlength=SLOTS)[slot] >= LEAST))
+        slot = (((a * np.uint32(2654435761)) ^ (b * np.uint32(2246822519))) * np.uint32(3266489917) >> shift).astype(np.intp)
+        slot[~may] = SLOTS
+        often = np.bincount(slot, minlength=SLOTS + 1) >= LEAST
+        often[SLOTS] = False
+        at = np.flatnonzero(often[slot])
         pairs, which, count = np.unique(a[at].astype(np.uint64) << np.uint64(32) | b[at], return_inverse=True, return_counts=True)
         if not (count >= LEAST).any():
             break
@@ -103,6 +106,17 @@ def symbol_lengths(g: Grammar, symbols: np.ndarray) -> np.ndarray:
 
 def expand(g: Grammar, symbols: np.ndarray) -> np.ndarray:
     """The ids that a stretch of the sequence stands for."""
+    if symbols.size <= len(g.rules):
+        return _expanded(g, symbols)
+    # Every symbol is expanded once, and looked up.
+    n = g.first_new + len(g.rules)
+    table, width = _expanded(g, np.arange(n)), symbol_lengths(g, np.arange(n))
+    first, size = (np.cumsum(width) - width)[symbols], width[symbols]
+    ends = np.cumsum(size)
+    return table[np.arange(ends[-1]) + np.repeat(first - (ends - size), size)]
+
+
+def _expanded(g: Grammar, symbols: np.ndarray) -> np.ndarray:
     out = symbols.astype(np.uint32)
     while (new := out >= g.first_new).any():
         step = np.where(new, 2, 1)

@@ -67,6 +67,30 @@ def test_fingerprints_null_ids_and_empty(spark, empty):
     assert fingerprints.edited_and_next(empty).isEmpty()
     df = spark.createDataFrame([(None, "aaa"), (None, "b"), (5, "c")], "doc_id long, text string")
     assert fingerprints.edited_and_next(df).count() == 3
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    only = spark.createDataFrame([(None, "aaaaaa"), (None, "bbbbbb")], "doc_id long, text string")
+    assert sorted(r.edited_sha256 for r in fingerprints.edited_and_next(only).collect()) == sorted(map(sha, ("aaaabb", "bbbbaa")))
+    one = spark.createDataFrame([("x", "abcdef")], "doc_id string, text string")
+    assert [(r.doc_id, r.edited_sha256) for r in fingerprints.edited_and_next(one).collect()] == [("x", sha("abcdab"))]
+
+
+def test_likeness_by_a_plain_table():
+    rng = random.Random(21)
+    for _ in range(60):
+        a = "".join(rng.choice("abcd ") for _ in range(rng.randrange(20, 900)))
+        b = a[: len(a) // 2] + "".join(rng.choice("abcd ") for _ in range(rng.randrange(0, 400)))
+        x, y = fingerprints.fingerprint(a), fingerprints.fingerprint(b)
+        (i, *s), (j, *u) = x.split(":"), y.split(":")
+        pair = {0: (s[0], u[0]), 1: (s[0], u[1]), -1: (s[1], u[0])}.get(int(i) - int(j))
+        want = 0.0
+        if pair:
+            p, q = ([v[k : k + 2] for k in range(0, len(v), 2)] for v in pair)
+            table = [[0] * (len(q) + 1) for _ in range(len(p) + 1)]
+            for m, c in enumerate(p):
+                for n, d in enumerate(q):
+                    table[m + 1][n + 1] = table[m][n] + 1 if c == d else max(table[m][n + 1], table[m + 1][n])
+            want = 2.0 * table[-1][-1] / (len(p) + len(q))
+        assert fingerprints.likeness(x, y) == (1.0 if x == y else pytest.approx(want))
 
 
 def water(sizes):
