@@ -34,7 +34,7 @@ from .common import materialize
 KINDS = ("assign", "access", "hex", "format")
 SAMPLE, ORDINARY, ALPHA = 500, 4000, 0.01
 SHORTEST = 6
-#: Scores that a worker keeps.
+#: Scores that a worker keeps, and strings that it gathers before it gives them out, about.
 KNOWN = 1 << 16
 #: Characters before a token that tell its places apart.
 BEFORE = 24
@@ -200,6 +200,9 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """(k, x, lo, hi): the distinct credentials of the rules' kinds, and candidates as kind 3, with the smallest and the largest
     hash of the characters before them."""
 
+    def frame(seen: dict[tuple[int, str], tuple[int, int]]) -> pd.DataFrame:
+        return pd.DataFrame([(k, x, lo, hi) for (k, x), (lo, hi) in seen.items()], columns=["k", "x", "lo", "hi"])
+
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             seen: dict[tuple[int, str], tuple[int, int]] = {}
@@ -211,7 +214,10 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
                     h = zlib.crc32(value[max(0, a - BEFORE) : a].encode("utf-8", "replace"))
                     lo, hi = seen.get((3, x), (h, h))
                     seen[3, x] = (min(lo, h), max(hi, h))
-            yield pd.DataFrame([(k, x, lo, hi) for (k, x), (lo, hi) in seen.items()], columns=["k", "x", "lo", "hi"])
+                if len(seen) >= KNOWN:
+                    yield frame(seen)
+                    seen.clear()
+            yield frame(seen)
 
     own = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"))
     found = own.mapInPandas(rows, "k int, x string, lo long, hi long")
