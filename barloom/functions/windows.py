@@ -140,7 +140,7 @@ def emas(df: DataFrame, spans: dict[str, tuple[str, int]], chunk: int = 128) ->
     """Add exponential moving averages, name -> (column, span), each starting at its key's first row.
 
     A series is cut into chunks of rows. In a chunk the recurrence is a weighted running sum; only each chunk's last value
-    is passed on, by one fold over a key's chunks, which are 1/chunk of its rows.
+    is passed on, over as many chunks as it takes to weigh less than a double's precision.
     """
     out = df.withColumn("__i", F.row_number().over(order()) - 1)
     out = out.withColumn("__c", F.floor(F.col("__i") / chunk)).withColumn("__j", F.col("__i") % chunk)
@@ -152,7 +152,9 @@ def emas(df: DataFrame, spans: dict[str, tuple[str, int]], chunk: int = 128) ->
         out = out.withColumn(f"__l_{name}", grown * F.pow(F.lit(keep), F.col("__j")))
     last = [F.max_by(f"__l_{n}", "__j").alias(f"e_{n}") for n in spans]
     ends = out.groupBy(KEY, "__c").agg((F.max("__j") + 1).alias("m"), *last)
-    before = Window.partitionBy(KEY).orderBy("__c").rowsBetween(Window.unboundedPreceding, -1)
+    longest = max((span for _, span in spans.values()), default=1)
+    felt = 1 if longest <= 1 else math.ceil(-42 / (chunk * math.log(1 - 2.0 / (longest + 1)))) + 1
+    before = Window.partitionBy(KEY).orderBy("__c").rowsBetween(-felt, -1)
     held = ends.withColumn("__held", F.collect_list(F.struct("m", *(f"e_{n}" for n in spans))).over(before))
     for name, (_, span) in spans.items():
         keep = 1 - 2.0 / (span + 1)

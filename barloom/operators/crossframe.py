@@ -47,3 +47,30 @@ def merged(fast: DataFrame, slow: DataFrame, *families: str) -> DataFrame:
     """Fast features, the previous day's slow features and the cross features in one frame."""
     ready = features.add(fast, *dict.fromkeys(("base", "adx", "slopes", *families)))
     return cross_features(asof.previous_day(ready, slow_features(slow)))
+
+
+def slow_ema_features(slow: DataFrame) -> DataFrame:
+    """Averages of 21 and 50 slow bars and the trend against the first: 1 above it, else -1; strength is the relative distance."""
+    out = w.emas(slow, {"ema_21": ("close", 21), "ema_50": ("close", 50)})
+    return out.withColumns({
+        "trend": F.when(c("close") > c("ema_21"), 1).otherwise(-1),
+        "trend_strength": F.abs(F.try_divide(c("close") - c("ema_21"), "ema_21")),
+        "rsi_overbought": flag(c("rsi_value") > 70), "rsi_oversold": flag(c("rsi_value") < 30), "rsi_momentum": w.diff("rsi_value"),
+        "bb_extreme_high": flag(c("bb_position") > 0.9), "bb_extreme_low": flag(c("bb_position") < 0.1),
+    })
+
+
+def pair_features(joined: DataFrame) -> DataFrame:
+    """Differences, ratios and common states of a fast row and its slow one (columns d1_...)."""
+    ratio = lambda a, b: F.try_divide(c(a), F.nullif(c(b), F.lit(0.0)))
+    return joined.withColumns({
+        "h4_d1_rsi_diff": c("rsi_value") - c("d1_rsi_value"), "h4_d1_rsi_ratio": ratio("rsi_value", "d1_rsi_value"),
+        "d1_bb_extreme": flag(c("d1_bb_position") >= 0.95), "h4_d1_bb_diff": c("bb_position") - c("d1_bb_position"),
+        "d1_uptrend": flag(c("d1_trend_strength") > 0.3), "d1_downtrend": flag(c("d1_trend_strength") < -0.3),
+        "d1_strong_trend": flag(F.abs("d1_trend_strength") > 0.7), "h4_d1_trend_diff": c("trend_strength") - c("d1_trend_strength"),
+        "h4_d1_trend_aligned": flag(F.signum("trend_strength") == F.signum("d1_trend_strength")),
+        "mtf_trend_conflict": flag(F.signum("trend_strength") * F.signum("d1_trend_strength") < 0),
+        "h4_d1_vol_ratio": ratio("atr_pct", "d1_atr_pct"), "d1_vol_high": flag(c("d1_atr_pct") > w.quantile("d1_atr_pct", 0.8, 20)),
+        "mtf_rsi_both_overbought": flag((c("rsi_value") > 65) & (c("d1_rsi_value") > 65)), "mtf_rsi_both_oversold": flag((c("rsi_value") < 35) & (c("d1_rsi_value") < 35)),
+        "mtf_bb_both_high": flag((c("bb_position") > 0.8) & (c("d1_bb_position") > 0.8)), "mtf_bb_both_low": flag((c("bb_position") < 0.2) & (c("d1_bb_position") < 0.2)),
+    })

@@ -72,6 +72,26 @@ def best_threshold(sweep: DataFrame, metric: str, least: int = 100) -> DataFrame
     return sweep.filter(c("n_trades") >= least).agg(F.max_by("threshold", F.struct(F.round(metric, 9), -c("threshold"))).alias("threshold"), F.max(metric).alias(metric))
 
 
+def fold_thresholds(predictions: DataFrame, thresholds: list[float], fold: str = "fold", least: int = 5) -> DataFrame:
+    """A row for each fold and threshold: the trades at or above it against all of the fold's; none counted where fewer than
+    `least` are left, improved where their mean is above the fold's."""
+    passed = F.filter(F.array(*map(F.lit, thresholds)), lambda t: t <= F.col("model_probability"))
+    rows = predictions.select(c(fold).alias("__f"), F.explode(passed).alias("__t"), win().cast("int").alias("w"), c("pips_result").alias("p"))
+    at = rows.groupBy("__f", "__t").agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("w"), F.sum("p").alias("p")).filter(c("n") >= least)
+    base = predictions.groupBy(fold).agg(F.avg("pips_result").alias("base_avg_pips")).withColumn("threshold", F.explode(F.array(*map(F.lit, thresholds))))
+    out = base.join(at, c(fold).eqNullSafe(c("__f")) & (c("threshold") == c("__t")), "left")
+    return out.select(
+        fold, "threshold", F.coalesce("n", F.lit(0)).alias("n_trades"), F.coalesce("w", F.lit(0)).alias("wins"), F.coalesce("p", F.lit(0.0)).alias("total_pips"),
+        F.coalesce(c("w") / c("n"), F.lit(0.0)).alias("win_rate"), F.coalesce(c("p") / c("n"), F.lit(0.0)).alias("avg_pips"), F.coalesce(c("p") / c("n") > c("base_avg_pips"), F.lit(False)).alias("improved"),
+    )
+
+
+def improved_folds(rows: DataFrame) -> DataFrame:
+    """fold_thresholds() by threshold: folds in all, folds that improved, and the trades of all folds."""
+    out = rows.groupBy("threshold").agg(F.count(F.lit(1)).alias("n_folds"), F.count_if(c("improved")).alias("n_improved"), F.sum("n_trades").alias("n_trades"), F.sum("wins").alias("wins"), F.sum("total_pips").alias("total_pips"))
+    return out.withColumn("win_rate", F.coalesce(F.try_divide("wins", "n_trades"), F.lit(0.0))).withColumn("avg_pips", F.coalesce(F.try_divide("total_pips", "n_trades"), F.lit(0.0)))
+
+
 def ev_threshold(predictions: DataFrame, tp: float, sl: float, thresholds: list[float], by: list[str], least: int = 20) -> DataFrame:
     """For each group the threshold with the best expected value, the lowest of equal ones; needs `least` trades."""
     passed = F.filter(F.array(*map(F.lit, thresholds)), lambda t: t <= F.col("model_probability"))

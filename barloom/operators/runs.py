@@ -124,6 +124,14 @@ def date_folds(df: DataFrame, n_folds: int, test_days: int, calibration_days: in
     return f.select("fold", F.date_sub(end, test_days + calibration_days).alias("cal_start"), F.date_sub(end, test_days).alias("test_start"), end.alias("test_end"))
 
 
+def fixed_folds(df: DataFrame, folds: list[tuple[str, str, str]]) -> DataFrame:
+    """Each row with the named folds (name, train_end, test_end) that it is in: train before train_end, test from then on and
+    before test_end; days, half-open."""
+    day = F.to_date("ts")
+    parts = [F.struct(F.lit(n).alias("fold"), F.when(day < F.lit(a).cast("date"), "train").when(day < F.lit(b).cast("date"), "test").alias("part")) for n, a, b in folds]
+    return df.withColumn("__f", F.explode(F.filter(F.array(*parts), lambda f: f["part"].isNotNull()))).select(*df.columns, "__f.fold", "__f.part")
+
+
 def assign_folds(df: DataFrame, folds: DataFrame, purge_days: int = 0) -> DataFrame:
     """Each row with the fold and the part (train, cal or test) that it is in; purge drops train rows that close to cal."""
     day = F.to_date("ts")

@@ -92,3 +92,12 @@ def resample_summary(paths: DataFrame, by: list[str], ruin: float) -> DataFrame:
 def by_regime(trades: DataFrame, regime: str, weak: float = 0.0) -> DataFrame:
     out = trades.groupBy(regime).agg(F.count(F.lit(1)).alias("n_trades"), F.avg((c("outcome") == "WIN").cast("double")).alias("win_rate"), F.avg("pips_result").alias("avg_pips"))
     return out.withColumn("weak", c("avg_pips") < weak)
+
+
+def final_report(trades: DataFrame, parts: dict[str, str]) -> DataFrame:
+    """(section, item, ...): results of all trades and by each of the columns named (section -> column), from one scan."""
+    items = [F.struct(F.lit("all").alias("section"), F.lit("all").alias("item")), *(F.struct(F.lit(s).alias("section"), c(x).cast("string").alias("item")) for s, x in parts.items())]
+    rows = trades.select(F.explode(F.array(*items)).alias("i"), (c("outcome") == "WIN").cast("int").alias("w"), c("pips_result").alias("p"))
+    gains, losses = F.sum(F.when(c("p") > 0, c("p")).otherwise(0.0)), F.sum(F.when(c("p") < 0, -c("p")).otherwise(0.0))
+    out = rows.groupBy("i.section", "i.item").agg(F.count(F.lit(1)).alias("n_trades"), F.sum("w").alias("wins"), F.sum("p").alias("total_pips"), F.try_divide(gains, losses).alias("profit_factor"))
+    return out.withColumns({"win_rate": c("wins") / c("n_trades"), "avg_pips": c("total_pips") / c("n_trades"), "weak": c("total_pips") < 0})

@@ -6,9 +6,12 @@ from dataclasses import dataclass
 from functools import reduce
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barloom.functions.distributions import t_two_sided
+
 from .metrics import loss, win
 
 c = F.col
@@ -22,16 +25,36 @@ def config_list(trades: DataFrame) -> DataFrame:
     return trades.groupBy("config_id").agg(F.count(F.lit(1)).alias("n_trades"), F.count_if(win()).alias("wins"), (F.count_if(win()) * 100 / F.count(F.lit(1))).alias("win_percent"))
 
 
-def feature_comparison(trades: DataFrame, features: list[str], least: int = 30) -> DataFrame:
-    """Wins against losses, all features in one pass: means, deviations, difference, Welch t and df, Cohen's d, direction."""
-    long = trades.filter(win() | loss()).select(win().alias("w"), *(c(f).cast("double").alias(f) for f in features)).unpivot(["w"], features, "feature", "value").filter("value is not null")
-    one = lambda f, x, n: f(F.when(x, c("value"))).alias(n)
-    m = long.groupBy("feature").agg(*(one(f, x, f"{n}_{s}") for s, x in (("win", c("w")), ("loss", ~c("w"))) for f, n in ((F.count, "n"), (F.avg, "mean"), (F.stddev_samp, "std"))))
-    m = m.filter((c("n_win") >= least) & (c("n_loss") >= least))
+def _two_sided(t: pd.Series, df: pd.Series) -> pd.Series:
+    return pd.Series([t_two_sided(None if pd.isna(x) else x, None if pd.isna(n) else n) for x, n in zip(t, df)], dtype=float)
+
+
+def feature_comparison(trades: DataFrame, features: list[str], least: int = 30, alpha: float = 0.05) -> DataFrame:
+    """Losses against wins, all features in one pass over the trades; the tests are made on one row a feature.
+
+    difference: mean of losses less that of wins, and in percent of the latter; t, df and p_value of Welch's test of wins against
+    losses; effect_size: Cohen's d, of which deviations are pooled with equal weights; place: significant ones first, then by
+    effect_size.
+    """
+    long = trades.filter(win() | loss()).select(win().alias("w"), *(c(f).cast("double").alias(f) for f in features))
+    long = long.unpivot(["w"], features, "feature", "value").filter("value is not null")
+    sides = {"win": c("w"), "loss": ~c("w")}
+    one = [f(F.when(x, c("value"))).alias(f"{n}_{s}") for s, x in sides.items() for f, n in ((F.count, "n"), (F.avg, "mean"), (F.stddev_samp, "std"))]
+    m = long.groupBy("feature").agg(*one).filter((c("n_win") >= least) & (c("n_loss") >= least))
     vw, vl = c("std_win") ** 2 / c("n_win"), c("std_loss") ** 2 / c("n_loss")
-    pooled = F.sqrt(((c("n_win") - 1) * c("std_win") ** 2 + (c("n_loss") - 1) * c("std_loss") ** 2) / (c("n_win") + c("n_loss") - 2))
-    d = c("mean_win") - c("mean_loss")
-    return m.withColumns({"difference": d, "difference_percent": F.try_divide(d * 100, F.abs("mean_loss")), "t": F.try_divide(d, F.sqrt(vw + vl)), "df": F.try_divide((vw + vl) ** 2, vw**2 / (c("n_win") - 1) + vl**2 / (c("n_loss") - 1)), "cohen_d": F.try_divide(d, pooled), "direction": F.when(d > 0, "higher_in_wins").otherwise("higher_in_losses")})
+    d = c("mean_loss") - c("mean_win")
+    pooled = F.sqrt((c("std_win") ** 2 + c("std_loss") ** 2) / 2)
+    m = m.withColumns({
+        "difference": d,
+        "difference_percent": F.coalesce(F.try_divide(d * 100, F.abs("mean_win")), F.lit(0.0)),
+        "t": F.try_divide(-d, F.sqrt(vw + vl)),
+        "df": F.try_divide((vw + vl) ** 2, vw**2 / (c("n_win") - 1) + vl**2 / (c("n_loss") - 1)),
+        "effect_size": F.coalesce(F.abs(F.try_divide(d, pooled)), F.lit(0.0)),
+        "direction": F.when(d > 0, "higher_in_losses").otherwise("higher_in_wins"),
+    })
+    m = m.withColumn("p_value", F.pandas_udf(_two_sided, "double")("t", "df")).withColumn("is_significant", F.coalesce(c("p_value") < alpha, F.lit(False)))
+    first = Window.orderBy(F.desc("is_significant"), F.round("effect_size", 9).desc(), "feature")  # a row for each feature
+    return m.withColumn("place", F.row_number().over(first))
 
 
 SESSIONS = {"Asian": "is_asian_session", "London": "is_london_session", "NY": "is_ny_session", "Overlap": "is_overlap_session"}
@@ -57,8 +80,6 @@ def confidence_buckets(trades: DataFrame, least: int = 5) -> DataFrame:
 
 def best_confidence(trades: DataFrame, lo: int = 50, hi: int = 85) -> DataFrame:
     """The cut in hundredths with the best win rate, before the first that leaves fewer than 10 % of trades (or 10)."""
-    from pyspark.sql import Window
-
     cuts = F.sequence(F.lit(lo), F.least(F.floor(c("model_probability") * 100 + 1e-9).cast("int"), F.lit(hi)))
     cum = trades.filter(c("model_probability") >= lo / 100).withColumn("cut", F.explode(cuts)).groupBy("cut").agg(F.count(F.lit(1)).alias("n_trades"), F.count_if(win()).alias("wins"))
     total = trades.agg(F.count(F.lit(1)).alias("total"))
@@ -122,24 +143,44 @@ def dynamic_rules(trades: DataFrame, features: list[str], cuts: tuple[float, ...
     return [Rule(f, op, round(v, 6)) for f in features for v in row[f] or [] for op in (">=", "<")]
 
 
-def impact(trades: DataFrame, rules: dict[str, list[Rule]], tp: float, sl: float, by: list[str] | None = None, batch: int = 60) -> DataFrame:
-    """What keeping only the trades that meet all rules of a name would change: one scan for every `batch` names."""
-    names, by, parts = list(rules), by or [], []
-    for i in range(0, len(names), batch):
-        aggs = []
-        for k, n in enumerate(names[i : i + batch]):
-            kept = reduce(lambda a, b: a & b, [r.column(trades.columns) for r in rules[n]])
-            aggs += [F.count_if(kept).alias(f"n{k}"), F.count_if(kept & win()).alias(f"w{k}"), F.count_if(kept & loss()).alias(f"l{k}"), F.sum(F.when(kept, c("pips_result")).otherwise(0.0)).alias(f"p{k}")]
-        one = trades.groupBy(*by).agg(F.count(F.lit(1)).alias("n_before"), F.count_if(win()).alias("wins_before"), F.count_if(loss()).alias("losses_before"), F.sum("pips_result").alias("pips_before"), *aggs)
-        each = F.array(*(F.struct(F.lit(n).alias("rule"), c(f"n{k}").alias("n_after"), c(f"w{k}").alias("wins_after"), c(f"l{k}").alias("losses_after"), c(f"p{k}").alias("pips_after")) for k, n in enumerate(names[i : i + batch])))
-        parts.append(one.select(*by, "n_before", "wins_before", "losses_before", "pips_before", F.explode(each).alias("r")).select(*by, "n_before", "wins_before", "losses_before", "pips_before", "r.*"))
-    out = reduce(DataFrame.unionByName, parts)
+def impact(trades: DataFrame, rules: dict[str, list[Rule]], tp: float, sl: float, by: list[str] | None = None) -> DataFrame:
+    """What keeping only the trades that meet all rules of a name would change.
+
+    One scan: each trade is spread over the rules it meets and counted by rule, which Spark sums up before its shuffle.
+    """
+    names, by = list(rules), by or []
+    met = [F.when(reduce(lambda a, b: a & b, [r.column(trades.columns) for r in rules[n]]), F.lit(k)) for k, n in enumerate(names)]
+    narrow = trades.select(*by, win().cast("int").alias("w"), loss().cast("int").alias("l"), c("pips_result").alias("p"), F.array_compact(F.array(*met)).alias("met"))
+    sums = lambda end: [F.count(F.lit(1)).alias(f"n_{end}"), F.sum("w").alias(f"wins_{end}"), F.sum("l").alias(f"losses_{end}"), F.sum("p").alias(f"pips_{end}")]
+    after = narrow.select(*(c(b).alias(f"__{b}") for b in by), F.explode("met").alias("__k"), "w", "l", "p").groupBy(*(f"__{b}" for b in by), "__k").agg(*sums("after"))
+    every = narrow.groupBy(*by).agg(*sums("before")).withColumn("r", F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.lit(n).alias("rule")) for k, n in enumerate(names)))))
+    same = reduce(lambda a, b: a & b, [c(b).eqNullSafe(c(f"__{b}")) for b in by], c("r.k") == c("__k"))
+    zero = {f"{n}_after": F.coalesce(f"{n}_after", F.lit(0)) for n in ("n", "wins", "losses")} | {"pips_after": F.coalesce("pips_after", F.lit(0.0))}
+    out = every.join(after, same, "left").withColumns(zero)
+    out = out.select(*by, "n_before", "wins_before", "losses_before", "pips_before", "r.rule", "n_after", "wins_after", "losses_after", "pips_after")
     out = out.withColumns({"wins_removed": c("wins_before") - c("wins_after"), "losses_removed": c("losses_before") - c("losses_after")})
     out = out.withColumns({"pips_saved": c("losses_removed") * float(sl), "pips_lost": c("wins_removed") * float(tp)})
-    out = out.withColumns({"net_pips": c("pips_saved") - c("pips_lost"), "efficiency": F.when(c("wins_removed") > 0, c("losses_removed") / c("wins_removed")), "loss_removal": F.coalesce(F.try_divide("losses_removed", "losses_before"), F.lit(0.0)), "win_preservation": F.coalesce(F.try_divide("wins_after", "wins_before"), F.lit(0.0))})
+    out = out.withColumns({
+        "net_pips": c("pips_saved") - c("pips_lost"),
+        "efficiency": F.when(c("wins_removed") > 0, c("losses_removed") / c("wins_removed")),
+        "loss_removal": F.coalesce(F.try_divide("losses_removed", "losses_before"), F.lit(0.0)),
+        "win_preservation": F.coalesce(F.try_divide("wins_after", "wins_before"), F.lit(0.0)),
+    })
     return out.withColumn("percent_improvement", F.coalesce(F.try_divide(c("net_pips") * 100, F.abs("pips_before")), F.lit(0.0)))
 
 
+def filter_comparison(trades: DataFrame, filters: dict[str, Column], least: int = 50) -> DataFrame:
+    """Trades that each filter leaves against all of them (filter `none`): counts, win rate, pips and gain; better from `least`
+    trades on. One scan, as for rules."""
+    every = {"none": F.lit(True)} | filters
+    met = F.array_compact(F.array(*(F.when(x, F.lit(n)) for n, x in every.items())))
+    by = trades.select(F.explode(met).alias("filter"), win().cast("int").alias("w"), c("pips_result").alias("p")).groupBy("filter")
+    out = by.agg(F.count(F.lit(1)).alias("n_trades"), F.sum("w").alias("wins"), F.sum("p").alias("total_pips"))
+    base = out.filter("filter = 'none'").select(c("total_pips").alias("base_pips"))  # one row
+    out = out.join(base).withColumns({"win_rate": c("wins") / c("n_trades"), "avg_pips": c("total_pips") / c("n_trades"), "gain": c("total_pips") - c("base_pips")})
+    return out.withColumn("better", (c("n_trades") >= least) & (c("gain") > 0)).drop("base_pips")
+
+
 def verdicts(impacts: DataFrame, n: int | None = None) -> DataFrame:
     """Add a verdict and order by net pips; no wins removed counts as unlimited efficiency."""
     at_least = lambda x: c("efficiency").isNull() | (c("efficiency") >= x)

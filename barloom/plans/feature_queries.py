@@ -24,12 +24,28 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def fast(spark: SparkSession, sf_dir: str, key: str = "event_type") -> DataFrame:
-    return bars(read(spark, sf_dir, "events"), "4 hours", key=key)
+_keys = ["event_type"]
+
+
+def fast(spark: SparkSession, sf_dir: str, key: str | None = None) -> DataFrame:
+    return bars(read(spark, sf_dir, "events"), "4 hours", key=key or _keys[-1])
 
 
 def slow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bars(read(spark, sf_dir, "events"), "1 day")
+    return bars(read(spark, sf_dir, "events"), "1 day", key=_keys[-1])
+
+
+def by_user(query: Query) -> Query:
+    """The same query over one series for each user, of which there are many, in place of one for each type of event."""
+
+    def made(spark: SparkSession, sf_dir: str) -> DataFrame:
+        _keys.append("user_id")
+        try:
+            return query(spark, sf_dir)
+        finally:
+            _keys.pop()
+
+    return made
 
 
 def shown(df: DataFrame, columns: list[str] | None = None, digits: int = 6) -> DataFrame:

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.operators import metrics, runs, stats, strategy, trades
+from barloom.operators import metrics, runs, signals, stats, strategy, trades
 
 from . import feature_queries as fq
 from .feature_queries import read, shown
@@ -57,7 +57,23 @@ query("config_list", f"SELECT config_id, count(*) AS n_trades, {WIN} AS wins, ro
 _long = "long AS (" + " UNION ALL ".join(f"SELECT '{f}' AS feature, outcome, {f}::DOUBLE AS v FROM trades" for f in FEATURES) + ")"
 _cmp = "m AS (SELECT feature, count(v) FILTER (outcome = 'WIN') AS n_win, avg(v) FILTER (outcome = 'WIN') AS mean_win, stddev_samp(v) FILTER (outcome = 'WIN') AS std_win, count(v) FILTER (outcome = 'LOSS') AS n_loss, avg(v) FILTER (outcome = 'LOSS') AS mean_loss, stddev_samp(v) FILTER (outcome = 'LOSS') AS std_loss FROM long GROUP BY feature)"
 _vw, _vl = "(std_win ** 2 / n_win)", "(std_loss ** 2 / n_loss)"
-query("feature_comparison", f"SELECT feature, n_win, round(mean_win, 6) + 0.0 AS mean_win, round(std_win, 6) AS std_win, n_loss, round(mean_loss, 6) + 0.0 AS mean_loss, round(std_loss, 6) AS std_loss, round(mean_win - mean_loss, 6) + 0.0 AS difference, round((mean_win - mean_loss) * 100 / abs(mean_loss), 6) + 0.0 AS difference_percent, round((mean_win - mean_loss) / sqrt({_vw} + {_vl}), 6) + 0.0 AS t, round(({_vw} + {_vl}) ** 2 / ({_vw} ** 2 / (n_win - 1) + {_vl} ** 2 / (n_loss - 1)), 6) AS df, round((mean_win - mean_loss) / sqrt(((n_win - 1) * std_win ** 2 + (n_loss - 1) * std_loss ** 2) / (n_win + n_loss - 2)), 6) + 0.0 AS cohen_d, CASE WHEN mean_win > mean_loss THEN 'higher_in_wins' ELSE 'higher_in_losses' END AS direction FROM m", [_long, _cmp])(lambda t: trades.feature_comparison(t, FEATURES))
+_z = 1.959963984540054  # of a two-sided test at 5 %
+_t = f"((mean_win - mean_loss) / sqrt({_vw} + {_vl}))"
+_df = f"(({_vw} + {_vl}) ** 2 / ({_vw} ** 2 / (n_win - 1) + {_vl} ** 2 / (n_loss - 1)))"
+# Student's critical value by its expansion in 1 / df.
+_critical = f"({_z} + {(_z**3 + _z) / 4} / {_df} + {(5 * _z**5 + 16 * _z**3 + 3 * _z) / 96} / {_df} ** 2 + {(3 * _z**7 + 19 * _z**5 + 17 * _z**3 - 15 * _z) / 384} / {_df} ** 3)"
+_effect = "coalesce(abs(mean_loss - mean_win) / nullif(sqrt((std_win ** 2 + std_loss ** 2) / 2), 0), 0)"
+_significant = f"coalesce(abs({_t}) > {_critical}, false)"
+_compared = f"""SELECT feature, n_win, round(mean_win, 6) + 0.0 AS mean_win, round(std_win, 6) AS std_win,
+  n_loss, round(mean_loss, 6) + 0.0 AS mean_loss, round(std_loss, 6) AS std_loss,
+  round(mean_loss - mean_win, 6) + 0.0 AS difference, round(coalesce((mean_loss - mean_win) * 100 / nullif(abs(mean_win), 0), 0), 6) + 0.0 AS difference_percent,
+  round({_t}, 6) + 0.0 AS t, round({_df}, 6) AS df, round({_effect}, 6) + 0.0 AS effect_size,
+  CASE WHEN mean_loss > mean_win THEN 'higher_in_losses' ELSE 'higher_in_wins' END AS direction, {_significant} AS is_significant,
+  row_number() OVER (ORDER BY {_significant} DESC, round({_effect}, 9) DESC, feature) AS place
+FROM m WHERE n_win >= 30 AND n_loss >= 30"""
+query("feature_comparison", _compared, [_long, _cmp])(lambda t: trades.feature_comparison(t, FEATURES).drop("p_value").withColumn("place", F.col("place").cast("long")))
+# With the tail probabilities, of which DuckDB has none; tests compare them with an integral.
+query("feature_significance")(lambda t: trades.feature_comparison(t, FEATURES).select("feature", "t", "df", "p_value", "is_significant", "place"))
 _sess = "s AS (" + " UNION ALL ".join(f"SELECT '{n}' AS session, outcome FROM trades WHERE {c} = 1" for n, c in trades.SESSIONS.items()) + " UNION ALL SELECT 'Off-Hours', outcome FROM trades WHERE " + " AND ".join(f"{c} = 0" for c in trades.SESSIONS.values()) + ")"
 query("session_analysis", f"SELECT session, count(*) AS n_trades, {WIN} AS wins, count(*) FILTER (outcome = 'LOSS') AS losses, {RATE} AS win_rate, {WIN} / count(*)::DOUBLE < (SELECT avg(CASE WHEN outcome = 'WIN' THEN 1.0 ELSE 0.0 END) FROM trades) - 0.1 AS problematic FROM s GROUP BY session HAVING count(*) >= 10", [_sess])(trades.sessions)
 query("confidence_buckets", f"SELECT CASE WHEN model_probability < 0.55 THEN '0.50-0.55' WHEN model_probability < 0.6 THEN '0.55-0.60' WHEN model_probability < 0.65 THEN '0.60-0.65' WHEN model_probability < 0.7 THEN '0.65-0.70' WHEN model_probability < 0.75 THEN '0.70-0.75' WHEN model_probability < 0.8 THEN '0.75-0.80' ELSE '0.80-1.01' END AS bucket, count(*) AS n_trades, {WIN} AS wins, round(avg(pips_result), 6) + 0.0 AS avg_pips, {RATE} AS win_rate FROM trades WHERE model_probability >= 0.5 GROUP BY 1 HAVING count(*) >= 5")(trades.confidence_buckets)
@@ -188,20 +204,25 @@ query("walk_forward_rows", f"SELECT d.fold, CASE WHEN ts::DATE < test_end - 270
 
 # Strategy
 
-_pred = "pred AS MATERIALIZED (SELECT row_number() OVER () AS rid, l_orderkey, l_linenumber, CAST(20.01 + l_quantity AS DOUBLE) AS atr_pips, CAST(15 + l_partkey % 60 AS DOUBLE) AS predicted_mae, CAST((l_suppkey % 100) AS DOUBLE) / 100 AS volatility, 0.95 - l_discount AS p30, 0.75 - l_discount * 2 AS p50, 0.5 - l_tax * 3 AS p100 FROM lineitem)"
+_pred = "pred AS MATERIALIZED (SELECT row_number() OVER () AS rid, l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(20.01 + l_quantity AS DOUBLE) AS atr_pips, CAST(15 + l_partkey % 60 AS DOUBLE) AS predicted_mae, CAST((l_suppkey % 100) AS DOUBLE) / 100 AS volatility, 0.95 - l_discount AS p30, 0.75 - l_discount * 2 AS p50, 0.5 - l_tax * 3 AS p100 FROM lineitem)"
 _stop = "stopped AS (SELECT *, round(greatest(15.0, least(100.0, CASE WHEN volatility > 0.75 THEN greatest(atr_pips * 1.5, predicted_mae * 1.2) WHEN volatility < 0.25 THEN least(atr_pips * 1.5, predicted_mae * 1.2) * 1.1 ELSE (atr_pips * 1.5 + predicted_mae * 1.2) / 2 END))::DOUBLE, 1) AS sl FROM pred)".replace("1.5", "1.5::DOUBLE").replace("1.2", "1.2::DOUBLE").replace("1.1 ", "1.1::DOUBLE ")
 _levels = {30: "p30", 40: "p30 + (p50 - p30) * 0.5::DOUBLE", 50: "p50", 80: "p50 + (p100 - p50) * 0.6::DOUBLE", 100: "p100"}
 _opt = "opt AS (SELECT s.*, x.tp, x.p, round(x.p * x.tp - (1 - x.p) * sl, 9) AS ev FROM stopped s, LATERAL (VALUES " + ", ".join(f"({k}::DOUBLE, {v})" for k, v in _levels.items()) + ") x(tp, p))"
-_pick = "picked AS (SELECT s.l_orderkey, s.l_linenumber, s.sl, b.tp, b.p, b.ev FROM stopped s LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY ev DESC, tp) AS r FROM opt WHERE tp / sl >= 1 AND ev >= 0) b ON s.rid = b.rid AND b.r = 1)"
+_pick = "picked AS (SELECT s.l_orderkey, s.l_linenumber, s.l_partkey, s.l_suppkey, s.sl, b.tp, b.p, b.ev FROM stopped s LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY ev DESC, tp) AS r FROM opt WHERE tp / sl >= 1 AND ev >= 0) b ON s.rid = b.rid AND b.r = 1)"
 _kelly = "(p * (tp / sl) - (1 - p)) / (tp / sl)"
 
 
+def _off_ties(df: DataFrame) -> DataFrame:
+    """Kelly shares are products of decimals, whose ties at the last digit either engine may round up or down."""
+    return shown(df.withColumns({x: F.round(F.col(x) + 1e-9, 6) for x in ("full_kelly", "risk_percent")}))
+
+
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", *(F.expr(x).alias(n) for n, x in {"atr_pips": "20.01D + l_quantity", "predicted_mae": "cast(15 + l_partkey % 60 as double)", "volatility": "cast(l_suppkey % 100 as double) / 100", "p30": "0.95D - l_discount", "p50": "0.75D - l_discount * 2", "p100": "0.5D - l_tax * 3"}.items()))
+    return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", *(F.expr(x).alias(n) for n, x in {"atr_pips": "20.01D + l_quantity", "predicted_mae": "cast(15 + l_partkey % 60 as double)", "volatility": "cast(l_suppkey % 100 as double) / 100", "p30": "0.95D - l_discount", "p50": "0.75D - l_discount * 2", "p100": "0.5D - l_tax * 3"}.items()))
 
 
-QUERIES["trade_decision"] = lambda s, d: shown(strategy.decide(predictions(s, d), {30: F.col("p30"), 50: F.col("p50"), 100: F.col("p100")}, [30, 40, 50, 80, 100]).select("l_orderkey", "l_linenumber", "sl", "action", F.col("optimal_tp").cast("double").alias("optimal_tp"), "tp_probability", "tp_ev", "full_kelly", "risk_percent", "lots", "confidence"))
-SQL["trade_decision"] = cte([_pred, _stop, _opt, _pick], f"SELECT l_orderkey, l_linenumber, sl + 0.0 AS sl, CASE WHEN tp IS NULL THEN 'NO_TRADE' ELSE 'TRADE' END AS action, tp + 0.0 AS optimal_tp, round(p, 6) + 0.0 AS tp_probability, round(ev, 6) + 0.0 AS tp_ev, round({_kelly}, 6) + 0.0 AS full_kelly, round(CASE WHEN tp IS NULL THEN 0.1 ELSE greatest(0.0, least(0.1, {_kelly} * 0.5)) END::DOUBLE, 6) AS risk_percent, round(CASE WHEN tp IS NULL THEN 0.1 ELSE greatest(0.0, least(0.1, {_kelly} * 0.5)) END::DOUBLE * 10000 / (sl * 10), 6) AS lots, CASE WHEN {_kelly} > 0.2 THEN 'high' WHEN {_kelly} > 0.1 THEN 'medium' WHEN {_kelly} > 0 THEN 'low' ELSE 'none' END AS confidence FROM picked")
+QUERIES["trade_decision"] = lambda s, d: _off_ties(strategy.decide(predictions(s, d), {30: F.col("p30"), 50: F.col("p50"), 100: F.col("p100")}, [30, 40, 50, 80, 100]).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "sl", "action", F.col("optimal_tp").cast("double").alias("optimal_tp"), "tp_probability", "tp_ev", "full_kelly", "risk_percent", "lots", "confidence"))
+SQL["trade_decision"] = cte([_pred, _stop, _opt, _pick], f"SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, sl + 0.0 AS sl, CASE WHEN tp IS NULL THEN 'NO_TRADE' ELSE 'TRADE' END AS action, tp + 0.0 AS optimal_tp, round(p, 6) + 0.0 AS tp_probability, round(ev, 6) + 0.0 AS tp_ev, round({_kelly} + 1e-9::DOUBLE, 6) + 0.0 AS full_kelly, round(CASE WHEN tp IS NULL THEN 0.1 ELSE greatest(0.0, least(0.1, {_kelly} * 0.5)) END::DOUBLE + 1e-9::DOUBLE, 6) AS risk_percent, round(CASE WHEN tp IS NULL THEN 0.1 ELSE greatest(0.0, least(0.1, {_kelly} * 0.5)) END::DOUBLE * 10000 / (sl * 10), 6) AS lots, CASE WHEN {_kelly} > 0.2 THEN 'high' WHEN {_kelly} > 0.1 THEN 'medium' WHEN {_kelly} > 0 THEN 'low' ELSE 'none' END AS confidence FROM picked")
 _eq = [
     "eq0 AS (SELECT *, exp(sum(ln(1 + pips_result / 50 * 0.001::DOUBLE)) OVER (PARTITION BY config_id ORDER BY ts, l_orderkey, l_linenumber, l_partkey, l_suppkey ROWS UNBOUNDED PRECEDING)) AS equity, pips_result / 50 * 0.001::DOUBLE AS ret FROM trades)",
     "eq AS (SELECT *, (1 - equity / greatest(1.0, max(equity) OVER (PARTITION BY config_id ORDER BY ts, l_orderkey, l_linenumber, l_partkey, l_suppkey ROWS UNBOUNDED PRECEDING))) * 100 AS dd FROM eq0)",
@@ -210,3 +231,54 @@ query("equity_curve", "SELECT config_id, count(*) AS n_trades, round((exp(sum(ln
 query("regime_performance", f"SELECT d1_is_trending_up, count(*) AS n_trades, {RATE} AS win_rate, round(avg(pips_result), 6) + 0.0 AS avg_pips, avg(pips_result) < 0 AS weak FROM trades GROUP BY 1")(lambda t: strategy.by_regime(t, "d1_is_trending_up"))
 query("permutation_mc")(lambda t: strategy.resample_summary(strategy.resample(t, ["config_id"], identity=["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]), ["config_id"], 2000))
 query("bootstrap_mc")(lambda t: strategy.resample_summary(strategy.resample(t, ["config_id"], replace=True, identity=["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]), ["config_id"], 2000))
+
+
+# Filters, thresholds by fold, fixed folds, reports
+
+_filtered = {"atr_pct": "volume_ratio / 100", "bb_width_pct": "adx / 1000", "d1_trend_strength": "mtf_confluence_score"}
+_median, _low = "(SELECT quantile_cont(atr_pct, 0.5) FROM ready)", "(SELECT quantile_cont(bb_width_pct, 0.2) FROM ready)"
+_sql_filters = {
+    "none": "true", "avoid_mon_fri": "isodow(ts) NOT IN (1, 5)", "london_ny_only": "hour(ts) IN (8, 12, 16)", "avoid_asian": "hour(ts) NOT IN (0, 4)",
+    "min_atr": f"atr_pct >= {_median} * 0.7::DOUBLE", "no_squeeze": f"bb_width_pct >= {_low}", "rsi_strong": "(rsi_value > 55 OR rsi_value < 45)", "d1_strong": "d1_trend_strength > 0.5",
+}
+_sql_filters["basic"] = f"{_sql_filters['avoid_mon_fri']} AND {_sql_filters['avoid_asian']}"
+_sql_filters["volatility"] = f"{_sql_filters['min_atr']} AND {_sql_filters['no_squeeze']}"
+_sql_filters["all"] = f"{_sql_filters['basic']} AND {_sql_filters['volatility']} AND {_sql_filters['d1_strong']}"
+_ready = "ready AS (SELECT * REPLACE (ts + to_hours(CAST(4 * (l_orderkey % 6) AS INTEGER)) AS ts), " + ", ".join(f"{v} AS {k}" for k, v in _filtered.items()) + " FROM trades WHERE model_probability >= 0.6)"
+_each_filter = "f AS (" + " UNION ALL ".join(f"SELECT '{n}' AS filter, outcome, pips_result FROM ready WHERE {x}" for n, x in _sql_filters.items()) + ")"
+_filter_rows = f"g AS (SELECT filter, count(*) AS n_trades, {WIN} AS wins, sum(pips_result) AS total_pips FROM f GROUP BY 1)"
+
+
+@query("filter_comparison", """SELECT filter, n_trades, wins, total_pips + 0.0 AS total_pips, round(wins / n_trades::DOUBLE, 6) AS win_rate, round(total_pips / n_trades, 6) + 0.0 AS avg_pips,
+  total_pips - b AS gain, n_trades >= 50 AND total_pips > b AS better FROM g, (SELECT total_pips AS b FROM g WHERE filter = 'none')""", [_ready, _each_filter, _filter_rows])
+def filter_comparison(t: DataFrame) -> DataFrame:
+    """Filters at the threshold 0.6; hours, of which ship dates have none, follow from the order."""
+    ready = t.filter("model_probability >= 0.6").withColumn("ts", F.expr("ts + make_interval(0, 0, 0, 0, cast(4 * (l_orderkey % 6) as int))"))
+    ready = ready.withColumns({k: F.expr(v) for k, v in _filtered.items()})
+    cuts = ready.agg(F.percentile("atr_pct", F.lit(0.5)).alias("atr_pct"), F.percentile("bb_width_pct", F.lit(0.2)).alias("bb_width_pct")).first().asDict()
+    empty = {k: float("inf") if v is None else v for k, v in cuts.items()}
+    return trades.filter_comparison(ready, signals.trade_filters(empty))
+
+
+_levels_ = [0.40, 0.45, 0.50, 0.55, 0.60, 0.65, 0.70]
+_by_fold = [
+    "th AS (SELECT * FROM (VALUES " + ", ".join(f"({x}::DOUBLE)" for x in _levels_) + ") v(threshold))",
+    "base AS (SELECT fold, avg(pips_result) AS b FROM trades GROUP BY 1)",
+    f"cut AS (SELECT fold, threshold, count(*) AS n, {WIN} AS w, sum(pips_result) AS p FROM trades JOIN th ON model_probability >= threshold GROUP BY 1, 2 HAVING count(*) >= 5)",
+    """folds_at AS (SELECT base.fold, th.threshold, coalesce(n, 0) AS n_trades, coalesce(w, 0) AS wins, coalesce(p, 0.0) AS total_pips, coalesce(w / n::DOUBLE, 0.0) AS win_rate,
+  coalesce(p / n, 0.0) AS avg_pips, coalesce(p / n > b, false) AS improved FROM base CROSS JOIN th LEFT JOIN cut ON cut.fold = base.fold AND cut.threshold = th.threshold)""",
+]
+query("fold_thresholds", "SELECT fold, threshold, n_trades, wins, total_pips + 0.0 AS total_pips, round(win_rate, 6) AS win_rate, round(avg_pips, 6) + 0.0 AS avg_pips, improved FROM folds_at", _by_fold)(lambda t: metrics.fold_thresholds(t, _levels_))
+query("improved_folds", """SELECT threshold, count(*) AS n_folds, count(*) FILTER (improved) AS n_improved, CAST(sum(n_trades) AS BIGINT) AS n_trades, CAST(sum(wins) AS BIGINT) AS wins, sum(total_pips) + 0.0 AS total_pips,
+  round(coalesce(sum(wins) / nullif(sum(n_trades), 0)::DOUBLE, 0.0), 6) AS win_rate, round(coalesce(sum(total_pips) / nullif(sum(n_trades), 0), 0.0), 6) + 0.0 AS avg_pips FROM folds_at GROUP BY 1""", _by_fold)(lambda t: metrics.improved_folds(metrics.fold_thresholds(t, _levels_)))
+
+_fixed = [("Fold1", "1996-01-01", "1997-01-01"), ("Fold2", "1997-01-01", "1998-01-01"), ("Fold3", "1998-01-01", "1999-01-01"), ("Fold4", "1999-01-01", "2000-01-01"), ("Fold5", "2000-01-01", "2001-06-01")]
+_fixed_rows = "x AS (" + " UNION ALL ".join(f"SELECT '{n}' AS fold, CASE WHEN ts < DATE '{a}' THEN 'train' WHEN ts < DATE '{b}' THEN 'test' END AS part, outcome, pips_result FROM trades" for n, a, b in _fixed) + ")"
+query("fixed_date_folds", f"SELECT fold, part, count(*) AS n, {WIN} AS wins, sum(pips_result) + 0.0 AS pips FROM x WHERE part IS NOT NULL GROUP BY ALL", [_fixed_rows])(
+    lambda t: runs.fixed_folds(t.drop("fold"), _fixed).groupBy("fold", "part").agg(F.count(F.lit(1)).alias("n"), F.count_if(metrics.win()).alias("wins"), F.sum("pips_result").alias("pips"))
+)
+_sections = {"fold": "fold", "regime": "d1_is_trending_up", "config": "config_id"}
+_report = "x AS (SELECT 'all' AS section, 'all' AS item, outcome, pips_result FROM trades UNION ALL " + " UNION ALL ".join(f"SELECT '{n}', CAST({x} AS VARCHAR), outcome, pips_result FROM trades" for n, x in _sections.items()) + ")"
+query("final_report", f"""SELECT section, item, count(*) AS n_trades, {WIN} AS wins, sum(pips_result) + 0.0 AS total_pips,
+  round(sum(CASE WHEN pips_result > 0 THEN pips_result ELSE 0 END) / nullif(sum(CASE WHEN pips_result < 0 THEN -pips_result ELSE 0 END), 0), 6) AS profit_factor,
+  {RATE} AS win_rate, round(avg(pips_result), 6) + 0.0 AS avg_pips, sum(pips_result) < 0 AS weak FROM x GROUP BY 1, 2""", [_report])(lambda t: strategy.final_report(t, _sections))

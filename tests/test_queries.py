@@ -8,7 +8,7 @@ import pytest
 from barloom.plans import registry
 
 DATA = "/root/testdata/sf0.001"
-PICKED = ["flagship", "asof_user_prev_day", "f_adx", "f_percentiles", "f_ema_levels", "f_zscores_chunked", "mtf_features", "label_grid_stats", "nonoverlap_trades", "signals_15", "filter_combos", "profit_metrics", "classification_metrics", "param_patterns", "walk_forward_rows"]
+PICKED = ["flagship", "asof_user_prev_day", "f_adx", "f_percentiles", "f_ema_levels", "f_zscores_chunked", "mtf_features", "label_grid_stats", "nonoverlap_trades", "signals_15", "filter_combos", "profit_metrics", "classification_metrics", "param_patterns", "walk_forward_rows", "trade_decision", "feature_comparison", "filter_impact", "filter_comparison", "fold_thresholds", "improved_folds", "fixed_date_folds", "final_report", "f_zscores_user", "label_grid_user"]
 
 
 def plain(v):
@@ -32,6 +32,32 @@ def test_query_equals_sql(spark, name):
     assert sorted(tuple(map(plain, row)) for row in df.select(*columns).collect()) == want
 
 
+def test_feature_significance_by_integration(spark):
+    """p of Welch's test against Simpson's rule over Student's density."""
+    for r in registry.QUERIES["feature_significance"](spark, DATA).collect():
+        log_c = math.lgamma((r.df + 1) / 2) - math.lgamma(r.df / 2) - 0.5 * math.log(r.df * math.pi)
+        density = lambda x: math.exp(log_c - (r.df + 1) / 2 * math.log1p(x * x / r.df))  # noqa: B023, E731
+        n, t = 20_000, min(abs(r.t), 60.0)
+        h = t / n
+        middle = h / 3 * (density(0) + density(t) + 4 * sum(density(h * i) for i in range(1, n, 2)) + 2 * sum(density(h * i) for i in range(2, n, 2)))
+        assert r.p_value == pytest.approx(max(0.0, 1 - 2 * middle), abs=2e-6) and r.is_significant == (r.p_value < 0.05)
+
+
+def test_averages_over_many_chunks(spark):
+    """The carry looks back over a bounded number of chunks, and a long series shows no difference."""
+    from pyspark.sql import functions as F
+
+    from barloom.functions import windows as w
+
+    df = spark.range(3000).select(F.lit("k").alias("key"), F.timestamp_seconds("id").alias("ts"), F.sin(F.col("id") * 0.37).alias("x"))
+    got = [r.e for r in w.emas(df, {"e": ("x", 9)}, chunk=16).orderBy("ts").collect()]
+    want, keep = [], 1 - 2 / 10
+    for i in range(3000):
+        x = math.sin(i * 0.37)
+        want.append(x if not want else want[-1] * keep + x * (1 - keep))
+    assert max(abs(a - b) for a, b in zip(got, want)) < 1e-12
+
+
 def test_every_sql_has_a_query():
     assert set(registry.SQL) <= set(registry.QUERIES) and len(registry.QUERIES) > 120
 
