@@ -300,3 +300,22 @@ def f_zscores_chunked(spark: SparkSession, sf_dir: str) -> DataFrame:
     ready = features.add(fast(spark, sf_dir), "base")
     done = w.in_chunks(ready, lambda df: features.add(df, "zscores"), 10 * 86_400, 30 * 86_400)
     return shown(done, ["key", "ts", *features.columns_of("zscores")])
+
+
+PAIRS = [
+    "h4_d1_rsi_diff", "h4_d1_rsi_ratio", "d1_bb_extreme", "h4_d1_bb_diff", "d1_uptrend", "d1_downtrend", "d1_strong_trend", "h4_d1_trend_diff", "h4_d1_trend_aligned",
+    "mtf_trend_conflict", "h4_d1_vol_ratio", "d1_vol_high", "mtf_rsi_both_overbought", "mtf_rsi_both_oversold", "mtf_bb_both_high", "mtf_bb_both_low",
+]
+
+
+@query("pair_features")
+def pair_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Compared with pandas in tests."""
+    return shown(crossframe.pair_features(crossframe.merged(fast(spark, sf_dir), slow(spark, sf_dir))), ["key", "ts", *PAIRS])
+
+
+@query("slow_ema_features")
+def slow_ema_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Compared with pandas in tests."""
+    out = crossframe.slow_ema_features(features.add(slow(spark, sf_dir), "base"))
+    return shown(out, ["key", "ts", "close", "ema_21", "ema_50", "trend", "trend_strength", "rsi_overbought", "rsi_oversold", "rsi_momentum", "bb_extreme_high", "bb_extreme_low"])

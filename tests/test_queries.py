@@ -142,3 +142,30 @@ def test_stream_state_keeps_the_last_bars(spark, tmp_path):
         streaming.run_available(streaming.stream_features(stream, 3), str(tmp_path / "out"), str(tmp_path / "state"))
     got = spark.read.parquet(str(tmp_path / "out")).orderBy("ts").collect()
     assert [r.n for r in got] == list(range(1, 9)) and got[-1].ma == 6.0 and got[-1].streak == 7
+
+
+def test_slow_averages_equal_pandas(spark):
+    got = registry.QUERIES["slow_ema_features"](spark, DATA).toPandas().sort_values(["key", "ts"])
+    for _, g in got.groupby("key"):
+        for n in (21, 50):
+            assert (g[f"ema_{n}"] - g["close"].ewm(span=n, adjust=False).mean()).abs().max() < 1e-5
+        assert ((g["close"] > g["ema_21"]).map({True: 1, False: -1}) == g["trend"])[(g["close"] - g["ema_21"]).abs() > 1e-5].all()
+
+
+def test_pair_features_equal_pandas(spark):
+    from barloom.operators import crossframe
+    from barloom.plans import feature_queries as fq
+
+    raw = crossframe.merged(fq.fast(spark, DATA), fq.slow(spark, DATA)).select("key", "ts", "rsi_value", "d1_rsi_value", "bb_position", "d1_bb_position", "trend_strength", "d1_trend_strength", "atr_pct", "d1_atr_pct").toPandas()
+    got = registry.QUERIES["pair_features"](spark, DATA).toPandas()
+    raw["ts"] = raw["ts"].astype("datetime64[s]").astype(str).str.replace("T", " ")
+    both = raw.merge(got, on=["key", "ts"]).sort_values(["key", "ts"])
+    assert len(both) == len(raw) == len(got)
+    near = lambda a, b: ((a - b).abs().fillna(0) < 1e-5).all() and (a.isna() == b.isna()).all()
+    assert near(both["h4_d1_rsi_diff"], both["rsi_value"] - both["d1_rsi_value"]) and near(both["h4_d1_bb_diff"], both["bb_position"] - both["d1_bb_position"])
+    assert near(both["h4_d1_rsi_ratio"], both["rsi_value"] / both["d1_rsi_value"].where(both["d1_rsi_value"] != 0))
+    flags = {"d1_strong_trend": both["d1_trend_strength"].abs() > 0.7, "mtf_rsi_both_oversold": (both["rsi_value"] < 35) & (both["d1_rsi_value"] < 35), "mtf_bb_both_low": (both["bb_position"] < 0.2) & (both["d1_bb_position"] < 0.2)}
+    flags["mtf_trend_conflict"] = both["trend_strength"] * both["d1_trend_strength"] < 0
+    flags["d1_vol_high"] = both["d1_atr_pct"] > both.groupby("key")["d1_atr_pct"].transform(lambda x: x.rolling(20).quantile(0.8))
+    for name, want in flags.items():
+        assert (both[name] == want.astype(int)).mean() > (0.97 if name == "d1_vol_high" else 0.999999), name
