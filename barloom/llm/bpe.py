@@ -70,6 +70,11 @@ class Tokenizer(dict):
         found = self[pretoken] = self._older.get(pretoken) or self.pretoken(pretoken)
         return found
 
+    def forget(self) -> None:
+        """Empty the table: a worker that waits for other tasks holds no more than the library's tokenizer."""
+        self.clear()
+        self._older = {}
+
     def pretoken(self, text: str) -> bytes:
         """Ids of one pretoken by the library's model alone, which takes bytes as printable characters."""
         if text[0] == " " and text.isascii() and text[1:].isalnum():
@@ -212,7 +217,7 @@ class Tokenizer(dict):
 
 @lru_cache(maxsize=2)
 def tokenizer(path: str) -> Tokenizer:
-    """One for each worker process, kept between its tasks."""
+    """One for each worker process, kept between its tasks, but for its table where a task forgets it."""
     return Tokenizer(path)
 
 
@@ -238,6 +243,7 @@ def encode(docs: DataFrame, path: str, *, id_col: str = "doc_id", text: str = "t
         t = tokenizer(path)
         for b in batches:
             yield rows(t, list(b["doc_id"]), map(t.encode, b["text"]))
+        t.forget()
 
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         t = tokenizer(path)
