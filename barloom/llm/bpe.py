@@ -30,6 +30,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import parts
+
 #: Characters of a piece; texts of up to twice as many are encoded at once.
 PIECE = 16_384
 #: First window on either side of a join, in characters.
@@ -241,7 +243,7 @@ def encode(docs: DataFrame, path: str, *, id_col: str = "doc_id", text: str = "t
 
     def short(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         t = tokenizer(path)
-        for b in batches:
+        for b in parts(batches):
             yield rows(t, list(b["doc_id"]), map(t.encode, b["text"]))
         t.forget()
 

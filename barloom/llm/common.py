@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +15,9 @@ SPACE_CHARS = " \t\n\x0b\f\r"
 SPACES = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Rows that a worker makes results of at once.
+AT_ONCE = 1000
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share. A folder of our own is set only where the session names none."""
@@ -38,6 +43,12 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The batches in parts of AT_ONCE rows, so that a worker holds few results beside a batch of texts."""
+    for b in batches:
+        yield from (b.iloc[i : i + AT_ONCE] for i in range(0, len(b), AT_ONCE))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -36,7 +36,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, materialize, partitions
+from .common import components, materialize, partitions, parts
 from .hashing import hashed, mixed, sums_of
 
 K, SHINGLE, PERCENT = 256, 5, 75
@@ -63,19 +63,19 @@ def head(n: int) -> int:
 
 
 def _heads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
+    for b in parts(batches):
         sets = list(map(shingles, hashed(list(b["text"]))))
         digests = [hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest() if s.size else None for s in sets]
         yield pd.DataFrame({"doc_id": b["doc_id"], "n": [s.size for s in sets], "digest": digests, "head": [s[: head(s.size)] if s.size else s for s in sets]})
 
 
 def _sizes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
+    for b in parts(batches):
         yield pd.DataFrame({"n_shingles": [shingles(h).size for h in hashed(list(b["text"]))]})
 
 
 def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
+    for b in parts(batches):
         yield pd.DataFrame({"doc_id": b["doc_id"], "members": list(map(shingles, hashed(list(b["text"]))))})
 
 
