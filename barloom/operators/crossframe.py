@@ -60,6 +60,15 @@ def slow_ema_features(slow: DataFrame) -> DataFrame:
     })
 
 
+def early_pairs(joined: DataFrame) -> DataFrame:
+    """The early set's columns of a fast row and its slow one: the mean of d1_rsi_value runs over fast rows."""
+    up, down = c("trend_strength") > 0.3, c("trend_strength") < -0.3
+    return joined.withColumns({
+        "d1_rsi_ma3": w.mean("d1_rsi_value", 3), "mtf_trend_alignment": c("trend_strength") * c("d1_trend_strength"),
+        "mtf_long_signal": flag(up & (c("d1_trend_strength") > 0.3)), "mtf_short_signal": flag(down & (c("d1_trend_strength") < -0.3)),
+    })
+
+
 def pair_features(joined: DataFrame) -> DataFrame:
     """Differences, ratios and common states of a fast row and its slow one (columns d1_...)."""
     ratio = lambda a, b: F.try_divide(c(a), F.nullif(c(b), F.lit(0.0)))

@@ -28,6 +28,38 @@ def clip(x: Column, low: float, high: float) -> Column:
     return F.when(x.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), x)))
 
 
+def exporter() -> list[Layer]:
+    """Base columns of the bar exporter. Defined here, as the blueprint only names them: momentum is the change over 5 bars,
+    a touch is a bar whose high reaches the upper band, counted in the 10 bars before, and resistance is the highest high of 20 bars."""
+    touched = c("high") >= c("upper_band")
+    return [
+        {
+            "bb_touch_strength": over("high", "upper_band"), "prev_candle_body_pct": lag("candle_body_pct"), "prev_volume_ratio": lag("volume_ratio"),
+            "gap_from_prev_close": over(c("open") - lag("close"), lag("close")), "price_momentum": w.change("close", 5),
+            "resistance_distance_pct": over(w.high("high", 20) - c("close"), "close"), "__touched": flag(touched), "__since": w.bars_since(touched),
+        },
+        {"__n": w.total("__touched", 10)},
+        {"previous_touches": lag("__n").cast("int"), "time_since_last_touch": (lag("__since") + 1).cast("int")},
+    ]
+
+
+def early() -> list[Layer]:
+    """The early feature set: means of 5 bars, changes over 3, a mean range of 14 bars and its ratio to the last 50, sessions."""
+    hour, day = F.hour("ts"), F.weekday("ts")
+    return [
+        {
+            "atr_14": mean(c("high") - c("low"), 14),
+            "bb_position_ma5": mean("bb_position", 5), "bb_trend": diff("bb_position", 3),
+            "rsi_ma5": mean("rsi_value", 5), "rsi_trend": diff("rsi_value", 3), "rsi_momentum": diff("rsi_value", 5),
+            "trend_strength_ma5": mean("trend_strength", 5), "trend_acceleration": diff("trend_strength", 3),
+            "h4_uptrend": flag(c("trend_strength") > 0.3), "h4_downtrend": flag(c("trend_strength") < -0.3),
+            "is_london": flag(hour.between(8, 11)), "is_ny": flag(hour.between(13, 16)), "is_overlap": flag(hour.between(13, 16)),
+            "is_monday": flag(day == 0), "is_friday": flag(day == 4),
+        },
+        {"atr_14_pct": over("atr_14", "close"), "volatility_ratio": over("atr_14", mean("atr_14", 50))},
+    ]
+
+
 def sign(x: Column) -> Column:
     return F.coalesce(F.signum(x), F.lit(0.0))
 
@@ -302,6 +334,7 @@ FAMILIES: dict[str, Family] = {
     "session": ((), session, None), "session_combined": ((), lambda: session("combined"), None), "session_expanded": ((), lambda: session("expanded"), None), "adx": ((), adx, None), "volatility": (("base",), volatility, None), "volatility_expanded": (("base",), volatility_expanded, None), "reversion": (("base",), reversion, None),
     "oscillators": ((), oscillators, None), "channels": ((), channels, None), "emas": ((), None, add_emas), "momentum_expanded": (("base", "emas"), momentum_expanded, None), "crossovers": (("emas", "oscillators", "channels"), crossovers, None), "long_zscores": (("base", "oscillators"), long_zscores, None), "long_percentiles": (("base", "adx"), long_percentiles, None),
     "regime_expanded": (("base", "emas", "adx"), regime_expanded, None), "reversion_expanded": (("emas", "long_zscores"), reversion_expanded, None), "combinations": (("base", "adx", "crossovers"), combinations, None), "extended_lags": (("base", "emas", "oscillators", "channels", "adx"), extended_lags, None),
+    "exporter": (("base",), exporter, None), "early": (("base",), early, None),
 }
 
 

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions import windows as w
@@ -98,15 +98,19 @@ def excursion_in_atr(df: DataFrame, horizon: int = 48) -> DataFrame:
     return df.withColumns({"mfe_short_atr": F.when(whole, F.try_divide(short, c("atr"))), "mfe_long_atr": F.when(whole, F.try_divide(long, c("atr")))})
 
 
-def multi_target(df: DataFrame, targets: list[float], hold: int, safe: float) -> DataFrame:
-    """Bars to each target (short), reached flags, safe ones (stop `safe` not hit before), ratio of excursions."""
+def multi_target(df: DataFrame, targets: list[float], hold: int, safe: float, fast: int = 12, clean: float = 1.5) -> DataFrame:
+    """Bars to each target (short), reached flags, safe ones (stop `safe` not hit before), excursions and their ratio; for the
+    first target also whether it is reached within `fast` bars, and clean_winner: with a ratio of more than `clean`."""
     out = _ahead(df, hold)
     stop = first_at(c("__highs"), c("close") + safe, True)
     out = out.withColumns({"__stop": stop} | {f"bars_to_{t:g}": F.nullif(first_at(c("__lows"), c("close") - t, False), F.lit(0)).cast("int") for t in targets})
     whole = F.size("__closes") == hold
     flags = {f"reached_{t:g}": F.when(whole, w.flag(c(f"bars_to_{t:g}").isNotNull())) for t in targets}
     flags |= {f"safe_{t:g}": F.when(whole, w.flag(c(f"bars_to_{t:g}").isNotNull() & ((c("__stop") == 0) | (c(f"bars_to_{t:g}") < c("__stop"))))) for t in targets}
-    flags["mfe_mae_ratio"] = F.when(whole, F.try_divide(c("close") - F.array_min("__lows"), F.array_max("__highs") - c("close")))
+    mfe, mae = c("close") - F.array_min("__lows"), F.array_max("__highs") - c("close")
+    ratio = F.try_divide(mfe, mae)
+    flags |= {"mfe": F.when(whole, mfe), "mae": F.when(whole, mae), "mfe_mae_ratio": F.when(whole, ratio)}
+    flags |= {f"fast_{targets[0]:g}": F.when(whole, w.flag(c(f"bars_to_{targets[0]:g}") <= fast)), "clean_winner": F.when(whole, w.flag((mfe >= targets[0]) & (ratio > clean)))}
     return out.withColumns(flags).drop("__highs", "__lows", "__closes", "__stop")
 
 
@@ -129,3 +133,29 @@ def non_overlapping(entries: DataFrame) -> DataFrame:
 def random_entries(df: DataFrame, share: float, seed: int = 1) -> DataFrame:
     """A repeatable random choice of rows, as a baseline for signals."""
     return df.filter(F.pmod(F.xxhash64(F.lit(seed), "key", "ts"), F.lit(1_000_000)) < int(share * 1_000_000))
+
+
+def label_summary(df: DataFrame, targets: list[float], signal: Column | None = None) -> DataFrame:
+    """One row over rows of multi_target(): counts, shares that reach each target, mean excursions, share of clean ones.
+    signal: the rows that count as signals, by default those near the upper band. Rows without enough bars ahead count as rows only."""
+    first = f"{targets[0]:g}"
+    share = lambda x: F.avg(c(x).cast("double"))
+    return df.agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_if(c("bb_position") >= 0.95 if signal is None else signal).alias("n_signals"),
+        *(share(f"reached_{t:g}").alias(f"prob_{t:g}") for t in targets), F.avg("mfe").alias("avg_mfe"), F.avg("mae").alias("avg_mae"),
+        F.avg("mfe_mae_ratio").alias("avg_mfe_mae_ratio"), share(f"bars_to_{first}").alias(f"avg_bars_to_{first}"),
+        share(f"safe_{first}").alias(f"share_safe_{first}"), share(f"fast_{first}").alias(f"share_fast_{first}"), share("clean_winner").alias("share_clean_winner"),
+    )
+
+
+def random_trades(entries: DataFrame, counts: DataFrame, seed: int = 1) -> DataFrame:
+    """Random trades that don't overlap, as many for each key as `counts` (key, n) asks, of entries (key, at, exit_at, ...).
+
+    Twice as many entries are drawn by the order of a hash, those that overlap go, and the first n by time stay; a key may
+    give fewer. The draw sorts hashes within a key; only drawn rows reach the greedy choice."""
+    names = entries.columns
+    drawn = entries.join(counts.select("key", c("n").alias("__n")), "key")
+    drawn = drawn.withColumn("__r", F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64(F.lit(seed), "key", "at"), "at"))).filter(c("__r") <= 2 * c("__n"))
+    apart = non_overlapping(drawn.withColumn("config", F.lit("random")))
+    kept = apart.withColumn("__r", F.row_number().over(Window.partitionBy("key").orderBy("at"))).filter(c("__r") <= c("__n"))
+    return kept.select(*names)

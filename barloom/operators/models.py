@@ -15,9 +15,15 @@ from pyspark.ml.regression import GBTRegressor, IsotonicRegression
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import metrics, runs
+
 c = F.col
 
 
+class NoFold(ValueError):
+    """No fold has enough rows to train and test on."""
+
+
 def as_doubles(df: DataFrame, features: list[str]) -> DataFrame:
     """Features as doubles with null for NaN and infinite values."""
     clean = lambda x: F.when(F.isnan(x) | (F.abs(x) == float("inf")), None).otherwise(x)
@@ -124,10 +130,42 @@ def walk_forward(df: DataFrame, features: list[str], label: str = "label", *, ke
         scored = fix(predict(model, rows.filter("part = 'test'"), chosen)).select(*df.columns, "model_probability", "calibrated")
         out = scored if out is None else out.unionByName(scored)
     if out is None:
-        raise ValueError("no fold has enough rows")
+        raise NoFold("no fold has enough rows")
     return out
 
 
+LEDGER = "tp int, sl int, hold int, n_folds long, n_test long, roc_auc double, average_precision double, precision_mean double, recall_mean double"
+
+
+def grid_run(rows: Callable[[dict], DataFrame], grid: DataFrame, ledger: str, features: list[str], **params: object) -> DataFrame:
+    """Walk forward for every configuration (tp, sl, hold) that the ledger lacks, best area under the curve first.
+
+    rows: the labelled rows of a configuration, with their folds. A configuration's line is written once all its folds are done,
+    so a run that stopped goes on with the rest; one without a usable fold is written with n_folds 0. The grid is a small table.
+    """
+    spark = grid.sparkSession
+    spark.createDataFrame([], LEDGER).write.mode("append").parquet(ledger)  # so that there is one to read
+    todo = runs.pending(grid, spark.read.schema(LEDGER).parquet(ledger)).orderBy(*runs.PARAMETERS)
+    for config in [r.asDict() for r in todo.collect()]:
+        data = rows(config).cache()  # read by every stage of every fold
+        try:
+            scored = walk_forward(data, features, **params)
+        except NoFold:
+            folds = None
+        else:
+            named = scored.withColumn("outcome", F.when(c("label") == 1, "WIN").otherwise("LOSS")).withColumn("model_probability", c("calibrated"))
+            folds = metrics.classification(named, ["fold"])
+        own = [F.lit(int(config[p])).alias(p) for p in runs.PARAMETERS]
+        if folds is None:
+            line = spark.range(1).select(*own, F.lit(0).alias("n_folds"), F.lit(0).alias("n_test"), *(F.lit(None).alias(n) for n in ("roc_auc", "average_precision", "precision_mean", "recall_mean")))
+        else:
+            n = c("tp") + c("fp") + c("fn") + c("tn")
+            line = folds.agg(F.count(F.lit(1)).alias("n_folds"), F.sum(n).alias("n_test"), *(F.avg(x).alias(y) for x, y in {"roc_auc": "roc_auc", "average_precision": "average_precision", "precision": "precision_mean", "recall": "recall_mean"}.items())).select(*own, "*")
+        line.selectExpr(*(f"cast({n} as {kind}) {n}" for n, kind in (x.split() for x in LEDGER.split(", ")))).write.mode("append").parquet(ledger)
+        data.unpersist()
+    return spark.read.schema(LEDGER).parquet(ledger).orderBy(F.desc_nulls_last("roc_auc"), *runs.PARAMETERS)
+
+
 def heads(df: DataFrame, features: list[str], flags: list[str], values: list[str]) -> dict[str, PipelineModel]:
     """One classifier for each flag (targets reached) and one regressor for each value (excursions)."""
     out = {f: train(df.filter(c(f).isNotNull()), features, f) for f in flags}

@@ -96,6 +96,27 @@ def alignment(trades: DataFrame, least: int = 10) -> DataFrame:
     return by.join(total).select("category", "n_trades", "wins", (c("wins") / c("n_trades")).alias("win_rate"), (c("n_trades") * 100 / c("total")).alias("percent_of_all"))
 
 
+def loss_report(trades: DataFrame, features: list[str], least: int = 30, most: int = 10, hints: int = 5) -> DataFrame:
+    """(section, item, place, value, hint): the whole log, what predicts losses, sessions to avoid and the best cut of confidence.
+
+    hint marks what to act on: the first `hints` predictors, every problematic session, and a cut over 0.50."""
+    row = lambda d, section, item, place, value, hint: d.select(F.lit(section).alias("section"), item.alias("item"), place.cast("int").alias("place"), value.cast("double").alias("value"), hint.alias("hint"))
+    one, no = F.lit(1), F.lit(False)
+    s = summary(trades).withColumn("win_rate", F.try_divide("wins", "n_trades"))
+    each = F.array(*(F.struct(F.lit(n).alias("item"), c(n).cast("double").alias("value")) for n in ("n_trades", "wins", "losses", "win_rate", "total_pips")))
+    totals = s.select(F.explode(each).alias("s")).select("s.*")
+    found = feature_comparison(trades, features, least).filter(c("is_significant") & (c("place") <= most))
+    avoid = sessions(trades).filter("problematic")
+    cut = best_confidence(trades).filter("cut is not null")
+    parts = [
+        row(totals, "summary", c("item"), one, c("value"), no),
+        row(found, "predictor", F.concat_ws(" ", "feature", "direction"), c("place"), c("difference_percent"), c("place") <= hints),
+        row(avoid, "session", c("session"), one, c("win_rate"), F.lit(True)),
+        row(cut, "confidence", F.lit("model_probability"), one, c("cut") / 100, c("cut") > 50),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def confluence(trades: DataFrame, least: int = 5) -> DataFrame:
     x = c("mtf_confluence_score")
     bucket = F.when(x >= 0.75, "high").when(x >= 0.5, "medium").when(x < 0.5, "low")

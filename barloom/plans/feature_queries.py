@@ -294,6 +294,34 @@ _xl = {f"{n}{k}": L(x, k) for x, (n, ks) in features.EXTENDED_LAGS.items() for k
 family("extended_lags", [_xl], extra=[t.ADX, OSCILLATORS, CHANNELS, _emas], digits=5, **EMA_BASE)
 
 
+_prior = "(PARTITION BY key ORDER BY ts ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING)"
+_exporter = [
+    {
+        "bb_touch_strength": "high / nullif(upper_band, 0)", "prev_candle_body_pct": L("candle_body_pct"), "prev_volume_ratio": L("volume_ratio"),
+        "gap_from_prev_close": f"(open - {L('close')}) / nullif({L('close')}, 0)", "price_momentum": chg("close", 5),
+        "resistance_distance_pct": f"(({t.R('max', 'high', 20)}) - close) / nullif(close, 0)",
+        "_touched": flag("high >= upper_band"), "_i": "row_number() OVER (PARTITION BY key ORDER BY ts)",
+    },
+    {
+        "previous_touches": f"CASE WHEN count(*) OVER {_prior} = 10 THEN sum(_touched) OVER {_prior} END",
+        "time_since_last_touch": "_i - max(CASE WHEN _touched = 1 THEN _i END) OVER (PARTITION BY key ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)",
+    },
+]
+family("exporter", _exporter, whole=("previous_touches", "time_since_last_touch"))
+_early = [
+    {
+        "atr_14": t.R("avg", "(high - low)", 14), "bb_position_ma5": t.R("avg", "bb_position", 5), "bb_trend": diff("bb_position", 3),
+        "rsi_ma5": t.R("avg", "rsi_value", 5), "rsi_trend": diff("rsi_value", 3), "rsi_momentum": diff("rsi_value", 5),
+        "trend_strength_ma5": t.R("avg", "trend_strength", 5), "trend_acceleration": diff("trend_strength", 3),
+        "h4_uptrend": flag("trend_strength > 0.3"), "h4_downtrend": flag("trend_strength < -0.3"),
+        "is_london": flag("hour(ts) IN (8, 9, 10, 11)"), "is_ny": flag("hour(ts) IN (13, 14, 15, 16)"), "is_overlap": flag("hour(ts) IN (13, 14, 15, 16)"),
+        "is_monday": flag("isodow(ts) = 1"), "is_friday": flag("isodow(ts) = 5"),
+    },
+    {"atr_14_pct": "atr_14 / nullif(close, 0)", "volatility_ratio": f"atr_14 / nullif(({t.R('avg', 'atr_14', 50)}), 0)"},
+]
+family("early", _early)
+
+
 @query("f_zscores_chunked", SQL["f_zscores"])
 def f_zscores_chunked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The plain family, with windows over pieces of ten days and a halo of thirty instead of whole keys."""

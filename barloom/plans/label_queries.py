@@ -79,6 +79,17 @@ def mtf_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(crossframe.merged(fast(spark, sf_dir), slow(spark, sf_dir)), ["key", "ts", *_cross_names])
 
 
+_early_pairs = {
+    "d1_rsi_ma3": R("avg", "d1_rsi_value", 3), "mtf_trend_alignment": "trend_strength * d1_trend_strength",
+    "mtf_long_signal": flag("trend_strength > 0.3 AND d1_trend_strength > 0.3"), "mtf_short_signal": flag("trend_strength < -0.3 AND d1_trend_strength < -0.3"),
+}
+
+
+@query("early_pairs", t.query([*_merged(), t.layer("e", "merged", _early_pairs)], f"SELECT key, {STAMP} AS ts, " + ", ".join(k if k.endswith("signal") else t.rounded(k) for k in _early_pairs) + " FROM e"))
+def early_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shown(crossframe.early_pairs(crossframe.merged(fast(spark, sf_dir), slow(spark, sf_dir))), ["key", "ts", *_early_pairs])
+
+
 # Labels
 
 
@@ -156,6 +167,22 @@ def label_multi_target(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(labels.multi_target(fast(spark, sf_dir), list(_targets), 12, 60), ["key", "ts", *names, "mfe_mae_ratio"])
 
 
+_reach = (30, 50, 80)
+_summary = [
+    *_BASED,
+    "numbered AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ts) AS i, count(*) OVER (PARTITION BY key) AS n FROM b2)",
+    "met AS (SELECT b.key, b.i, b.n, b.bb_position, min(n.i - b.i) FILTER (n.high >= b.close + 60) AS stop, b.close - min(n.low) AS mfe, max(n.high) - b.close AS mae, " + ", ".join(f"min(n.i - b.i) FILTER (n.low <= b.close - {x}) AS bars_to_{x}" for x in _reach) + " FROM numbered b LEFT JOIN numbered n ON b.key = n.key AND n.i BETWEEN b.i + 1 AND b.i + 24 GROUP BY b.key, b.i, b.n, b.bb_position, b.close)",
+    "whole AS (SELECT *, mfe / nullif(mae, 0) AS ratio FROM met WHERE i + 24 <= n)",
+]
+_share = "round(avg(CASE WHEN {} THEN 1.0::DOUBLE ELSE 0.0 END), 6)"
+
+
+@query("label_summary", t.query(_summary, "SELECT (SELECT count(*) FROM met) AS n_rows, (SELECT count(*) FROM met WHERE bb_position >= 0.95) AS n_signals, " + ", ".join(f"{_share.format(f'bars_to_{x} IS NOT NULL')} AS prob_{x}" for x in _reach) + ", round(avg(mfe), 6) AS avg_mfe, round(avg(mae), 6) AS avg_mae, round(avg(ratio), 6) AS avg_mfe_mae_ratio, " + f"(SELECT round(avg(bars_to_30::DOUBLE), 6) FROM met) AS avg_bars_to_30, {_share.format('bars_to_30 < coalesce(stop, 9999)')} AS share_safe_30, {_share.format('bars_to_30 <= 12')} AS share_fast_30, {_share.format('mfe >= 30 AND ratio > 1.5')} AS share_clean_winner FROM whole"))
+def label_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = labels.multi_target(features.add(fast(spark, sf_dir), "base"), list(_reach), 24, 60)
+    return shown(labels.label_summary(rows, list(_reach)))
+
+
 @query("nonoverlap_trades", t.query([t.bars(), *_barrier(100, 60, 12), "e AS (SELECT l.key, n.i AS pos, n.i + l.exit_bar AS exit_at FROM labelled l JOIN numbered n USING (key, ts) WHERE l.reason <> 'insufficient_data')", "taken AS (SELECT key, min(pos) AS pos FROM e GROUP BY key UNION ALL SELECT k.key, (SELECT min(x.pos) FROM e x WHERE x.key = k.key AND x.pos > e.exit_at) FROM taken k JOIN e ON e.key = k.key AND e.pos = k.pos WHERE k.pos IS NOT NULL)"], "SELECT e.key, e.pos::INT AS \"at\", e.exit_at::INT AS exit_at FROM taken k JOIN e ON e.key = k.key AND e.pos = k.pos"))
 def nonoverlap_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = labels.barrier(fast(spark, sf_dir), 100, 60, 12).withColumn("at", F.row_number().over(w.order()))
@@ -218,6 +245,22 @@ def random_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(labels.random_entries(fast(spark, sf_dir), 0.2), ["key", "ts", "close"])
 
 
+def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = labels.barrier(features.add(fast(spark, sf_dir), "base"), 100, 60, 12).withColumn("at", F.row_number().over(w.order()))
+    rows = rows.filter("reason <> 'insufficient_data'").withColumn("exit_at", F.col("at") + F.col("exit_bar"))
+    return rows.withColumn("signal", signals.overbought()).select("key", "at", "exit_at", "label", "pips", "signal")
+
+
+@query("random_trades_apart")
+def random_trades_apart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trades of a signal beside as many random ones; compared with a loop over rows in tests."""
+    entries = _entries(spark, sf_dir)
+    taken = labels.non_overlapping(entries.filter("signal").withColumn("config", F.lit("signal"))).drop("config")
+    counts = taken.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    both = taken.withColumn("side", F.lit("signal")).unionByName(labels.random_trades(entries, counts).withColumn("side", F.lit("random")))
+    return shown(both.groupBy("key", "side").agg(F.count(F.lit(1)).alias("n_trades"), F.sum("label").alias("wins"), F.avg("pips").alias("avg_pips")))
+
+
 @query("research_buckets", t.query([*_BASED, t.layer("e", "b2", _exc)], "SELECT bucket, count(*) AS n, " + ", ".join(f"round(avg(CASE WHEN mfe_12 >= {x} THEN 1.0 ELSE 0.0 END), 6) AS p_{x}" for x in (100, 200)) + ", round(avg(mfe_12), 6) AS mean_mfe, round(avg(mae_12), 6) AS mean_mae, round(avg(mfe_12) / avg(mae_12), 6) AS ratio, round(avg(mfe_12) - (SELECT avg(mfe_12) FROM e WHERE bb_position IS NOT NULL), 6) AS edge FROM (SELECT *, CASE WHEN bb_position >= 0.8 THEN 'high' WHEN bb_position <= 0.2 THEN 'low' WHEN bb_position IS NOT NULL THEN 'middle' END AS bucket FROM e) WHERE bucket IS NOT NULL AND mfe_12 IS NOT NULL GROUP BY bucket"))
 def research_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = labels.excursions(features.add(fast(spark, sf_dir), "base"), [12])

@@ -32,6 +32,24 @@ def gbt_walk_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(metrics.classification(named, ["fold"]))
 
 
+def _folder(spark: SparkSession) -> str:
+    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-models-", dir="/tmp")
+    return f"{root}/barloom-{uuid.uuid4().hex}"
+
+
+def grid_walk_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Walk forward over a grid of barriers, resumed once: the ledger of all configurations, best first."""
+    merged = crossframe.merged(fast(spark, sf_dir), slow(spark, sf_dir)).filter("d1_ts is not null")
+
+    def rows(config: dict) -> DataFrame:
+        df = labels.barrier(merged, config["tp"], config["sl"], config["hold"]).filter("reason <> 'insufficient_data'")
+        return runs.assign_folds(df.select("key", "ts", *FEATURES, "label", "pips"), runs.date_folds(df, 2, 5, 4), purge_days=2)
+
+    ledger, grid = f"{_folder(spark)}/ledger", runs.parameter_grid(spark, (60, 120, 60), (60, 60, 1), (6, 6, 1))
+    models.grid_run(rows, grid.filter("tp = 60"), ledger, FEATURES, maxIter=3)
+    return shown(models.grid_run(rows, grid, ledger, FEATURES, maxIter=3))
+
+
 def stream_bars_4h(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Finished bars of the events read as a stream, run until all that is there is processed."""
     root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-stream-", dir="/tmp")
@@ -42,4 +60,4 @@ def stream_bars_4h(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(spark.read.parquet(f"{root}/bars"))
 
 
-QUERIES |= {"gbt_walk_forward": gbt_walk_forward, "stream_bars_4h": stream_bars_4h}
+QUERIES |= {"gbt_walk_forward": gbt_walk_forward, "grid_walk_forward": grid_walk_forward, "stream_bars_4h": stream_bars_4h}

@@ -77,11 +77,21 @@ query("feature_significance")(lambda t: trades.feature_comparison(t, FEATURES).s
 _sess = "s AS (" + " UNION ALL ".join(f"SELECT '{n}' AS session, outcome FROM trades WHERE {c} = 1" for n, c in trades.SESSIONS.items()) + " UNION ALL SELECT 'Off-Hours', outcome FROM trades WHERE " + " AND ".join(f"{c} = 0" for c in trades.SESSIONS.values()) + ")"
 query("session_analysis", f"SELECT session, count(*) AS n_trades, {WIN} AS wins, count(*) FILTER (outcome = 'LOSS') AS losses, {RATE} AS win_rate, {WIN} / count(*)::DOUBLE < (SELECT avg(CASE WHEN outcome = 'WIN' THEN 1.0 ELSE 0.0 END) FROM trades) - 0.1 AS problematic FROM s GROUP BY session HAVING count(*) >= 10", [_sess])(trades.sessions)
 query("confidence_buckets", f"SELECT CASE WHEN model_probability < 0.55 THEN '0.50-0.55' WHEN model_probability < 0.6 THEN '0.55-0.60' WHEN model_probability < 0.65 THEN '0.60-0.65' WHEN model_probability < 0.7 THEN '0.65-0.70' WHEN model_probability < 0.75 THEN '0.70-0.75' WHEN model_probability < 0.8 THEN '0.75-0.80' ELSE '0.80-1.01' END AS bucket, count(*) AS n_trades, {WIN} AS wins, round(avg(pips_result), 6) + 0.0 AS avg_pips, {RATE} AS win_rate FROM trades WHERE model_probability >= 0.5 GROUP BY 1 HAVING count(*) >= 5")(trades.confidence_buckets)
-query("optimal_confidence", "SELECT arg_max(cut, (round(r, 9), -cut))::INT AS cut, round(max(r), 6) AS win_rate FROM (SELECT *, max(CASE WHEN n < greatest((SELECT count(*) FROM trades) * 0.1, 10) THEN 1 ELSE 0 END) OVER (ORDER BY cut) AS short FROM k) WHERE short = 0", [f"k AS (SELECT cut, count(*) AS n, {WIN} / count(*)::DOUBLE AS r FROM trades, range(50, 86) c(cut) WHERE floor(model_probability * 100 + 1e-9) >= cut GROUP BY cut)"])(trades.best_confidence)
+_cuts = f"k AS (SELECT cut, count(*) AS n, {WIN} / count(*)::DOUBLE AS r FROM trades, range(50, 86) c(cut) WHERE floor(model_probability * 100 + 1e-9) >= cut GROUP BY cut)"
+_cut = "SELECT arg_max(cut, (round(r, 9), -cut))::INT AS cut, round(max(r), 6) AS win_rate FROM (SELECT *, max(CASE WHEN n < greatest((SELECT count(*) FROM trades) * 0.1, 10) THEN 1 ELSE 0 END) OVER (ORDER BY cut) AS short FROM k) WHERE short = 0"
+query("optimal_confidence", _cut, [_cuts])(trades.best_confidence)
 _al = {"supports_short": "d1_supports_short = 1", "does_not_support_short": "d1_supports_short = 0", "opposes_short": "d1_opposes_short = 1", "trending_up": "d1_is_trending_up = 1", "not_trending_up": "d1_is_trending_up = 0"}
 query("alignment", f"SELECT category, count(*) AS n_trades, {WIN} AS wins, {RATE} AS win_rate, round(count(*) * 100 / (SELECT count(*) FROM trades)::DOUBLE, 6) AS percent_of_all FROM a GROUP BY category HAVING count(*) >= 10", ["a AS (" + " UNION ALL ".join(f"SELECT '{n}' AS category, outcome FROM trades WHERE {x}" for n, x in _al.items()) + ")"])(trades.alignment)
 query("confluence", f"SELECT CASE WHEN mtf_confluence_score >= 0.75 THEN 'high' WHEN mtf_confluence_score >= 0.5 THEN 'medium' ELSE 'low' END AS bucket, count(*) AS n_trades, {WIN} AS wins, round(avg(mtf_confluence_score), 6) AS avg_score, {RATE} AS win_rate FROM trades GROUP BY 1 HAVING count(*) >= 5")(trades.confluence)
 
+_report = "\nUNION ALL ".join([
+    f"SELECT 'summary' AS section, item, 1 AS place, round(value, 6) + 0.0 AS value, false AS hint FROM (SELECT count(*)::DOUBLE AS n_trades, ({WIN})::DOUBLE AS wins, count(*) FILTER (outcome = 'LOSS')::DOUBLE AS losses, ({WIN}) / count(*)::DOUBLE AS win_rate, sum(pips_result)::DOUBLE AS total_pips FROM trades) UNPIVOT (value FOR item IN (n_trades, wins, losses, win_rate, total_pips))",
+    "SELECT 'predictor', feature || ' ' || direction, place::INT, difference_percent, place <= 5 FROM compared WHERE is_significant AND place <= 10",
+    f"SELECT 'session', session, 1, {RATE}, true FROM s GROUP BY session HAVING count(*) >= 10 AND {WIN} / count(*)::DOUBLE < (SELECT avg(CASE WHEN outcome = 'WIN' THEN 1.0 ELSE 0.0 END) FROM trades) - 0.1",
+    f"SELECT 'confidence', 'model_probability', 1, cut / 100.0::DOUBLE, cut > 50 FROM ({_cut}) WHERE cut IS NOT NULL",
+])
+query("loss_report", _report, [_long, _cmp, f"compared AS ({_compared})", _sess, _cuts])(lambda t: trades.loss_report(t, FEATURES))
+
 # Rules
 
 _columns = [*_TRADE, *_MORE, *_LAST]
