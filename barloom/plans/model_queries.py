@@ -39,13 +39,16 @@ def _folder(spark: SparkSession) -> str:
 
 def grid_walk_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Walk forward over a grid of barriers, resumed once: the ledger of all configurations, best first."""
-    merged = crossframe.merged(fast(spark, sf_dir), slow(spark, sf_dir)).filter("d1_ts is not null")
+    folder = _folder(spark)
+    bars_ = crossframe.merged(fast(spark, sf_dir), slow(spark, sf_dir)).filter("d1_ts is not null")
+    bars_.select("key", "ts", "high", "low", "close", *FEATURES).write.parquet(f"{folder}/bars")  # made once, and a short plan for every fit
+    merged = spark.read.parquet(f"{folder}/bars")
 
     def rows(config: dict) -> DataFrame:
         df = labels.barrier(merged, config["tp"], config["sl"], config["hold"]).filter("reason <> 'insufficient_data'")
         return runs.assign_folds(df.select("key", "ts", *FEATURES, "label", "pips"), runs.date_folds(df, 2, 5, 4), purge_days=2)
 
-    ledger, grid = f"{_folder(spark)}/ledger", runs.parameter_grid(spark, (60, 120, 60), (60, 60, 1), (6, 6, 1))
+    ledger, grid = f"{folder}/ledger", runs.parameter_grid(spark, (60, 120, 60), (60, 60, 1), (6, 6, 1))
     models.grid_run(rows, grid.filter("tp = 60"), ledger, FEATURES, maxIter=3)
     return shown(models.grid_run(rows, grid, ledger, FEATURES, maxIter=3))
 
