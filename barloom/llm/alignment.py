@@ -153,7 +153,8 @@ class Pieces(dict):
 
         self.library = sentencepiece.SentencePieceProcessor(model_file=path)
         pieces = [self.library.id_to_piece(i) for i in range(self.library.get_piece_size())]
-        self.apart = not any(re.search("[^▁]▁", p) for p in pieces)
+        self.apart = "▁" in pieces and not any(re.search("[^▁]▁", p) for p in pieces)
+        self.space = np.array([self.library.piece_to_id("▁")], "<u4").tobytes()
         self.tokens = [bytes([int(p[3:5], 16)]) if re.fullmatch("<0x[0-9A-F]{2}>", p) else p.replace("▁", " ").encode() for p in pieces]
 
     def many(self, texts: list[str]) -> list[bytes]:
@@ -163,6 +164,7 @@ class Pieces(dict):
         found = [self.runs.findall(" " + t) for t in texts]
         if len(self) > REMEMBERED:
             self.clear()
+        self[" "] = self.space  # at a text's end: the library adds no space in front of nothing
         new = list({r for runs in found for r in runs if r not in self})
         for i in range(0, len(new), 10_000):
             part = new[i : i + 10_000]
