@@ -139,11 +139,12 @@ def _passed_on(name: str, keep: float) -> Callable[[Column, Column], Column]:
 def emas(df: DataFrame, spans: dict[str, tuple[str, int]], chunk: int = 128) -> DataFrame:
     """Add exponential moving averages, name -> (column, span), each starting at its key's first row.
 
-    A series is cut into chunks of rows. In a chunk the recurrence is a weighted running sum; only each chunk's last value
+    A series is cut into chunks of rows, by __rank where pieces.in_pieces has numbered them. In a chunk the recurrence is a weighted running sum; only each chunk's last value
     is passed on, over as many chunks as it takes to weigh less than a double's precision.
     """
-    out = df.withColumn("__i", F.row_number().over(order()) - 1)
-    out = out.withColumn("__c", F.floor(F.col("__i") / chunk)).withColumn("__j", F.col("__i") % chunk)
+    number = F.col("__rank") if "__rank" in df.columns else F.row_number().over(order()) - 1
+    out = df.withColumn("__i", number).withColumn("__c", F.floor(F.col("__i") / chunk))
+    out = out.withColumn("__j", F.col("__i") % chunk)
     inner = Window.partitionBy(KEY, "__c").orderBy(TS).rowsBetween(Window.unboundedPreceding, 0)
     for name, (x, span) in spans.items():
         keep = 1 - 2.0 / (span + 1)

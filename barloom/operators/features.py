@@ -9,15 +9,27 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from barloom.functions import pieces
 from barloom.functions import windows as w
 
 c = F.col
 flag, lag, diff, mean, std, safe = w.flag, w.lag, w.diff, w.mean, w.std, w.safe_div
-Layer = dict[str, Column]
+
+
+class Since(NamedTuple):
+    """In a layer: rows since the condition last held. It looks back without bound."""
+
+    condition: Column
+
+
+Layer = dict[str, Column | Since]
+#: Rows that the windows of one layer look back, at most.
+REACH = 100
 
 
 def over(a: Column | str, b: Column | str) -> Column:
@@ -36,7 +48,7 @@ def exporter() -> list[Layer]:
         {
             "bb_touch_strength": over("high", "upper_band"), "prev_candle_body_pct": lag("candle_body_pct"), "prev_volume_ratio": lag("volume_ratio"),
             "gap_from_prev_close": over(c("open") - lag("close"), lag("close")), "price_momentum": w.change("close", 5),
-            "resistance_distance_pct": over(w.high("high", 20) - c("close"), "close"), "__touched": flag(touched), "__since": w.bars_since(touched),
+            "resistance_distance_pct": over(w.high("high", 20) - c("close"), "close"), "__touched": flag(touched), "__since": Since(touched),
         },
         {"__n": w.total("__touched", 10)},
         {"previous_touches": lag("__n").cast("int"), "time_since_last_touch": (lag("__since") + 1).cast("int")},
@@ -265,14 +277,17 @@ def channels() -> list[Layer]:
 
 
 def add_emas(df: DataFrame) -> DataFrame:
-    """EMA 8, 21, 50 and 200, MACD (12, 26, 9), and what follows from them."""
+    """EMA 8, 21, 50 and 200 and MACD (12, 26, 9)."""
     out = w.emas(df, {f"ema_{n}": ("close", n) for n in (8, 21, 50, 200)} | {"__e12": ("close", 12), "__e26": ("close", 26)})
     out = w.emas(out.withColumn("macd_line", c("__e12") - c("__e26")), {"macd_signal": ("macd_line", 9)})
-    out = out.withColumn("macd_histogram", c("macd_line") - c("macd_signal"))
+    return out.withColumn("macd_histogram", c("macd_line") - c("macd_signal"))
+
+
+def ema_changes() -> list[Layer]:
     more = {f"ema_{n}_slope": w.change(f"ema_{n}", 3) for n in (8, 21, 50, 200)} | {f"price_vs_ema_{n}": over(c("close") - c(f"ema_{n}"), f"ema_{n}") for n in (8, 21, 50, 200)}
     more |= {f"ema_{a}_{b}_dist": over(c(f"ema_{a}") - c(f"ema_{b}"), f"ema_{b}") for a, b in ((8, 21), (21, 50), (50, 200))}
     more |= {"macd_hist_slope": diff("macd_histogram", 3), "macd_line_slope": diff("macd_line", 3), "macd_normalized": over("macd_line", "close") * 1000, "macd_hist_normalized": over("macd_histogram", "close") * 1000}
-    return out.withColumns(more).drop("__e12", "__e26")
+    return [more]
 
 
 def _cross(a: Column, b: Column, before_a: Column, before_b: Column) -> tuple[Column, Column]:
@@ -288,7 +303,7 @@ def crossovers() -> list[Layer]:
     e = [c(f"ema_{n}") for n in (8, 21, 50, 200)]
     out["ema_bullish_alignment"] = flag((e[0] > e[1]) & (e[1] > e[2]) & (e[2] > e[3]))
     out["ema_bearish_alignment"] = flag((e[0] < e[1]) & (e[1] < e[2]) & (e[2] < e[3]))
-    since = lambda n: w.bars_since((c(f"{n}_cross_up") == 1) | (c(f"{n}_cross_down") == 1))
+    since = lambda n: Since((c(f"{n}_cross_up") == 1) | (c(f"{n}_cross_down") == 1))
     return [out, {"bars_since_ema_8_21_cross": since("ema_8_21"), "bars_since_macd_cross": since("macd")}]
 
 
@@ -319,20 +334,28 @@ def combinations() -> list[Layer]:
 
 
 def add_streaks(df: DataFrame) -> DataFrame:
-    return w.streaks(df, consecutive_bullish=c("close") > c("open"), consecutive_bearish=c("close") < c("open"))
+    return _streaks(df, consecutive_bullish=c("close") > c("open"), consecutive_bearish=c("close") < c("open"))
+
+
+def _streaks(df: DataFrame, **conditions: Column) -> DataFrame:
+    return (pieces.streaks if pieces.RANK in df.columns else w.streaks)(df, **conditions)
+
+
+def runs() -> list[Layer]:
+    return [{"__higher": flag(c("high") > lag("high")), "__lower": flag(c("low") < lag("low"))}]
 
 
 def add_run_streaks(df: DataFrame) -> DataFrame:
-    return w.streaks(df, higher_high_run=c("high") > lag("high"), lower_low_run=c("low") < lag("low"))
+    return _streaks(df, higher_high_run=c("__higher") == 1, lower_low_run=c("__lower") == 1)
 
 
 Family = tuple[tuple[str, ...], Callable[[], list[Layer]] | None, Callable[[DataFrame], DataFrame] | None]
-#: Each family: what it rests on, and its layers or its function.
+#: Each family: what it rests on, its layers, and a function that comes before them.
 FAMILIES: dict[str, Family] = {
     "base": ((), base, None), "changes": (("base",), changes, None), "lags": (("changes",), lags, None), "slopes": (("base",), slopes, None), "zscores": (("base",), zscores, None), "rolling": (("base",), rolling, None), "shape": ((), shape, None), "rolling_expanded": (("base",), rolling_expanded, None),
-    "percentiles": (("base",), percentiles, None), "flags": (("base",), flags, None), "momentum": (("changes", "slopes"), momentum, None), "rates": (("base",), rates, None), "streaks": ((), None, add_streaks), "run_streaks": ((), None, add_run_streaks), "counts": ((), counts, None), "patterns": (("flags", "streaks"), patterns, None), "candles": (("base",), candles, None),
+    "percentiles": (("base",), percentiles, None), "flags": (("base",), flags, None), "momentum": (("changes", "slopes"), momentum, None), "rates": (("base",), rates, None), "streaks": ((), None, add_streaks), "runs": ((), runs, None), "run_streaks": (("runs",), None, add_run_streaks), "counts": ((), counts, None), "patterns": (("flags", "streaks"), patterns, None), "candles": (("base",), candles, None),
     "session": ((), session, None), "session_combined": ((), lambda: session("combined"), None), "session_expanded": ((), lambda: session("expanded"), None), "adx": ((), adx, None), "volatility": (("base",), volatility, None), "volatility_expanded": (("base",), volatility_expanded, None), "reversion": (("base",), reversion, None),
-    "oscillators": ((), oscillators, None), "channels": ((), channels, None), "emas": ((), None, add_emas), "momentum_expanded": (("base", "emas"), momentum_expanded, None), "crossovers": (("emas", "oscillators", "channels"), crossovers, None), "long_zscores": (("base", "oscillators"), long_zscores, None), "long_percentiles": (("base", "adx"), long_percentiles, None),
+    "oscillators": ((), oscillators, None), "channels": ((), channels, None), "emas": ((), ema_changes, add_emas), "momentum_expanded": (("base", "emas"), momentum_expanded, None), "crossovers": (("emas", "oscillators", "channels"), crossovers, None), "long_zscores": (("base", "oscillators"), long_zscores, None), "long_percentiles": (("base", "adx"), long_percentiles, None),
     "regime_expanded": (("base", "emas", "adx"), regime_expanded, None), "reversion_expanded": (("emas", "long_zscores"), reversion_expanded, None), "combinations": (("base", "adx", "crossovers"), combinations, None), "extended_lags": (("base", "emas", "oscillators", "channels", "adx"), extended_lags, None),
     "exporter": (("base",), exporter, None), "early": (("base",), early, None),
 }
@@ -346,13 +369,40 @@ def needed(names: tuple[str, ...]) -> list[str]:
     return list(dict.fromkeys(out))
 
 
-def add(df: DataFrame, *names: str) -> DataFrame:
+def _layered(df: DataFrame, layers: list[Layer]) -> DataFrame:
+    for layer in layers:
+        df = df.withColumns({k: v for k, v in layer.items() if k not in df.columns or k.startswith("__")})
+    return df
+
+
+def add(df: DataFrame, *names: str, size: int | None = None) -> DataFrame:
+    """Add families of features, and those that they rest on.
+
+    size: rows of the pieces that windows run over, for series too long for a task each. By default a key is one window, which
+    shuffles less where there are many keys.
+    """
+    waiting: list[Layer] = []
+    if size is not None:
+        df = pieces.in_pieces(df, size=size).drop(pieces.PIECE)
+
+    def made(df: DataFrame) -> DataFrame:
+        own = list(waiting)
+        waiting.clear()
+        if not own or size is None:
+            return _layered(df, own)
+        return pieces.by_pieces(df, lambda part: _layered(part, own), back=min(size, REACH * len(own)), size=size)
+
     for n in needed(names):
         _, layers, function = FAMILIES[n]
         if function:
-            df = function(df)
+            df = function(made(df))
         for layer in layers() if layers else []:
-            df = df.withColumns({k: v for k, v in layer.items() if k not in df.columns or k.startswith("__")})
+            waiting.append({k: v for k, v in layer.items() if not isinstance(v, Since)})
+            since = {k: v.condition for k, v in layer.items() if isinstance(v, Since)}
+            if since:
+                df = made(df)
+                df = df.withColumns({k: w.bars_since(x) for k, x in since.items()}) if size is None else pieces.since(df, size=size, **since)
+    df = made(df)
     return df.drop(*(x for x in df.columns if x.startswith("__")))
 
 

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barloom.functions import pieces
+
 c = F.col
 
 
@@ -30,11 +32,10 @@ def expected_value(precision: Column, tp: Column | float, sl: Column | float) ->
 def drawdown(trades: DataFrame, by: list[str], order: list[str], pips: str = "pips_result", bucket: Column | None = None) -> DataFrame:
     """(by, max_drawdown) of the running sum of pips from 0.
 
-    With a bucket that follows the order (a month, say), sums run inside buckets and are carried over by bucket totals, so
-    that one long history is spread over tasks; without, each group is one task.
+    Sums run inside buckets and are carried over by bucket totals, so that one long history is spread over tasks. bucket: a
+    value that follows the order (a month, say); by default pieces of rows.
     """
-    b = bucket if bucket is not None else F.lit(0)
-    rows = trades.withColumn("__b", b)
+    rows = pieces.in_pieces(trades, by, order).withColumn("__b", c(pieces.PIECE)) if bucket is None else trades.withColumn("__b", bucket)
     inner = Window.partitionBy(*by, "__b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("__s", F.sum(pips).over(inner))
     rows = rows.withColumn("__peak", F.max("__s").over(inner)).withColumn("__fall", F.max("__s").over(inner) - c("__s"))
@@ -62,10 +63,10 @@ def profit(trades: DataFrame, by: list[str], order: list[str], pips: str = "pips
     return out.join(falls, same).drop("__sd", "__up", "__down", *(f"__{b}" for b in by))
 
 
-def threshold_sweep(trades: DataFrame, thresholds: list[float], order: list[str], by: list[str] | None = None) -> DataFrame:
+def threshold_sweep(trades: DataFrame, thresholds: list[float], order: list[str], by: list[str] | None = None, bucket: Column | None = None) -> DataFrame:
     """profit() of the trades at or above each threshold: rows are spread over the thresholds they pass."""
     passed = F.filter(F.array(*map(F.lit, thresholds)), lambda t: t <= F.col("model_probability"))
-    return profit(trades.withColumn("threshold", F.explode(passed)), [*(by or []), "threshold"], order)
+    return profit(trades.withColumn("threshold", F.explode(passed)), [*(by or []), "threshold"], order, bucket=bucket)
 
 
 def best_threshold(sweep: DataFrame, metric: str, least: int = 100) -> DataFrame:

@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barloom.functions import pieces
 from barloom.functions.distributions import chi_square_tail, t_two_sided
 
 from .metrics import win
@@ -123,10 +124,11 @@ def stop_coverage(df: DataFrame, multiples: list[float], horizon: int) -> DataFr
 
 def regimes(df: DataFrame, rank: str) -> DataFrame:
     """Quartile regime of a trailing rank, and the number of the run of equal regimes that a bar is in."""
-    w = Window.partitionBy("key").orderBy("ts")
     out = df.withColumn("regime", F.when(c(rank) <= 0.25, "low").when(c(rank) <= 0.5, "normal").when(c(rank) <= 0.75, "elevated").when(c(rank) <= 1, "high"))
-    new = F.when(c("regime").eqNullSafe(F.lag("regime").over(w)), 0).otherwise(1)
-    return out.withColumn("__new", new).withColumn("cluster", F.sum("__new").over(w)).drop("__new")
+    own = pieces.scan(pieces.in_pieces(out), __before=pieces.previous("regime"))
+    new = F.when(c("regime").eqNullSafe(c("__before")), 0).otherwise(1)
+    own = pieces.scan(own.withColumn("__new", new), cluster=pieces.total("__new"))
+    return own.select(*out.columns, "cluster")
 
 
 def effect_by(df: DataFrame, by: Column, name: str) -> DataFrame:

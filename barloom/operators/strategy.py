@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barloom.functions import pieces
+
 c = F.col
 
 
@@ -52,11 +57,11 @@ def decide(df: DataFrame, known: dict[float, Column], levels: list[float], balan
     return out.withColumns(kelly(c("tp_probability"), c("optimal_tp"), c("sl"), balance))
 
 
-def equity(trades: DataFrame, by: list[str], order: list[str], risk: float = 0.01, sl: float = 50, pips: str = "pips_result") -> DataFrame:
-    """Add equity (from 1, compounding a fixed risk), its peak and drawdown_percent."""
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    out = trades.withColumn("ret", c(pips) / sl * risk).withColumn("equity", F.exp(F.sum(F.log1p("ret")).over(w)))
-    return out.withColumn("peak", F.greatest(F.max("equity").over(w), F.lit(1.0))).withColumn("drawdown_percent", (1 - c("equity") / c("peak")) * 100)
+def equity(trades: DataFrame, by: list[str], order: list[str], risk: float = 0.01, sl: float = 50, pips: str = "pips_result", size: int = pieces.SIZE) -> DataFrame:
+    """Add equity (from 1, compounding a fixed risk), its peak and drawdown_percent. The first column of the order is a time."""
+    out = pieces.paths(trades.withColumn("ret", c(pips) / sl * risk), F.log1p("ret"), by, order, size=size)
+    out = out.withColumn("equity", F.exp("path")).withColumn("peak", F.greatest(F.exp("top"), F.lit(1.0))).drop("path", "top")
+    return out.withColumn("drawdown_percent", (1 - c("equity") / c("peak")) * 100)
 
 
 def equity_summary(curve: DataFrame, by: list[str], year: int = 1512) -> DataFrame:
@@ -64,25 +69,67 @@ def equity_summary(curve: DataFrame, by: list[str], year: int = 1512) -> DataFra
     return out.select(*by, "n_trades", ((c("__e") - 1) * 100).alias("total_return_percent"), "max_drawdown_percent", (F.try_divide("__m", "__s") * math.sqrt(year)).alias("sharpe"))
 
 
-def resample(trades: DataFrame, by: list[str], n: int = 1000, *, seed: int = 1, replace: bool = False, pips: str = "pips_result", identity: list[str] | None = None) -> DataFrame:
+#: Trades of a block, about; the prime below which numbers are scrambled; the simulations that deal trades into blocks and order blocks.
+BLOCK, PRIME = 2048, 2_147_483_647
+DEAL, PLACE = 1_000_003, 2_000_003
+
+
+def scrambled(x, sim):
+    """A number below PRIME that looks random for each x (0 <= x < PRIME) and simulation; of Columns, or of arrays of 64-bit integers."""
+    y = (x * 48_271 + sim * 69_621 + 11) % PRIME
+    y = (y * y + x) % PRIME
+    return (y * y + sim) % PRIME
+
+
+def trade_key(*identity: str | Column, seed: int = 1) -> Column:
+    return F.pmod(F.xxhash64(F.lit(seed), *identity), F.lit(PRIME))
+
+
+def _path_summaries(by: list[str], n: int, replace: bool):
+    """Of a block's trades: for each simulation the sum of its path, its highest and lowest point and its deepest fall."""
+
+    def run(own: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values(["trade", "x"])
+        key, x = own["trade"].to_numpy(np.int64), own["x"].to_numpy(float)
+        out = np.empty((4, n))
+        step = max(1, (1 << 18) // max(1, x.size))
+        for lo in range(0, n, step):
+            sims = np.arange(lo, min(n, lo + step), dtype=np.int64)[:, None]
+            h = scrambled(key[None, :], sims)
+            path = x[h % x.size] if replace else x[np.argsort(h, axis=1, kind="stable")]
+            path = np.cumsum(path, axis=1)
+            fall = np.maximum.accumulate(path, axis=1) - path
+            out[:, lo : lo + step] = path[:, -1], path.max(axis=1), path.min(axis=1), fall.max(axis=1)
+        first = {b: [own[b].iloc[0]] * n for b in by}
+        return pd.DataFrame(first | {"block": own["block"].iloc[0], "sim": np.arange(n), "total": out[0], "top": out[1], "low": out[2], "fall": out[3]})
+
+    return run
+
+
+def resample(trades: DataFrame, by: list[str], n: int = 1000, *, seed: int = 1, replace: bool = False, pips: str = "pips_result", identity: list[str] | None = None, key: Column | None = None, block: int = BLOCK) -> DataFrame:
     """(by, sim, total, max_drawdown) of n reorderings of each group's trades, or of draws with replacement.
 
-    Every simulation is a window of its own, so they run in parallel; order and draws follow from hashes.
+    A group's trades are dealt at random, by their key, into blocks of about `block`, which is the only time that trades are shuffled. A
+    simulation puts the blocks in an order of its own and the trades inside each one too, or draws a block's number of trades from the
+    block. Of each block and simulation only a summary goes on: (sum, highest, lowest point, deepest fall), which combines over blocks in
+    order, as a path's deepest fall lies inside a block or between the highest point of earlier ones and a later low. A group that fits
+    in one block is reordered, or drawn from, as a whole; in larger ones draws in blocks make the variance of a total smaller by a
+    share of 1 / block. Order and draws follow from `key` (from 0 to PRIME - 1; by default a hash of identity), so that reruns agree.
+
+    Null pips count as 0; groups may be null; trades of equal key and pips can't be told apart and needn't be.
     """
-    ids = identity or ["ts"]
-    sims = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    rows = trades.select(*by, *ids, c(pips).alias("x")).withColumn("sim", sims)
-    at = F.xxhash64(F.lit(seed), "sim", *ids)
-    if replace:
-        per = Window.partitionBy(*by).orderBy(*ids)
-        numbered = trades.select(*by, *ids, c(pips).alias("x")).withColumn("i", F.row_number().over(per) - 1).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(*by)))
-        drawn = numbered.withColumn("sim", sims).withColumn("j", F.pmod(at, c("n")).cast("int")).select(*(c(b).alias(f"_{b}") for b in by), "sim", "i", "j")
-        rows = drawn.join(numbered.select(*by, c("i").alias("k"), "x"), [*(c(b).eqNullSafe(c(f"_{b}")) for b in by), c("j") == c("k")]).select(*by, "sim", c("i").alias("__o"), "x")
-    else:
-        rows = rows.withColumn("__o", at)
-    w = Window.partitionBy(*by, "sim").orderBy("__o", "x").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("s", F.sum("x").over(w)).withColumn("d", F.max("s").over(w) - c("s"))
-    return rows.groupBy(*by, "sim").agg(F.sum("x").alias("total"), F.max("d").alias("max_drawdown"))
+    key = trade_key(*(identity or ["ts"]), seed=seed) if key is None else key
+    rows = trades.select(*by, key.cast("long").alias("trade"), F.coalesce(c(pips).cast("double"), F.lit(0.0)).alias("x"))
+    sizes = rows.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / block).alias("__n")).select(*(c(b).alias(f"__{b}") for b in by), "__n")
+    rows = rows.join(sizes, reduce(lambda a, b: a & b, [c(b).eqNullSafe(c(f"__{b}")) for b in by], F.lit(True)))
+    rows = rows.select(*by, "trade", "x", (scrambled(c("trade"), F.lit(DEAL).cast("long")) % c("__n")).alias("block"))
+    kinds = [f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*by).schema]
+    each = rows.groupBy(*by, "block").applyInPandas(_path_summaries(by, n, replace), ", ".join([*kinds, "block long", "sim int", "total double", "top double", "low double", "fall double"]))
+    over = Window.partitionBy(*by, "sim").orderBy(scrambled(c("block") % PRIME, c("sim").cast("long") + PLACE), "block").rowsBetween(Window.unboundedPreceding, -1)
+    each = each.withColumn("start", F.coalesce(F.sum("total").over(over), F.lit(0.0)))
+    each = each.withColumn("peak", F.max(c("start") + c("top")).over(over))
+    fall = F.greatest(c("fall"), c("peak") - (c("start") + c("low")))
+    return each.groupBy(*by, "sim").agg(F.sum("total").alias("total"), F.max(fall).alias("max_drawdown"))
 
 
 def resample_summary(paths: DataFrame, by: list[str], ruin: float) -> DataFrame:

@@ -184,8 +184,13 @@ def qc_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Features
 
 
+#: The columns that the query of each family shows, and their digits.
+SHOWN: dict[str, tuple[list[str], int]] = {}
+
+
 def family(name: str, layers: list[dict[str, str]], **more: object) -> None:
     columns = [k for x in layers for k in x if not k.startswith("_")]
+    SHOWN[name] = columns, more.get("digits", 6)
     QUERIES[f"f_{name}"] = lambda s, d: shown(features.add(fast(s, d), name), ["key", "ts", *columns], more.get("digits", 6))
     SQL[f"f_{name}"] = t.feature_query(layers, **more)
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import feature_queries, label_queries, model_queries, trade_queries
+from . import feature_queries, label_queries, model_queries, series_queries, trade_queries
 
-QUERIES = feature_queries.QUERIES | label_queries.QUERIES | trade_queries.QUERIES | model_queries.QUERIES
-SQL = feature_queries.SQL | label_queries.SQL | trade_queries.SQL
+QUERIES = feature_queries.QUERIES | label_queries.QUERIES | trade_queries.QUERIES | model_queries.QUERIES | series_queries.QUERIES
+SQL = feature_queries.SQL | label_queries.SQL | trade_queries.SQL | series_queries.SQL
 
 #: Also run over one series for each user.
 BY_USER = ("f_zscores", "f_percentiles", "f_adx", "mtf_features", "label_grid", "signals_31")

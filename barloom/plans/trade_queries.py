@@ -131,8 +131,8 @@ _profit = f"count(*) AS n_trades, {WIN} AS wins, count(*) FILTER (outcome = 'LOS
 query("profit_metrics", f"SELECT config_id, {_profit} FROM fall GROUP BY config_id", [_run.format(by="", src="trades"), _dd.format(by="")])(lambda t: metrics.profit(t, ["config_id"], ORDER, bucket=F.date_format("ts", "yyyy-MM")))
 _th = [0.45, 0.55, 0.65, 0.75, 0.85]
 _spread = "spread AS (SELECT *, x.threshold FROM trades, (VALUES " + ", ".join(f"({x}::DOUBLE)" for x in _th) + ") x(threshold) WHERE model_probability >= x.threshold)"
-query("threshold_sweep", f"SELECT config_id, threshold, {_profit} FROM fall GROUP BY config_id, threshold", [_spread, _run.format(by=", threshold", src="spread"), _dd.format(by=", threshold")])(lambda t: metrics.threshold_sweep(t, _th, ORDER, ["config_id"]))
-query("best_threshold", "SELECT arg_max(threshold, (round(a, 9), -threshold)) AS threshold, round(max(a), 6) AS avg_pips FROM (SELECT threshold, avg(pips_result) AS a FROM spread GROUP BY threshold HAVING count(*) >= 100)", [_spread])(lambda t: metrics.best_threshold(metrics.threshold_sweep(t.withColumn("config_id", F.lit("all")), _th, ORDER), "avg_pips"))
+query("threshold_sweep", f"SELECT config_id, threshold, {_profit} FROM fall GROUP BY config_id, threshold", [_spread, _run.format(by=", threshold", src="spread"), _dd.format(by=", threshold")])(lambda t: metrics.threshold_sweep(t, _th, ORDER, ["config_id"], F.date_format("ts", "yyyy-MM")))
+query("best_threshold", "SELECT arg_max(threshold, (round(a, 9), -threshold)) AS threshold, round(max(a), 6) AS avg_pips FROM (SELECT threshold, avg(pips_result) AS a FROM spread GROUP BY threshold HAVING count(*) >= 100)", [_spread])(lambda t: metrics.best_threshold(metrics.threshold_sweep(t.withColumn("config_id", F.lit("all")), _th, ORDER, bucket=F.date_format("ts", "yyyy-MM")), "avg_pips"))
 query("ev_threshold", f"SELECT fold, threshold, n_trades, wins, round(p, 6) AS precision, round(ev, 6) + 0.0 AS ev FROM (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY round(ev, 9) DESC, threshold) AS r FROM (SELECT fold, threshold, count(*) AS n_trades, {WIN} AS wins, {WIN} / count(*)::DOUBLE AS p, {WIN} / count(*)::DOUBLE * 100 - (1 - {WIN} / count(*)::DOUBLE) * 40 AS ev FROM spread GROUP BY fold, threshold HAVING count(*) >= 20)) WHERE r = 1", [_spread])(lambda t: metrics.ev_threshold(t, 100, 40, _th, ["fold"]))
 _cls = [
     "sc AS (SELECT fold, model_probability AS q, count(*) FILTER (outcome = 'WIN') AS p, count(*) FILTER (outcome <> 'WIN') AS n FROM trades GROUP BY 1, 2)",
@@ -239,8 +239,42 @@ _eq = [
 ]
 query("equity_curve", "SELECT config_id, count(*) AS n_trades, round((exp(sum(ln(1 + ret))) - 1) * 100, 5) + 0.0 AS total_return_percent, round(max(dd), 5) + 0.0 AS max_drawdown_percent, round(avg(ret) / stddev_samp(ret) * sqrt(1512), 5) + 0.0 AS sharpe FROM eq GROUP BY config_id", _eq)(lambda t: shown(strategy.equity_summary(strategy.equity(t, ["config_id"], ORDER, 0.001), ["config_id"]), digits=5))
 query("regime_performance", f"SELECT d1_is_trending_up, count(*) AS n_trades, {RATE} AS win_rate, round(avg(pips_result), 6) + 0.0 AS avg_pips, avg(pips_result) < 0 AS weak FROM trades GROUP BY 1")(lambda t: strategy.by_regime(t, "d1_is_trending_up"))
-query("permutation_mc")(lambda t: strategy.resample_summary(strategy.resample(t, ["config_id"], identity=["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]), ["config_id"], 2000))
-query("bootstrap_mc")(lambda t: strategy.resample_summary(strategy.resample(t, ["config_id"], replace=True, identity=["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]), ["config_id"], 2000))
+# Simulations: both engines scramble numbers alike. The SQL walks every path whole, without blocks' summaries.
+_P = strategy.PRIME
+_TRADE_KEY = f"((l_orderkey * 8 + l_linenumber) * 48271 + l_partkey * 69621 + l_suppkey) % {_P}"
+
+
+def _simulated(replace: bool, n: int = 1000) -> tuple[list[str], str]:
+    step = lambda name, source, **columns: f"{name} AS (SELECT *, {', '.join(f'{v} AS {k}' for k, v in columns.items())} FROM {source})"
+    # Each round of scrambling is a step of its own, so that its value is computed once.
+    mixed = lambda name, source, x, sim, out: [
+        step(f"{name}a", source, **{f"{out}1": f"(({x}) * 48271 + ({sim}) * 69621 + 11) % {_P}"}), step(f"{name}b", f"{name}a", **{f"{out}2": f"({out}1 * {out}1 + ({x})) % {_P}"}), step(name, f"{name}b", **{out: f"({out}2 * {out}2 + ({sim})) % {_P}"}),
+    ]
+    ctes = [f"r0 AS (SELECT config_id, ({_TRADE_KEY})::BIGINT AS trade, pips_result AS x, (count(*) OVER (PARTITION BY config_id) + {strategy.BLOCK - 1}) // {strategy.BLOCK} AS n FROM trades)"]
+    ctes += mixed("r1", "r0", "trade", f"{strategy.DEAL}::BIGINT", "b") + ["r2 AS (SELECT config_id, trade, x, b % n AS block FROM r1)"]
+    ctes += ["r3 AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY config_id, block ORDER BY trade, x) - 1 AS k, count(*) OVER (PARTITION BY config_id, block) AS m FROM r2)"]
+    ctes += [f"s0 AS (SELECT r3.*, sim::BIGINT AS sim FROM r3, range({n}) t(sim))"] + mixed("s1", "s0", "trade", "sim", "h")
+    ctes += mixed("o", f"(SELECT DISTINCT config_id, block, sim::BIGINT AS sim FROM r3, range({n}) t(sim))", "block", f"sim + {strategy.PLACE}", "place")
+    if replace:
+        ctes += ["s2 AS (SELECT s1.config_id, s1.block, s1.sim, s1.k AS spot, s1.k, v.x FROM s1 JOIN r3 v ON v.config_id = s1.config_id AND v.block = s1.block AND v.k = s1.h % s1.m)"]
+    else:
+        ctes += ["s2 AS (SELECT config_id, block, sim, h AS spot, k, x FROM s1)"]
+    ctes += ["s3 AS (SELECT s2.*, o.place FROM s2 JOIN o USING (config_id, block, sim))"]
+    ctes += ["s4 AS (SELECT config_id, sim, x, sum(x) OVER w AS s, row_number() OVER w AS i FROM s3 WINDOW w AS (PARTITION BY config_id, sim ORDER BY place, block, spot, k ROWS UNBOUNDED PRECEDING))"]
+    ctes += ["s5 AS (SELECT config_id, sim, x, max(s) OVER (PARTITION BY config_id, sim ORDER BY i ROWS UNBOUNDED PRECEDING) - s AS d FROM s4)"]
+    ctes += ["paths AS (SELECT config_id, sim, sum(x) AS total, max(d) AS max_drawdown FROM s5 GROUP BY 1, 2)"]
+    select = """SELECT config_id, count(*) AS n_sims, round(avg(total), 6) + 0.0 AS mean_total, round(stddev_samp(total), 6) + 0.0 AS std_total, round(quantile_cont(max_drawdown, 0.05), 6) + 0.0 AS drawdown_p5,
+  round(quantile_cont(max_drawdown, 0.95), 6) + 0.0 AS drawdown_p95, round(avg((total > 0)::INT), 6) AS p_profit, round(avg((max_drawdown > 2000)::INT), 6) AS p_ruin FROM paths GROUP BY config_id"""
+    return ctes, select
+
+
+def _simulate(replace: bool):
+    return lambda t: strategy.resample_summary(strategy.resample(t, ["config_id"], replace=replace, key=F.expr(_TRADE_KEY)), ["config_id"], 2000)
+
+
+for _name, _replace in (("permutation_mc", False), ("bootstrap_mc", True)):
+    _ctes, _select = _simulated(_replace)
+    query(_name, _select, _ctes)(_simulate(_replace))
 
 
 # Filters, thresholds by fold, fixed folds, reports

@@ -100,20 +100,28 @@ def test_simulations_of_the_whole_log(spark, name):
 
 
 @pytest.mark.parametrize("replace", [False, True])
-def test_resample_against_brute_force(spark, replace):
+@pytest.mark.parametrize("block", [4096, 7])
+def test_resample_against_brute_force(spark, replace, block):
     from pyspark.sql import functions as F
 
     from barloom.operators import strategy
 
-    data = [("ab"[i % 2], i, float((i * 37) % 11 - 5)) for i in range(25)]
-    t = spark.createDataFrame(data, "config_id string, trade long, pips_result double")
-    got = {(r.config_id, r.sim): (r.total, r.max_drawdown) for r in strategy.resample(t, ["config_id"], 7, replace=replace, identity=["trade"]).collect()}
-    hashes = {(r.sim, r.trade): r.h for r in t.withColumn("sim", F.explode(F.sequence(F.lit(0), F.lit(6)))).withColumn("h", F.xxhash64(F.lit(1), "sim", "trade")).collect()}
+    mix = lambda x, s: strategy.scrambled(x, s)
+    data = [("ab"[i % 2] if i % 5 else None, (i * 7919 + i // 50) % 1000, float((i * 37) % 11 - 5)) for i in range(125)]
+    t = spark.createDataFrame([*data, ("a", 3, None)], "config_id string, trade long, pips_result double").repartition(3)
+    got = {(r.config_id, r.sim): (r.total, r.max_drawdown) for r in strategy.resample(t, ["config_id"], 7, replace=replace, key=F.col("trade"), block=block).collect()}
     want = {}
-    for g in "ab":
-        own = [(i, x) for k, i, x in data if k == g]
+    for g in ("a", "b", None):
+        own = sorted((k, x) for c, k, x in [*data, ("a", 3, 0.0)] if c == g)
+        n = -(-len(own) // block)
+        blocks = {}
+        for k, x in own:
+            blocks.setdefault(mix(k, strategy.DEAL) % n, []).append((k, x))
         for sim in range(7):
-            path = [own[hashes[sim, i] % len(own)][1] for i, _ in own] if replace else [x for _, x in sorted((hashes[sim, i], x) for i, x in own)]
+            path = []
+            for b in sorted(blocks, key=lambda b: (mix(b, sim + strategy.PLACE), b)):
+                held = blocks[b]
+                path += [held[mix(k, sim) % len(held)][1] for k, _ in held] if replace else [x for _, _, x in sorted((mix(k, sim), k, x) for k, x in held)]
             s, peak, fall = 0.0, -math.inf, 0.0
             for x in path:
                 s += x
@@ -123,6 +131,18 @@ def test_resample_against_brute_force(spark, replace):
     assert got == want
 
 
+def test_reordering_of_one_block_is_uniform():
+    """Every place of a path holds every trade about equally often."""
+    import numpy as np
+
+    from barloom.operators import strategy
+
+    keys = np.array([(i * 8 + j) * 48271 % strategy.PRIME for i in range(5) for j in range(4)])
+    order = np.argsort(strategy.scrambled(keys[None, :], np.arange(20_000)[:, None]), axis=1)
+    counts = np.array([np.bincount(order[:, k], minlength=20) for k in range(20)])
+    assert abs(counts / 1000 - 1).max() < 0.15
+
+
 def test_stream_equals_batch(spark):
     got = registry.QUERIES["stream_bars_4h"](spark, DATA)
     batch = registry.QUERIES["bars_4h"](spark, DATA)
