@@ -164,21 +164,49 @@ def dynamic_rules(trades: DataFrame, features: list[str], cuts: tuple[float, ...
     return [Rule(f, op, round(v, 6)) for f in features for v in row[f] or [] for op in (">=", "<")]
 
 
-def impact(trades: DataFrame, rules: dict[str, list[Rule]], tp: float, sl: float, by: list[str] | None = None) -> DataFrame:
-    """What keeping only the trades that meet all rules of a name would change.
+#: Rules whose bits one word of a signature holds, if no name needs more.
+WORD = 8
+
+
+def words_of(rules: dict[str, list[Rule]], most: int = WORD) -> list[tuple[list[Rule], dict[str, int]]]:
+    """The names dealt into words: the rules that are a word's bits, and for each name of the word the mask of its rules' bits."""
+    words: list[tuple[list[Rule], list[str]]] = []
+    for name, own in rules.items():
+        for bits, names in words:
+            new = [r for r in dict.fromkeys(own) if r not in bits]
+            if len(bits) + len(new) <= most:
+                bits += new
+                names.append(name)
+                break
+        else:
+            words.append((list(dict.fromkeys(own)), [name]))
+    return [(bits, {n: sum(1 << bits.index(r) for r in set(rules[n])) for n in names}) for bits, names in words]
+
 
-    One scan: each trade is spread over the rules it meets and counted by rule, which Spark sums up before its shuffle.
+def signatures(trades: DataFrame, words: list[list[Rule]], by: list[str] | None = None) -> DataFrame:
+    """(by, word, bits, n, wins, losses, pips): trades counted by which rules of each word they meet (bit k: the word's k-th rule).
+
+    One scan, summed up on the map side: a row for each word and each set of its rules that occurs, however many trades there are.
     """
-    names, by = list(rules), by or []
-    met = [F.when(reduce(lambda a, b: a & b, [r.column(trades.columns) for r in rules[n]]), F.lit(k)) for k, n in enumerate(names)]
-    narrow = trades.select(*by, win().cast("int").alias("w"), loss().cast("int").alias("l"), c("pips_result").alias("p"), F.array_compact(F.array(*met)).alias("met"))
-    sums = lambda end: [F.count(F.lit(1)).alias(f"n_{end}"), F.sum("w").alias(f"wins_{end}"), F.sum("l").alias(f"losses_{end}"), F.sum("p").alias(f"pips_{end}")]
-    after = narrow.select(*(c(b).alias(f"__{b}") for b in by), F.explode("met").alias("__k"), "w", "l", "p").groupBy(*(f"__{b}" for b in by), "__k").agg(*sums("after"))
-    every = narrow.groupBy(*by).agg(*sums("before")).withColumn("r", F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.lit(n).alias("rule")) for k, n in enumerate(names)))))
-    same = reduce(lambda a, b: a & b, [c(b).eqNullSafe(c(f"__{b}")) for b in by], c("r.k") == c("__k"))
-    zero = {f"{n}_after": F.coalesce(f"{n}_after", F.lit(0)) for n in ("n", "wins", "losses")} | {"pips_after": F.coalesce("pips_after", F.lit(0.0))}
-    out = every.join(after, same, "left").withColumns(zero)
-    out = out.select(*by, "n_before", "wins_before", "losses_before", "pips_before", "r.rule", "n_after", "wins_after", "losses_after", "pips_after")
+    bit = lambda k, r: F.when(r.column(trades.columns), F.lit(1 << k)).otherwise(F.lit(0))
+    every = [F.struct(F.lit(i).alias("word"), reduce(lambda a, b: a + b, [bit(k, r) for k, r in enumerate(bits)]).cast("long").alias("bits")) for i, bits in enumerate(words)]
+    own = trades.select(*(by or []), win().cast("int").alias("w"), loss().cast("int").alias("l"), c("pips_result").alias("p"), F.explode(F.array(*every)).alias("s"))
+    sums = [F.count(F.lit(1)).alias("n"), F.sum("w").alias("wins"), F.sum("l").alias("losses"), F.sum("p").alias("pips")]
+    return own.groupBy(*(by or []), "s.word", "s.bits").agg(*sums)
+
+
+def impact(trades: DataFrame, rules: dict[str, list[Rule]], tp: float, sl: float, by: list[str] | None = None) -> DataFrame:
+    """What keeping only the trades that meet all rules of a name would change, rolled up from the trades' signatures."""
+    by, words = by or [], words_of(rules)
+    names = F.array(*(F.array(*(F.struct(F.lit(n).alias("rule"), F.lit(m).cast("long").alias("mask")) for n, m in masks.items())) for _, masks in words))
+    rows = signatures(trades, [bits for bits, _ in words], by).withColumn("r", F.explode(F.get(names, c("word"))))
+    met = c("bits").bitwiseAND(c("r.mask")) == c("r.mask")
+    parts = {"n": "n", "wins": "wins", "losses": "losses", "pips": "pips"}
+    zero = {"pips": F.lit(0.0)}
+    sums = [F.sum(x).alias(f"{k}_before") for k, x in parts.items()]
+    sums += [F.coalesce(F.sum(F.when(met, c(x))), zero.get(k, F.lit(0))).alias(f"{k}_after") for k, x in parts.items()]
+    out = rows.groupBy(*by, c("r.rule").alias("rule")).agg(*sums)
+    out = out.select(*by, "n_before", "wins_before", "losses_before", "pips_before", "rule", "n_after", "wins_after", "losses_after", "pips_after")
     out = out.withColumns({"wins_removed": c("wins_before") - c("wins_after"), "losses_removed": c("losses_before") - c("losses_after")})
     out = out.withColumns({"pips_saved": c("losses_removed") * float(sl), "pips_lost": c("wins_removed") * float(tp)})
     out = out.withColumns({

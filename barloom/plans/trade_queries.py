@@ -107,16 +107,28 @@ _each = {r.name: [r] for r in RULES}
 _verdict = "CASE WHEN coalesce(efficiency, 1e9) >= 3 AND net_pips > 1000 THEN 'STRONG' WHEN coalesce(efficiency, 1e9) >= 2 AND net_pips > 300 THEN 'MODERATE' WHEN net_pips > 0 THEN 'WEAK' ELSE 'NOT' END"
 query("filter_impact", "SELECT * FROM impact", _impact(_each, 100, 40))(lambda t: trades.impact(t, _each, 100, 40))
 query("filter_rank", f"SELECT *, {_verdict} AS verdict FROM impact ORDER BY net_pips DESC, rule LIMIT 10", _impact(_each, 100, 40))(lambda t: trades.verdicts(trades.impact(t, _each, 100, 40), 10))
-query("filter_combos", "SELECT impact.* FROM impact WHERE net_pips > 0 AND NOT EXISTS (SELECT 1 FROM unnest(string_split(rule, ' & ')) u(r) WHERE r NOT IN (SELECT rule FROM top))", None)(lambda t: trades.rule_combinations(t, RULES[-8:], 100, 40, 4))
-SQL.pop("filter_combos", None)
-# All candidate rules; filter_combos stays with the few that its SQL has. No SQL: tests compare it with brute force.
+
+
+def _combos(top: int) -> str:
+    """Pairs and triples of the best single rules: the rules a trade meets are bits of one number."""
+    test = lambda r: f"{r.feature} {'=' if r.op == '==' else r.op} {r.value!r}"
+    bits = " + ".join(f"CASE WHEN {test(r)} THEN {1 << k}::BIGINT ELSE 0 END" for k, r in enumerate(RULES))
+    names = ", ".join(f"('{r.name}', {1 << k}::BIGINT)" for k, r in enumerate(RULES))
+    counted = lambda source: f"""SELECT s.rule, count(*) AS n_before, {WIN} AS wins_before, count(*) FILTER (outcome = 'LOSS') AS losses_before, sum(pips_result) AS pips_before,
+      count(*) FILTER (met) AS n_after, count(*) FILTER (met AND outcome = 'WIN') AS wins_after, count(*) FILTER (met AND outcome = 'LOSS') AS losses_after, coalesce(sum(pips_result) FILTER (met), 0) AS pips_after
+      FROM (SELECT g.outcome, g.pips_result, s.rule, g.bits & s.mask = s.mask AS met FROM signed g, {source} s) s GROUP BY s.rule"""
+    shown_ = _impact({}, 100, 40)[1].removeprefix("impact AS (").removesuffix(")")
+    return cte([
+        *TRADES, f"signed AS MATERIALIZED (SELECT outcome, pips_result, {bits} AS bits FROM trades)", f"single AS (SELECT * FROM (VALUES {names}) v(rule, mask))",
+        f"i1 AS ({counted('single')})", "best AS (SELECT i1.rule, mask, row_number() OVER (ORDER BY (losses_before - losses_after) * 40 - (wins_before - wins_after) * 100 DESC, i1.rule) AS r FROM i1 JOIN single ON i1.rule = single.rule)",
+        f"sets AS (SELECT a.rule || ' & ' || b.rule AS rule, a.mask | b.mask AS mask FROM best a JOIN best b ON a.r < b.r AND b.r <= {top} UNION ALL SELECT a.rule || ' & ' || b.rule || ' & ' || c.rule, a.mask | b.mask | c.mask FROM best a JOIN best b ON a.r < b.r JOIN best c ON b.r < c.r AND c.r <= {top})",
+        f"i0 AS ({counted('sets')})", f"impact AS ({shown_})",
+    ], "SELECT * FROM impact WHERE net_pips > 0")
+
+
+query("filter_combos")(lambda t: trades.rule_combinations(t, RULES, 100, 40, 4))
 query("filter_combos_all")(lambda t: trades.rule_combinations(t, RULES, 100, 40))
-_few = RULES[-8:]
-_names = [r.name for r in _few]
-_sets = {f"{a} & {b}": [x for x in _few if x.name in (a, b)] for a in _names for b in _names if a != b}
-_sets |= {f"{a} & {b} & {c}": [x for x in _few if x.name in (a, b, c)] for a in _names for b in _names for c in _names if len({a, b, c}) == 3}
-_one = _impact({r.name: [r] for r in _few}, 100, 40)
-SQL["filter_combos"] = cte([*TRADES, _one[0].replace("i0 AS", "j0 AS"), _one[1].replace("impact AS", "single AS").replace("FROM i0", "FROM j0"), "ranked AS (SELECT rule, row_number() OVER (ORDER BY net_pips DESC, rule) AS r FROM single)", *_impact(_sets, 100, 40)], "SELECT impact.* FROM impact WHERE net_pips > 0 AND rule IN (SELECT a.rule || ' & ' || b.rule FROM ranked a JOIN ranked b ON a.r < b.r AND b.r <= 4 UNION ALL SELECT a.rule || ' & ' || b.rule || ' & ' || c.rule FROM ranked a JOIN ranked b ON a.r < b.r JOIN ranked c ON b.r < c.r AND c.r <= 4)")
+SQL |= {"filter_combos": _combos(4), "filter_combos_all": _combos(5)}
 _cuts = (0.25, 0.5, 0.75, 0.9)
 query("filter_dynamic", " UNION ALL ".join(f"SELECT '{f}' AS feature, '{op}' AS op, {q}::DOUBLE AS cut, round(c, 6) + 0.0 AS value, (SELECT count(*) FROM trades WHERE {f} {op} round(c, 6)) AS n_after FROM (SELECT quantile_cont({f}, {q}) AS c FROM trades)" for f in ("rsi_value", "adx") for q in _cuts for op in (">=", "<")))(
     lambda t: (lambda rules: trades.impact(t, {f"{i}": [r] for i, r in enumerate(rules)}, 100, 40).join(t.sparkSession.createDataFrame([(str(i), r.feature, r.op, _cuts[i // 2 % 4], float(r.value)) for i, r in enumerate(rules)], "id string, feature string, op string, cut double, value double"), F.col("rule") == F.col("id")).select("feature", "op", "cut", "value", "n_after"))(trades.dynamic_rules(t, ["rsi_value", "adx"]))
