@@ -18,6 +18,7 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .windows import KEY, TS, col
 
@@ -28,20 +29,24 @@ _earlier = (Window.unboundedPreceding, -1)
 _upto = (Window.unboundedPreceding, 0)
 
 
-def day(ts: str | Column = TS) -> Column:
-    return F.date_trunc("day", col(ts))
+def bucket_of(df: DataFrame, x: str) -> Column:
+    """Days of a time, SIZE-th parts of a number; other values are one bucket."""
+    kind = df.select(x).schema[0].dataType
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)):
+        return F.date_trunc("day", col(x))
+    return F.floor(col(x) / SIZE) if isinstance(kind, T.NumericType) else F.lit(0)
 
 
 def in_pieces(df: DataFrame, by: list[str] | None = None, order: list[str] | None = None, *, size: int = SIZE, bucket: Column | None = None) -> DataFrame:
     """Add __rank, the number of a row in its key's order (from 0), and __piece = __rank / size.
 
-    bucket: a value that doesn't fall as rows go on, with no more rows in one of its values than a task takes; by default the day
-    of the first column of the order. Rows that have __rank keep it.
+    bucket: a value that doesn't fall as rows go on, with no more rows in one of its values than a task takes; by default that of the
+    first column of the order by bucket_of(). Rows that have __rank keep it.
     """
     if RANK in df.columns:
         return df.withColumn(PIECE, F.floor(F.col(RANK) / size))
     by, order = by or [KEY], order or [TS]
-    own = df.withColumn("__by", F.struct(*by)).withColumn("__bucket", day(order[0]) if bucket is None else bucket)
+    own = df.withColumn("__by", F.struct(*by)).withColumn("__bucket", bucket_of(df, order[0]) if bucket is None else bucket)
     counts = own.groupBy("__by", "__bucket").agg(F.count(F.lit(1)).alias("__n"))
     before = F.coalesce(F.sum("__n").over(Window.partitionBy("__by").orderBy("__bucket").rowsBetween(*_earlier)), F.lit(0))
     counts = counts.select(F.col("__by").alias("__b2"), F.col("__bucket").alias("__u2"), before.alias("__before"))

@@ -1,13 +1,11 @@
-"""Forward-looking labels: barrier outcomes, excursions, and trades that don't overlap.
+"""Forward-looking labels: barrier outcomes and excursions. For trades that don't overlap see chains.
 
 The next bars of each row are gathered once, for the longest horizon; the first bar that reaches a level is looked up for
 each distinct level, so that a grid of take-profit, stop and horizon shares one window."""
 
 from __future__ import annotations
 
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.functions import windows as w
@@ -114,22 +112,6 @@ def multi_target(df: DataFrame, targets: list[float], hold: int, safe: float, fa
     return out.withColumns(flags).drop("__highs", "__lows", "__closes", "__stop")
 
 
-def non_overlapping(entries: DataFrame) -> DataFrame:
-    """Of rows (key, config, at, exit_at, ...), those that a trader takes who is in one trade at a time: an entry is
-    skipped until the one taken before is out. Greedy and so sequential, for each key and config, on narrow rows."""
-    names = entries.columns
-
-    def pick(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["at", "exit_at"])
-        keep, free = [], -1
-        for a, e in zip(rows["at"], rows["exit_at"]):
-            keep.append(a > free)
-            free = e if a > free else free
-        return rows[keep][names]
-
-    return entries.groupBy("key", "config").applyInPandas(pick, entries.schema)
-
-
 def random_entries(df: DataFrame, share: float, seed: int = 1) -> DataFrame:
     """A repeatable random choice of rows, as a baseline for signals."""
     return df.filter(F.pmod(F.xxhash64(F.lit(seed), "key", "ts"), F.lit(1_000_000)) < int(share * 1_000_000))
@@ -146,16 +128,3 @@ def label_summary(df: DataFrame, targets: list[float], signal: Column | None = N
         F.avg("mfe_mae_ratio").alias("avg_mfe_mae_ratio"), share(f"bars_to_{first}").alias(f"avg_bars_to_{first}"),
         share(f"safe_{first}").alias(f"share_safe_{first}"), share(f"fast_{first}").alias(f"share_fast_{first}"), share("clean_winner").alias("share_clean_winner"),
     )
-
-
-def random_trades(entries: DataFrame, counts: DataFrame, seed: int = 1) -> DataFrame:
-    """Random trades that don't overlap, as many for each key as `counts` (key, n) asks, of entries (key, at, exit_at, ...).
-
-    Twice as many entries are drawn by the order of a hash, those that overlap go, and the first n by time stay; a key may
-    give fewer. The draw sorts hashes within a key; only drawn rows reach the greedy choice."""
-    names = entries.columns
-    drawn = entries.join(counts.select("key", c("n").alias("__n")), "key")
-    drawn = drawn.withColumn("__r", F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64(F.lit(seed), "key", "at"), "at"))).filter(c("__r") <= 2 * c("__n"))
-    apart = non_overlapping(drawn.withColumn("config", F.lit("random")))
-    kept = apart.withColumn("__r", F.row_number().over(Window.partitionBy("key").orderBy("at"))).filter(c("__r") <= c("__n"))
-    return kept.select(*names)

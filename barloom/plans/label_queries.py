@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.functions import windows as w
-from barloom.operators import crossframe, features, labels, signals, stats
+from barloom.operators import chains, crossframe, features, labels, signals, stats
 
 from . import feature_queries as fq
 from . import sqltext as t
@@ -187,7 +187,7 @@ def label_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def nonoverlap_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = labels.barrier(fast(spark, sf_dir), 100, 60, 12).withColumn("at", F.row_number().over(w.order()))
     rows = rows.filter("reason <> 'insufficient_data'").select("key", F.lit("TP100_SL60_H12").alias("config"), "at", (F.col("at") + F.col("exit_bar")).alias("exit_at"))
-    return labels.non_overlapping(rows).drop("config")
+    return chains.non_overlapping(rows).drop("config")
 
 
 # Signals
@@ -255,9 +255,9 @@ def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 def random_trades_apart(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trades of a signal beside as many random ones; compared with a loop over rows in tests."""
     entries = _entries(spark, sf_dir)
-    taken = labels.non_overlapping(entries.filter("signal").withColumn("config", F.lit("signal"))).drop("config")
+    taken = chains.non_overlapping(entries.filter("signal").withColumn("config", F.lit("signal"))).drop("config")
     counts = taken.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    both = taken.withColumn("side", F.lit("signal")).unionByName(labels.random_trades(entries, counts).withColumn("side", F.lit("random")))
+    both = taken.withColumn("side", F.lit("signal")).unionByName(chains.random_trades(entries, counts).withColumn("side", F.lit("random")))
     return shown(both.groupBy("key", "side").agg(F.count(F.lit(1)).alias("n_trades"), F.sum("label").alias("wins"), F.avg("pips").alias("avg_pips")))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from barloom.functions import windows as w
 from barloom.functions.distributions import chi_square_tail, t_two_sided
-from barloom.operators import asof, features, labels, metrics, quality, runs, stats, strategy, trades
+from barloom.operators import asof, chains, features, labels, metrics, quality, runs, stats, strategy, trades
 from barloom.sources import bars, sinks
 
 
@@ -120,7 +120,7 @@ def test_barrier_matches_loop(spark, direction, tie):
 
 def test_non_overlapping(spark):
     rows = spark.createDataFrame([("a", "x", 1, 5), ("a", "x", 3, 4), ("a", "x", 5, 6), ("a", "x", 6, 9), ("b", "x", 2, 2)], "key string, config string, at int, exit_at int")
-    assert sorted((r.key, r.at) for r in labels.non_overlapping(rows).collect()) == [("a", 1), ("a", 6), ("b", 2)]
+    assert sorted((r.key, r.at) for r in chains.non_overlapping(rows).collect()) == [("a", 1), ("a", 6), ("b", 2)]
 
 
 def test_csv_round_trip(spark, tmp_path):

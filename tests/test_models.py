@@ -86,19 +86,3 @@ def test_areas_of_outcomes_that_are_all_alike(spark):
     got = {r.g: r for r in metrics.classification(df, ["g"]).collect()}
     assert got["w"].roc_auc is None and got["w"].average_precision == 1.0 and got["w"].recall == 0.5
     assert got["l"].roc_auc is None and got["l"].average_precision is None and got["l"].precision == 0.0
-
-
-def test_random_trades_against_a_loop(spark):
-    data = [(k, i, i + 1 + (i * 5) % 4, k * i) for k in "ab" for i in range(1, 60)]
-    entries = spark.createDataFrame(data, "key string, at int, exit_at int, note string")
-    counts = spark.createDataFrame([("a", 9), ("c", 3)], "key string, n long")
-    order = {r.at: r.h for r in entries.filter("key = 'a'").withColumn("h", F.xxhash64(F.lit(5), "key", "at")).collect()}
-    drawn = sorted(sorted(order, key=lambda i: (order[i], i))[:18])
-    want, free = [], -1
-    for i in drawn:
-        if i > free:
-            want.append(i)
-            free = i + 1 + (i * 5) % 4
-    got = labels.random_trades(entries, counts, seed=5)
-    assert got.columns == entries.columns
-    assert sorted((r.key, r.at) for r in got.collect()) == [("a", i) for i in want[:9]]
