@@ -1,12 +1,18 @@
 """Forward-looking labels: barrier outcomes and excursions. For trades that don't overlap see chains.
 
-The next bars of each row are gathered once, for the longest horizon; the first bar that reaches a level is looked up for
-each distinct level, so that a grid of take-profit, stop and horizon shares one window."""
+For barriers, the running extremes of the bars ahead of each row are laid out once, for the longest horizon; they are sorted, so
+that the first bar that reaches a level is the level's place among them, for each distinct level of a grid of take-profit,
+stop and horizon."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from barloom.functions import windows as w
 
@@ -36,16 +42,81 @@ def _outcome(tp_at: Column, sl_at: Column, hold: int | Column, n_ahead: Column,
     return F.struct(won.cast("int").alias("label"), reason.alias("reason"), exit_bar.cast("int").alias("exit_bar"), pips.alias("pips"))
 
 
+#: Rows for which running extremes are laid out at once.
+ROWS = 4096
+
+
+def _reached(highs: np.ndarray, lows: np.ndarray, closes: np.ndarray, ahead: np.ndarray, rows: int, up: list[float], down: list[float], hold: int) -> tuple[np.ndarray, np.ndarray]:
+    """For the first rows: the bar (from 1) at which the running maximum of the highs ahead has come to close + up, and the running
+    minimum of the lows to close - down; 0 where it doesn't within the bars ahead (at most hold)."""
+    above, below = np.zeros((rows, len(up)), np.int32), np.zeros((rows, len(down)), np.int32)
+    step = np.arange(1, hold + 1)
+    for lo in range(0, rows, ROWS):
+        hi = min(rows, lo + ROWS)
+        at, known = np.arange(lo, hi)[:, None] + step, step <= ahead[lo:hi, None]
+        at = np.minimum(at, highs.size - 1)
+        for out, values, worst, extreme, levels, sign in ((above, highs, -np.inf, np.fmax, up, 1), (below, lows, np.inf, np.fmin, down, -1)):
+            run = extreme.accumulate(np.where(known, values[at], worst), axis=1) if hold else np.zeros((hi - lo, 0))
+            for k, x in enumerate(levels):
+                # A sorted row: the level's place in it is the number of values that don't come to it.
+                level = (closes[lo:hi] + sign * x)[:, None]
+                place = (run < level).sum(axis=1) if sign > 0 else (run > level).sum(axis=1)
+                out[lo:hi, k] = np.where((place < hold) & np.isfinite(level[:, 0]), place + 1, 0)
+    return above, below
+
+
+def first_hits(df: DataFrame, up: list[float], down: list[float], holds: list[int]) -> DataFrame:
+    """Add __up and __down, the bar at which each level above or below the close is reached first (0: not within max(holds) bars),
+    __ahead, the number of bars ahead up to that, and __final, the close that many of each of `holds` bars ahead.
+
+    Rows are dealt by key, sorted by time and streamed: what waits for bars ahead is no more than max(holds) rows. Missing prices reach nothing.
+    """
+    hold = max(holds)
+    places = T.ArrayType(T.IntegerType())
+    more = T.StructType().add("__up", places).add("__down", places).add("__ahead", T.IntegerType()).add("__final", T.ArrayType(T.DoubleType()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made(table: pa.Table, keys: np.ndarray, rows: int) -> Iterator[pa.RecordBatch]:
+            """Results of the first rows; the table goes on to the end of their keys or `hold` rows further."""
+            highs, lows, closes = (np.asarray(table.column(x).cast(pa.float64()).fill_null(float("nan"))) for x in ("high", "low", "close"))
+            ends = np.append(np.flatnonzero(keys[1:] != keys[:-1]) + 1, keys.size)
+            end = ends[np.searchsorted(ends, np.arange(rows), "right")]
+            ahead = np.minimum(hold, end - np.arange(rows) - 1)
+            found = _reached(highs, lows, closes, ahead, rows, up, down, hold)
+            final = [np.where(h <= ahead, closes[np.minimum(np.arange(rows) + h, closes.size - 1)], np.nan) for h in holds]
+            lists = lambda m, kind: pa.FixedSizeListArray.from_arrays(pa.array(m.ravel(), kind), m.shape[1]).cast(pa.list_(kind)) if m.shape[1] else pa.array([[]] * rows, pa.list_(kind))
+            columns = [*(lists(m, pa.int32()) for m in found), pa.array(ahead.astype(np.int32)), lists(np.column_stack(final), pa.float64())]
+            out = table.slice(0, rows).drop_columns(["__key"])
+            for f, x in zip(more, columns):
+                out = out.append_column(f.name, x)
+            yield from out.combine_chunks().to_batches(ROWS)
+
+        waiting = None
+        for batch in batches:
+            new = pa.Table.from_batches([batch])
+            waiting = pa.concat_tables([waiting, new]).combine_chunks() if waiting is not None else new
+            keys = waiting.column("__key").combine_chunks().to_numpy(zero_copy_only=False)
+            last = keys.size - int(np.argmax(np.append(keys[::-1] != keys[-1], True)))
+            rows = max(last, keys.size - hold)  # whole keys, and what has all bars ahead
+            if rows > 0:
+                yield from made(waiting, keys, rows)
+                waiting = waiting.slice(rows)
+        if waiting is not None and waiting.num_rows:
+            yield from made(waiting, waiting.column("__key").combine_chunks().to_numpy(zero_copy_only=False), waiting.num_rows)
+
+    own = df.withColumn("__key", F.to_json(F.struct(w.KEY))).repartition("__key").sortWithinPartitions("__key", w.TS)
+    schema = T.StructType([*df.schema.fields, *more.fields])
+    return own.mapInArrow(run, schema)
+
+
 def barrier(df: DataFrame, tp: float, sl: float, hold: int, *, direction: str = "short", tie: str = "sl", timeout: str = "loss") -> DataFrame:
     """Add label, reason, exit_bar and pips. tie: which barrier wins on one bar; timeout: loss, or mark to the last close.
     A row with fewer than `hold` bars ahead is insufficient_data, even if a barrier is hit."""
-    out = _ahead(df, hold)
     short = direction == "short"
-    up, down = c("close") + (sl if short else tp), c("close") - (tp if short else sl)
-    above, below = first_at(c("__highs"), up, True), first_at(c("__lows"), down, False)
+    out = first_hits(df, [sl if short else tp], [tp if short else sl], [hold])
+    above, below = (F.element_at(f"__{x}", 1) for x in ("up", "down"))
     tp_at, sl_at = (below, above) if short else (above, below)
-    out = out.withColumns({"__tp": tp_at, "__sl": sl_at})
-    x = _outcome(c("__tp"), c("__sl"), hold, F.size("__closes"), F.lit(float(tp)), F.lit(float(sl)), F.element_at("__closes", -1), c("close"), -1 if short else 1, tie, timeout)
+    x = _outcome(tp_at, sl_at, hold, c("__ahead"), F.lit(float(tp)), F.lit(float(sl)), F.element_at("__final", 1), c("close"), -1 if short else 1, tie, timeout)
     return out.withColumn("__o", x).select(*df.columns, "__o.*")
 
 
@@ -55,15 +126,15 @@ def grid(tps: list[float], sls: list[float], holds: list[int]) -> list[tuple[flo
 
 def barrier_grid(df: DataFrame, configs: list[tuple[float, float, int]], *, direction: str = "short", tie: str = "sl", timeout: str = "loss", keep: tuple[str, ...] = ()) -> DataFrame:
     """(key, ts, keep..., tp, sl, hold, label, reason, exit_bar, pips) for every row and configuration."""
-    out = _ahead(df, max(h for _, _, h in configs))
     short = direction == "short"
-    tps, sls = sorted({t for t, _, _ in configs}), sorted({s for _, s, _ in configs})
-    place = {("tp", x): f"__tp{i}" for i, x in enumerate(tps)} | {("sl", x): f"__sl{i}" for i, x in enumerate(sls)}
-    level = lambda kind, x: c("close") + x * (1 if (kind == "tp") != short else -1)
-    out = out.withColumns({n: first_at(c("__highs") if (k == "tp") != short else c("__lows"), level(k, x), (k == "tp") != short) for (k, x), n in place.items()})
-    each = [F.struct(F.lit(float(t)).alias("tp"), F.lit(float(s)).alias("sl"), F.lit(h).alias("hold"), _outcome(c(place["tp", t]), c(place["sl", s]), h, F.size("__closes"), F.lit(float(t)), F.lit(float(s)), F.get("__closes", F.lit(h - 1)), c("close"), -1 if short else 1, tie, timeout).alias("o")) for t, s, h in configs]
-    long = out.select("key", "ts", *keep, F.explode(F.array(*each)).alias("g"))
-    return long.select("key", "ts", *keep, "g.tp", "g.sl", "g.hold", "g.o.*")
+    tps, sls, holds = (sorted({x[i] for x in configs}) for i in range(3))
+    out = first_hits(df.select("key", "ts", *keep, "high", "low", "close"), sls if short else tps, tps if short else sls, holds)
+    # One row for each configuration, then one outcome for all.
+    each = [F.struct(F.lit(float(t)).alias("tp"), F.lit(float(s)).alias("sl"), F.lit(h).alias("hold"), F.lit(tps.index(t) + 1).alias("t"), F.lit(sls.index(s) + 1).alias("s"), F.lit(holds.index(h) + 1).alias("h")) for t, s, h in configs]
+    out = out.withColumn("g", F.explode(F.array(*each)))
+    at = lambda kind, i: F.element_at("__up" if (kind == "tp") != short else "__down", c(i))
+    x = _outcome(at("tp", "g.t"), at("sl", "g.s"), c("g.hold"), c("__ahead"), c("g.tp"), c("g.sl"), F.element_at("__final", c("g.h")), c("close"), -1 if short else 1, tie, timeout)
+    return out.select("key", "ts", *keep, "g.tp", "g.sl", "g.hold", x.alias("o")).select("key", "ts", *keep, "tp", "sl", "hold", "o.*")
 
 
 def config_id() -> Column:

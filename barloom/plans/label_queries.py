@@ -113,14 +113,25 @@ for _name, _args in {"label_barrier_short": (100, 60, 12, "short"), "label_barri
     QUERIES[_name] = lambda s, d, a=_args, p=_p: shown(labels.barrier(fast(s, d), *a[:3], **p), ["key", "ts", "label", "reason", "exit_bar", "pips"])
     SQL[_name] = t.query([t.bars(), *_barrier(*_args)], _shown)
 
-GRID = labels.grid([60, 120, 240], [60, 120], [6, 12])
+#: All 66 configurations: 11 take-profits, one stop, 6 horizons.
+GRID = labels.grid(list(range(40, 260, 20)), [60], [6, 12, 18, 24, 36, 48])
 
 
 def _grid() -> list[str]:
-    out = [t.bars()]
-    for k, (a, b, h) in enumerate(GRID):
-        out += [x.replace("numbered AS", f"numbered{k} AS").replace("met AS", f"met{k} AS").replace("reasoned AS", f"reasoned{k} AS").replace("labelled AS", f"labelled{k} AS").replace("FROM numbered b", f"FROM numbered{k} b").replace("JOIN numbered n", f"JOIN numbered{k} n").replace("FROM met)", f"FROM met{k})").replace("FROM reasoned)", f"FROM reasoned{k})") for x in _barrier(a, b, h)]
-    return [*out, "labelled AS (" + " UNION ALL ".join(f"SELECT *, {a}::DOUBLE AS tp, {b}::DOUBLE AS sl, {h} AS hold FROM labelled{k}" for k, (a, b, h) in enumerate(GRID)) + ")"]
+    """Labels of all configurations from one self-join on row numbers."""
+    tps, sls, holds = (sorted({x[i] for x in GRID}) for i in range(3))
+    most = max(holds)
+    first = [f"coalesce(min(n.i - b.i) FILTER (n.low <= b.close - {x}), 9999) AS a{x}" for x in tps] + [f"coalesce(min(n.i - b.i) FILTER (n.high >= b.close + {x}), 9999) AS s{x}" for x in sls]
+    each = []
+    for tp, sl, h in GRID:
+        reason = f"CASE WHEN i + {h} > n THEN 'insufficient_data' WHEN a{tp} <= {h} AND a{tp} < s{sl} THEN 'tp_hit' WHEN s{sl} <= {h} THEN 'sl_hit' ELSE 'timeout' END"
+        each.append(f"SELECT key, ts, close, {tp}::DOUBLE AS tp, {sl}::DOUBLE AS sl, {h} AS hold, {reason} AS reason, a{tp} AS a, s{sl} AS s, f{h} AS final FROM met")
+    return [
+        t.bars(), "numbered AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ts) AS i, count(*) OVER (PARTITION BY key) AS n FROM bars)",
+        f"met AS MATERIALIZED (SELECT b.key, b.ts, b.i, b.n, b.close, {', '.join(first)}, {', '.join(f'max(n.close) FILTER (n.i - b.i = {h}) AS f{h}' for h in holds)} FROM numbered b LEFT JOIN numbered n ON b.key = n.key AND n.i BETWEEN b.i + 1 AND b.i + {most} GROUP BY ALL)",
+        "reasoned AS (" + " UNION ALL ".join(each) + ")",
+        "labelled AS (SELECT key, ts, tp, sl, hold, reason, CASE WHEN reason = 'tp_hit' THEN 1 ELSE 0 END AS label, CASE reason WHEN 'tp_hit' THEN a WHEN 'sl_hit' THEN s WHEN 'timeout' THEN hold END::INT AS exit_bar, CASE reason WHEN 'tp_hit' THEN tp WHEN 'sl_hit' THEN -sl WHEN 'timeout' THEN (final - close) * -1 END AS pips FROM reasoned)",
+    ]
 
 
 @query("label_grid", t.query(_grid(), f"SELECT key, {STAMP} AS ts, tp, sl, hold, label, reason, exit_bar, round(pips, 6) + 0.0 AS pips FROM labelled"))
