@@ -105,16 +105,17 @@ def ev_threshold(predictions: DataFrame, tp: float, sl: float, thresholds: list[
 def classification(predictions: DataFrame, by: list[str], threshold: float = 0.5) -> DataFrame:
     """Precision, recall, F1, ROC AUC and average precision of outcome and model_probability.
 
-    Where all outcomes of a group are alike, the areas that need the other kind are null. Ranks come from grouped scores: each distinct score is one row, and running sums over these give both areas.
+    Where all outcomes of a group are alike, the areas that need the other kind are null. Each distinct score is one row; running counts
+    over these, from the highest score down and by pieces of them, give both areas. Scores lie between 0 and 1, and rows are numbered
+    in buckets of 1 / 4096.
     """
     hit = c("model_probability") >= threshold
     cells = predictions.groupBy(*by).agg(F.count_if(hit & win()).alias("tp"), F.count_if(hit & ~win()).alias("fp"), F.count_if(~hit & win()).alias("fn"), F.count_if(~hit & ~win()).alias("tn"))
-    scores = predictions.groupBy(*by, "model_probability").agg(F.count_if(win()).alias("p"), F.count_if(~win()).alias("n"))
-    high = Window.partitionBy(*by).orderBy(F.desc("model_probability")).rowsBetween(Window.unboundedPreceding, 0)
-    all_ = Window.partitionBy(*by)
-    s = scores.withColumns({"cp": F.sum("p").over(high), "cn": F.sum("n").over(high), "ap": F.sum("p").over(all_), "an": F.sum("n").over(all_)})
+    scores = predictions.groupBy(*by, (-c("model_probability")).alias("__down")).agg(F.count_if(win()).alias("p"), F.count_if(~win()).alias("n"))
+    own = pieces.in_pieces(scores, by, ["__down"], bucket=F.floor(c("__down") * 4096))
+    s = pieces.scan(own, by, cp=pieces.total("p"), cn=pieces.total("n"))
     areas = s.groupBy(*(c(b).alias(f"__{b}") for b in by)).agg(
-        F.sum(F.try_divide((c("cp") - c("p") / 2) * c("n"), (c("ap") * c("an")).cast("double"))).alias("roc_auc"), F.sum(F.try_divide(c("p"), c("ap")) * (c("cp") / (c("cp") + c("cn")))).alias("average_precision")
+        F.try_divide(F.sum((c("cp") - c("p") / 2) * c("n")), (F.sum("p") * F.sum("n")).cast("double")).alias("roc_auc"), F.try_divide(F.sum(c("p") * (c("cp") / (c("cp") + c("cn")))), F.sum("p")).alias("average_precision")
     )
     out = cells.join(areas, [c(b).eqNullSafe(c(f"__{b}")) for b in by]).drop(*(f"__{b}" for b in by))
     precision, recall = F.coalesce(F.try_divide(c("tp"), c("tp") + c("fp")), F.lit(0.0)), F.coalesce(F.try_divide(c("tp"), c("tp") + c("fn")), F.lit(0.0))

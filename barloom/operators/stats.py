@@ -10,6 +10,7 @@ from barloom.functions import pieces
 from barloom.functions.distributions import chi_square_tail, t_two_sided
 
 from .metrics import win
+from .strategy import PRIME
 
 c = F.col
 
@@ -86,13 +87,49 @@ def signal_edges(measured: DataFrame, fired: DataFrame, value: str) -> DataFrame
     return j.select("signal", "n_in", "n_out", "mean_in", "mean_out", t.alias("t"), (c("n") - 2).cast("double").alias("df"))
 
 
-def matched_baseline(rows: DataFrame, fired: DataFrame, stratum: str, order: list[Column]) -> DataFrame:
-    """Rows without a signal, as many of each stratum as there are with one: the first in the given order."""
+def matched_baseline(rows: DataFrame, fired: DataFrame, stratum: str, draw: Column, top: int = PRIME, buckets: int = 4096) -> DataFrame:
+    """Rows without a signal, as many of each stratum as there are with one (all, if fewer): those with the smallest draw.
+
+    draw: a number from 0 to top - 1 that looks random. Its histogram in each stratum tells which buckets are taken whole and in which one
+    the quota is reached; only that bucket's rows are ranked, equal draws by key and time. Rows of no stratum aren't drawn.
+    """
     quota = fired.select("key", "ts").distinct()
     own = rows.join(quota.select(c("key").alias("k"), c("ts").alias("t"), F.lit(1).alias("hit")), (c("key") == c("k")) & (c("ts") == c("t")), "left").drop("k", "t")
-    counts = own.filter("hit = 1").groupBy(c(stratum).alias("__s")).agg(F.count(F.lit(1)).alias("quota"))
-    rest = own.filter("hit is null").drop("hit").withColumn("__r", F.row_number().over(Window.partitionBy(stratum).orderBy(*order)))
-    return rest.join(counts, c(stratum) == c("__s")).filter("__r <= quota").drop("__r", "__s", "quota")
+    own = own.withColumn("__d", draw).withColumn("__u", F.floor(c("__d") * buckets / top))
+    counts = own.groupBy(stratum, "__u").agg(F.count_if(c("hit") == 1).alias("hits"), F.count_if(c("hit").isNull()).alias("n"))
+    per, upto = Window.partitionBy(stratum), Window.partitionBy(stratum).orderBy("__u").rowsBetween(Window.unboundedPreceding, -1)
+    cut = counts.select(c(stratum).alias("__s"), c("__u").alias("__b"), "n", F.sum("hits").over(per).alias("quota"), F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("before")).filter("before < quota")  # at most `buckets` rows a stratum
+    rest = own.filter("hit is null").join(cut, (c(stratum) == c("__s")) & (c("__u") == c("__b")))
+    whole = rest.filter("before + n <= quota")
+    ranked = rest.filter("before + n > quota").withColumn("__r", F.row_number().over(Window.partitionBy(stratum, "__u").orderBy("__d", "key", "ts"))).filter("__r <= quota - before").drop("__r")
+    return whole.unionByName(ranked).select(*rows.columns)
+
+
+def exact_quantiles(df: DataFrame, columns: list[str], at: list[float], accuracy: int = 10_000) -> DataFrame:
+    """(feature, q, value) of each column and share: the exact quantile, linear between neighbours; nulls don't count.
+
+    A mergeable sketch brackets each quantile by ranks 2 / accuracy of the rows below and above it, where its error is half of that at most. One
+    more pass counts the values below each bracket and those in it by value, and the value at the rank is found among the latter. So no
+    task holds a column's values.
+    """
+    margin = 2 / accuracy
+    asked = sorted({min(1.0, max(0.0, q + d)) for q in at for d in (-margin, margin)})
+    sketch = df.agg(F.count(F.lit(1)), *(F.percentile_approx(c(x).cast("double"), F.array(*map(F.lit, asked)), accuracy).alias(x) for x in columns)).first()
+    low = lambda x, q: sketch[x][asked.index(max(0.0, q - margin))] if q > margin else float("-inf")
+    high = lambda x, q: sketch[x][asked.index(min(1.0, q + margin))] if q < 1 - margin else float("inf")
+    known = [x for x in columns if sketch[x]]
+    own = df.sparkSession.createDataFrame([(x, q, low(x, q), high(x, q)) for x in known for q in at], "feature string, q double, low double, high double")
+    long = df.select(*(c(x).cast("double").alias(x) for x in known)).unpivot([], known, "name", "value").filter("value is not null") if known else df.select(F.lit("").alias("name"), F.lit(0.0).alias("value")).limit(0)
+    # A row for each column and share: broadcast.
+    met = long.join(F.broadcast(own), (c("name") == c("feature")) & (c("value") <= c("high")))
+    inside = F.when(c("value") >= c("low"), c("value"))
+    cells = met.groupBy("feature", "q", inside.alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    sizes = long.groupBy("name").agg(F.count(F.lit(1)).alias("size"))
+    upto = F.sum("n").over(Window.partitionBy("feature", "q").orderBy(F.asc_nulls_first("value")))
+    ranked = cells.withColumn("upto", upto).join(F.broadcast(sizes), c("feature") == c("name")).withColumn("rank", c("q") * (c("size") - 1))
+    first = F.min(F.when(c("upto") > F.floor("rank"), c("value")))
+    then = F.min(F.when(c("upto") > F.ceil("rank"), c("value")))
+    return ranked.groupBy("feature", "q").agg((first + (then - first) * (F.max("rank") - F.floor(F.max("rank")))).alias("value"))
 
 
 def chi_square(df: DataFrame, row: str, column: Column) -> DataFrame:

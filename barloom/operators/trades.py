@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from barloom.functions.distributions import t_two_sided
 
 from .metrics import loss, win
+from .stats import exact_quantiles
 
 c = F.col
 
@@ -159,9 +160,9 @@ def candidate_rules(columns: list[str]) -> list[Rule]:
 
 
 def dynamic_rules(trades: DataFrame, features: list[str], cuts: tuple[float, ...] = (0.25, 0.5, 0.75, 0.9)) -> list[Rule]:
-    """Rules at percentiles of each feature, kept above and below: one pass for all features."""
-    row = trades.agg(*(F.percentile(c(f), F.array(*map(F.lit, cuts))).alias(f) for f in features)).first()
-    return [Rule(f, op, round(v, 6)) for f in features for v in row[f] or [] for op in (">=", "<")]
+    """Rules at exact percentiles of each feature, kept above and below; a number for each feature and cut comes to the driver."""
+    found = {(r.feature, r.q): r.value for r in exact_quantiles(trades, features, list(cuts)).collect()}
+    return [Rule(f, op, round(found[f, q], 6)) for f in features for q in cuts if (f, q) in found for op in (">=", "<")]
 
 
 #: Rules whose bits one word of a signature holds, if no name needs more.

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.functions import windows as w
-from barloom.operators import chains, crossframe, features, labels, signals, stats
+from barloom.operators import chains, crossframe, features, labels, signals, stats, strategy
 
 from . import feature_queries as fq
 from . import sqltext as t
@@ -245,10 +245,39 @@ def signal_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(stats.signal_edges(measured, fired, "v"), digits=5)
 
 
-@query("matched_baseline", t.query([*_BASED, *t.stack("b2", _sig, "g")[0], _fired("g2", {"x": ("bb_position >= 0.8 AND rsi_value >= 65", "short")}), "strata AS (SELECT b.key, b.ts, hour(b.ts) AS hour, f.signal FROM g2 b LEFT JOIN fired f USING (key, ts))", "quota AS (SELECT hour, count(*) AS q FROM strata WHERE signal IS NOT NULL GROUP BY hour)"], f"SELECT key, {STAMP} AS ts, hour::INT AS hour FROM (SELECT s.*, q, row_number() OVER (PARTITION BY s.hour ORDER BY ts, key) AS r FROM strata s JOIN quota USING (hour) WHERE signal IS NULL) WHERE r <= q"))
+# Draws for matched rows: both engines scramble time and key alike.
+_draw_of = f"(({{at}} + 1009 * ascii(key) + 31 * length(key)) % {strategy.PRIME})"
+_overbought = {"x": ("bb_position >= 0.8 AND rsi_value >= 65", "short")}
+_regime = "CASE WHEN _p <= 0.25 THEN 'low' WHEN _p <= 0.5 THEN 'normal' WHEN _p <= 0.75 THEN 'elevated' WHEN _p <= 1 THEN 'high' END"
+
+
+def _matched(name: str, stratum: str) -> str:
+    return t.query(
+        [
+            *_BASED, t.layer("r0", "b2", {"_p": prank("atr_pct", 50)}), *t.stack("r0", _sig, "g")[0], _fired("g2", _overbought),
+            f"strata AS (SELECT b.key, b.ts, {stratum} AS {name}, f.signal, {_draw_of.format(at='epoch(b.ts)::BIGINT').replace('key', 'b.key')} AS x FROM g2 b LEFT JOIN fired f USING (key, ts))",
+            f"d1 AS (SELECT *, (x * 48271 + 7 * 69621 + 11) % {strategy.PRIME} AS y1 FROM strata)", f"d2 AS (SELECT *, (y1 * y1 + x) % {strategy.PRIME} AS y2 FROM d1)", f"d3 AS (SELECT *, (y2 * y2 + 7) % {strategy.PRIME} AS d FROM d2)",
+            f"quota AS (SELECT {name}, count(*) AS q FROM strata WHERE signal IS NOT NULL GROUP BY 1)",
+        ],
+        f"SELECT key, {STAMP} AS ts, {name} FROM (SELECT s.*, q, row_number() OVER (PARTITION BY s.{name} ORDER BY d, key, ts) AS r FROM d3 s JOIN quota USING ({name}) WHERE signal IS NULL) WHERE r <= q",
+    )
+
+
+def _baseline(ready: DataFrame, stratum: str) -> DataFrame:
+    draw = strategy.scrambled(F.expr(_draw_of.format(at="unix_seconds(cast(ts as timestamp))")), 7)
+    return shown(stats.matched_baseline(ready.select("key", "ts", stratum), ready.filter(signals.overbought()), stratum, draw))
+
+
+@query("matched_baseline", _matched("hour", "hour(b.ts)::INT"))
 def matched_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ready = features.add(fast(spark, sf_dir), "base").withColumn("hour", F.hour("ts"))
-    return shown(stats.matched_baseline(ready.select("key", "ts", "hour"), ready.filter(signals.overbought()), "hour", [F.col("ts"), F.col("key")]))
+    return _baseline(features.add(fast(spark, sf_dir), "base").withColumn("hour", F.hour("ts")), "hour")
+
+
+@query("matched_baseline_regime", _matched("regime", _regime))
+def matched_baseline_regime(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strata are volatility regimes: quartiles of the ATR's trailing rank."""
+    ready = features.add(fast(spark, sf_dir), "base").withColumn("_p", w.percent_rank("atr_pct", 50))
+    return _baseline(ready.withColumn("regime", F.expr(_regime)), "regime")
 
 
 @query("random_baseline")

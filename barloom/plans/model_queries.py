@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.operators import crossframe, labels, metrics, models, runs
+from barloom.streaming import asof as stream_asof
 from barloom.streaming import bars as streaming
 
 from . import feature_queries as fq
@@ -33,8 +36,11 @@ def gbt_walk_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _folder(spark: SparkSession) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-models-", dir="/tmp")
-    return f"{root}/barloom-{uuid.uuid4().hex}"
+    """A new folder in the one that the session names; one under /tmp only where there is one machine."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir names no folder that driver and executors share")
+    return f"{root or 'file://' + tempfile.mkdtemp(prefix='spark-models-', dir='/tmp')}/barloom-{uuid.uuid4().hex}"
 
 
 def grid_walk_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,12 +61,29 @@ def grid_walk_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_bars_4h(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Finished bars of the events read as a stream, run until all that is there is processed."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-stream-", dir="/tmp")
-    root = f"{root}/barloom-{uuid.uuid4().hex}"
+    root = _folder(spark)
     source = read(spark, sf_dir, "events")
     events = spark.readStream.schema(source.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     streaming.run_available(streaming.stream_bars(events), f"{root}/bars", f"{root}/state")
     return shown(spark.read.parquet(f"{root}/bars"))
 
 
-QUERIES |= {"gbt_walk_forward": gbt_walk_forward, "grid_walk_forward": grid_walk_forward, "stream_bars_4h": stream_bars_4h}
+def stream_asof_prev_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The as-of join of two streams of bars, stopped and resumed between them; the last rows move the watermark past all bars."""
+    root, before = _folder(spark), spark.conf.get(stream_asof.PROVIDER)
+    bars_ = stream_asof.united(fast(spark, sf_dir), slow(spark, sf_dir)).withColumn("day", F.dayofmonth("ts"))
+    end = lambda at: stream_asof.clock(spark, at)
+    last = datetime(2200, 1, 1)
+    parts = [bars_.filter("day <= 15"), bars_.filter("day > 15 or day is null"), end(last), end(last)]
+    spark.conf.set(stream_asof.PROVIDER, stream_asof.ROCKS)
+    try:
+        for part in parts:
+            part.drop("day").write.mode("append").parquet(f"{root}/in")
+            stream = spark.readStream.schema(stream_asof.BAR).parquet(f"{root}/in")
+            streaming.run_available(stream_asof.stream_previous_day(stream), f"{root}/out", f"{root}/state")
+    finally:
+        spark.conf.set(stream_asof.PROVIDER, before)
+    return shown(spark.read.parquet(f"{root}/out"), ["key", "ts", "close", "d1_ts", "d1_close", "d1_volume"], 12)
+
+
+QUERIES |= {"stream_asof_prev_day": stream_asof_prev_day, "gbt_walk_forward": gbt_walk_forward, "grid_walk_forward": grid_walk_forward, "stream_bars_4h": stream_bars_4h}

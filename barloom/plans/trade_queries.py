@@ -130,9 +130,17 @@ query("filter_combos")(lambda t: trades.rule_combinations(t, RULES, 100, 40, 4))
 query("filter_combos_all")(lambda t: trades.rule_combinations(t, RULES, 100, 40))
 SQL |= {"filter_combos": _combos(4), "filter_combos_all": _combos(5)}
 _cuts = (0.25, 0.5, 0.75, 0.9)
-query("filter_dynamic", " UNION ALL ".join(f"SELECT '{f}' AS feature, '{op}' AS op, {q}::DOUBLE AS cut, round(c, 6) + 0.0 AS value, (SELECT count(*) FROM trades WHERE {f} {op} round(c, 6)) AS n_after FROM (SELECT quantile_cont({f}, {q}) AS c FROM trades)" for f in ("rsi_value", "adx") for q in _cuts for op in (">=", "<")))(
-    lambda t: (lambda rules: trades.impact(t, {f"{i}": [r] for i, r in enumerate(rules)}, 100, 40).join(t.sparkSession.createDataFrame([(str(i), r.feature, r.op, _cuts[i // 2 % 4], float(r.value)) for i, r in enumerate(rules)], "id string, feature string, op string, cut double, value double"), F.col("rule") == F.col("id")).select("feature", "op", "cut", "value", "n_after"))(trades.dynamic_rules(t, ["rsi_value", "adx"]))
-)
+_dynamic = [f"SELECT '{f}' AS feature, '{op}' AS op, {q}::DOUBLE AS cut, round(c, 6) + 0.0 AS value, (SELECT count(*) FROM trades WHERE {f} {op} round(c, 6)) AS n_after FROM (SELECT quantile_cont({f}::DOUBLE, {q}) AS c FROM trades)" for f in FEATURES for q in _cuts for op in (">=", "<")]
+
+
+def _filter_dynamic(t: DataFrame) -> DataFrame:
+    rules = trades.dynamic_rules(t, FEATURES, _cuts)
+    names = [(str(i), r.feature, r.op, _cuts[i // 2 % len(_cuts)], float(r.value)) for i, r in enumerate(rules)]
+    named = t.sparkSession.createDataFrame(names, "id string, feature string, op string, cut double, value double")
+    return trades.impact(t, {str(i): [r] for i, r in enumerate(rules)}, 100, 40).join(named, F.col("rule") == F.col("id")).select("feature", "op", "cut", "value", "n_after")
+
+
+query("filter_dynamic", " UNION ALL ".join(_dynamic))(_filter_dynamic)
 query("filter_oos", "SELECT rule, round(gi, 6) + 0.0 AS gain_in, round(go, 6) + 0.0 AS gain_out, round(gi / nullif(go, 0), 6) + 0.0 AS overfit_ratio, (gi > 0 AND go > 0 AND gi / go < 2) AS robust FROM (SELECT rule, max(net_pips / n_before) FILTER (part = 'in') AS gi, max(net_pips / n_before) FILTER (part = 'out') AS go FROM impact GROUP BY rule)", ["parted AS (SELECT *, CASE WHEN fold <= 3 THEN 'in' ELSE 'out' END AS part FROM trades)", *_impact(_each, 100, 40, "parted", "part")])(lambda t: trades.out_of_sample(t, RULES, 100, 40))
 
 # Metrics
