@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import json
 import random
+import uuid
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from itertools import product
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
@@ -15,6 +19,8 @@ from pyspark.ml.regression import GBTRegressor, IsotonicRegression
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from barloom.sources.ledger import MODELS, Ledger
+
 from . import metrics, runs
 
 c = F.col
@@ -137,33 +143,88 @@ def walk_forward(df: DataFrame, features: list[str], label: str = "label", *, ke
 LEDGER = "tp int, sl int, hold int, n_folds long, n_test long, roc_auc double, average_precision double, precision_mean double, recall_mean double"
 
 
-def grid_run(rows: Callable[[dict], DataFrame], grid: DataFrame, ledger: str, features: list[str], **params: object) -> DataFrame:
+def _grid_line(data: DataFrame, config: dict, features: list[str], **params: object) -> DataFrame:
+    """The ledger's line of one configuration; without a usable fold, one with n_folds 0."""
+    own = [F.lit(int(config[p])).alias(p) for p in runs.PARAMETERS]
+    areas = {"roc_auc": "roc_auc", "average_precision": "average_precision", "precision": "precision_mean", "recall": "recall_mean"}
+    try:
+        scored = walk_forward(data, features, **params)
+    except NoFold:
+        return data.sparkSession.range(1).select(*own, F.lit(0).alias("n_folds"), F.lit(0).alias("n_test"), *(F.lit(None).alias(n) for n in areas.values()))
+    named = scored.withColumn("outcome", F.when(c("label") == 1, "WIN").otherwise("LOSS")).withColumn("model_probability", c("calibrated"))
+    folds = metrics.classification(named, ["fold"])
+    n = c("tp") + c("fp") + c("fn") + c("tn")
+    return folds.agg(F.count(F.lit(1)).alias("n_folds"), F.sum(n).alias("n_test"), *(F.avg(x).alias(y) for x, y in areas.items())).select(*own, "*")
+
+
+def grid_run(rows: Callable[[dict], DataFrame], grid: DataFrame, ledger: Ledger, features: list[str], *, threads: int = 4, tries: int = 2, **params: object) -> DataFrame:
     """Walk forward for every configuration (tp, sl, hold) that the ledger lacks, best area under the curve first.
 
-    rows: the labelled rows of a configuration, with their folds. A configuration's line is written once all its folds are done,
-    so a run that stopped goes on with the rest; one without a usable fold is written with n_folds 0. The grid is a small table.
+    rows: the labelled rows of a configuration, with their folds. Configurations run as jobs of their own in a bounded pool of threads, each in
+    a scheduler pool of its own, so that with spark.scheduler.mode FAIR small fits fill the cluster. A line is written once, when all folds
+    of its configuration are done; one that fails is tried again, and what failed every time is raised after the others are
+    done. A run that stopped goes on with what the ledger lacks. The grid is a small table.
     """
     spark = grid.sparkSession
-    spark.createDataFrame([], LEDGER).write.mode("append").parquet(ledger)  # so that there is one to read
-    todo = runs.pending(grid, spark.read.schema(LEDGER).parquet(ledger)).orderBy(*runs.PARAMETERS)
-    for config in [r.asDict() for r in todo.collect()]:
-        data = rows(config).cache()  # read by every stage of every fold
-        try:
-            scored = walk_forward(data, features, **params)
-        except NoFold:
-            folds = None
-        else:
-            named = scored.withColumn("outcome", F.when(c("label") == 1, "WIN").otherwise("LOSS")).withColumn("model_probability", c("calibrated"))
-            folds = metrics.classification(named, ["fold"])
-        own = [F.lit(int(config[p])).alias(p) for p in runs.PARAMETERS]
-        if folds is None:
-            line = spark.range(1).select(*own, F.lit(0).alias("n_folds"), F.lit(0).alias("n_test"), *(F.lit(None).alias(n) for n in ("roc_auc", "average_precision", "precision_mean", "recall_mean")))
-        else:
-            n = c("tp") + c("fp") + c("fn") + c("tn")
-            line = folds.agg(F.count(F.lit(1)).alias("n_folds"), F.sum(n).alias("n_test"), *(F.avg(x).alias(y) for x, y in {"roc_auc": "roc_auc", "average_precision": "average_precision", "precision": "precision_mean", "recall": "recall_mean"}.items())).select(*own, "*")
-        line.selectExpr(*(f"cast({n} as {kind}) {n}" for n, kind in (x.split() for x in LEDGER.split(", ")))).write.mode("append").parquet(ledger)
-        data.unpersist()
-    return spark.read.schema(LEDGER).parquet(ledger).orderBy(F.desc_nulls_last("roc_auc"), *runs.PARAMETERS)
+    todo = [r.asDict() for r in runs.pending(grid, ledger.read()).orderBy(*runs.PARAMETERS).collect()]
+
+    def done(config: dict) -> Exception | None:
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", "grid-" + "-".join(str(config[p]) for p in runs.PARAMETERS))
+        failed = None
+        for _ in range(tries):
+            try:
+                data = rows(config).cache()  # read by every stage of every fold
+                try:
+                    ledger.upsert(_grid_line(data, config, features, **params))
+                finally:
+                    data.unpersist()
+            except Exception as e:  # noqa: BLE001  raised below, once the rest is done
+                failed = e
+            else:
+                return None
+        return failed
+
+    with ThreadPoolExecutor(max(1, threads)) as pool:
+        failed = [(x, e) for x, e in zip(todo, pool.map(inheritable_thread_target(spark)(done), todo)) if e]
+    if failed:
+        raise RuntimeError(f"{len(failed)} configurations failed, the first: {failed[0][0]}") from failed[0][1]
+    return ledger.read().orderBy(F.desc_nulls_last("roc_auc"), *runs.PARAMETERS)
+
+
+def grid_ledger(spark: SparkSession, path: str) -> Ledger:
+    return Ledger(spark, path, list(runs.PARAMETERS), LEDGER)
+
+
+def fit_and_export(df: DataFrame, features: list[str], registry: Ledger, folder: str, config_id: str, *, label: str = "label", threshold: float = 0.5, tier: int | None = None, **params: object) -> dict:
+    """The final job of a configuration: fit on all rows (fold 0), save the pipeline, write its feature list and facts as JSON beside
+    it, and enter it in the registry. Precision and expected value are in-sample. Returns the facts."""
+    spark = df.sparkSession
+    model = train(df, features, label, **params)
+    path = f"{folder}/{config_id}-{uuid.uuid4().hex}"
+    model.write().save(f"{path}/model")
+    scored = predict(model, df, features).filter(c("model_probability") >= threshold)
+    row = scored.agg(F.count(F.lit(1)).alias("n"), F.avg(c(label).cast("double")).alias("precision"), F.avg(c("pips")).alias("ev") if "pips" in df.columns else F.lit(None).alias("ev")).first()
+    facts = {"config_id": config_id, "fold": 0, "path": path, "threshold": float(threshold), "precision": row["precision"], "ev": row["ev"], "tier": tier}
+    weights = [{"feature": f, "importance": x} for f, x in sorted(importance(model, features), key=lambda v: (-v[1], v[0]))]
+    spark.createDataFrame([json.dumps({**facts, "n_trades": row["n"], "features": features, "importance": weights, "params": params})], "string").coalesce(1).write.text(f"{path}/config")
+    registry.upsert(spark.createDataFrame([tuple(facts[f.name] for f in spark.createDataFrame([], MODELS).schema)], MODELS))
+    return facts
+
+
+def by_tier(registry: Ledger) -> DataFrame:
+    """Models of each tier: count, best precision and its path."""
+    own = registry.read()
+    return own.groupBy("tier").agg(F.count(F.lit(1)).alias("n_models"), F.max("precision").alias("best_precision"), F.max_by("path", F.struct("precision", "path")).alias("best_path"))
+
+
+def load(registry: Ledger, config_id: str, fold: int | None = None) -> tuple[PipelineModel, dict] | None:
+    """The model of a configuration and fold, by default that with the best precision, and what was exported with it."""
+    own = registry.read().filter((c("config_id") == config_id) & (F.lit(True) if fold is None else c("fold") == fold))
+    best = own.orderBy(F.desc_nulls_last("precision"), "fold").first()
+    if best is None:
+        return None
+    facts = json.loads(registry.spark.read.text(f"{best['path']}/config").first()[0])
+    return PipelineModel.load(f"{best['path']}/model"), facts
 
 
 def heads(df: DataFrame, features: list[str], flags: list[str], values: list[str]) -> dict[str, PipelineModel]:

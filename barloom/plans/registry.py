@@ -7,6 +7,7 @@ from . import feature_queries, label_queries, model_queries, series_queries, tra
 QUERIES = feature_queries.QUERIES | label_queries.QUERIES | trade_queries.QUERIES | model_queries.QUERIES | series_queries.QUERIES
 SQL = feature_queries.SQL | label_queries.SQL | trade_queries.SQL | series_queries.SQL
 
+SQL["fold_ledger"] = model_queries.FOLD_SQL
 SQL["stream_asof_prev_day"] = SQL["asof_prev_day"]  # the same bars, joined in batch
 
 #: Also run over one series for each user.

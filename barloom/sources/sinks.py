@@ -1,9 +1,8 @@
-"""Sinks: trade log, run ledger, reports and models."""
+"""Sinks: trade log, run ledger and reports. For tables of results and models that several runs write to see ledger."""
 
 from __future__ import annotations
 
-from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,19 +39,3 @@ def write_json(df: DataFrame, path: str) -> None:
 def write_csv(df: DataFrame, path: str, *order: str) -> None:
     """A small result as one sorted CSV file with a header."""
     (df.orderBy(*order) if order else df).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
-
-
-def save_model(model: PipelineModel, path: str, registry: str, spark: SparkSession, **facts: object) -> None:
-    """Save a fitted pipeline and add its facts (config, tier, precision ...) to the registry table."""
-    model.write().overwrite().save(path)
-    spark.createDataFrame([{"path": path, **facts}]).write.mode("append").parquet(registry)
-
-
-def best_model(spark: SparkSession, registry: str, metric: str = "precision") -> PipelineModel:
-    row = spark.read.parquet(registry).agg(F.max_by("path", metric)).first()
-    return PipelineModel.load(row[0])
-
-
-def export_by_tier(spark: SparkSession, registry: str) -> DataFrame:
-    """Models of each tier: count, best metric and its path."""
-    return spark.read.parquet(registry).groupBy("tier").agg(F.count(F.lit(1)).alias("n_models"), F.max("precision").alias("best_precision"), F.max_by("path", "precision").alias("best_path"))

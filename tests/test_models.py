@@ -3,7 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from barloom.operators import labels, metrics, models, stats
+from barloom.operators import metrics, models, stats
+from barloom.sources import ledger
 
 
 @pytest.fixture(scope="module")
@@ -61,24 +62,52 @@ def test_validated_importance(spark):
 
 
 def test_grid_run_goes_on_where_it_stopped(spark, rows, tmp_path):
-    ledger, made = str(tmp_path / "ledger"), []
+    made = []
 
     def of(config):
         made.append(config["tp"])
         if config["tp"] == 2 and made.count(2) == 1:
             raise KeyboardInterrupt  # stopped on the way
+        if config["tp"] == 4 and made.count(4) == 1:
+            raise OSError("once")  # tried again
         return rows.filter("fold = 9") if config["tp"] == 3 else rows.filter("fold = 1")
 
-    grid = spark.createDataFrame([(1, 1, 1), (2, 1, 1), (3, 1, 1)], "tp int, sl int, hold int")
-    run = lambda: models.grid_run(of, grid, ledger, FEATURES, least_train=10, least_test=5, maxIter=1, maxDepth=1)
+    grid = spark.createDataFrame([(i, 1, 1) for i in (1, 2, 3, 4)], "tp int, sl int, hold int")
+    lines, serial = (models.grid_ledger(spark, f"file://{tmp_path}/{x}") for x in ("lines", "serial"))
+    run = lambda ledger, threads: models.grid_run(of, grid, ledger, FEATURES, threads=threads, least_train=10, least_test=5, maxIter=1, maxDepth=1)
     with pytest.raises(KeyboardInterrupt):
-        run()
-    got = run().collect()
-    assert made == [1, 2, 2, 3]
-    assert [(r.tp, r.n_folds) for r in got] == [(1, 1), (2, 1), (3, 0)] and got[0].roc_auc > 0.8 and got[2].roc_auc is None
+        run(lines, 3)
+    assert 2 not in {r.tp for r in lines.read().collect()}
+    got = run(lines, 3).collect()
+    assert sorted(made) == [1, 2, 2, 3, 4, 4]
+    assert [r.n_folds for r in sorted(got, key=lambda r: r.tp)] == [1, 1, 0, 1] and got[0].roc_auc > 0.8 and got[-1].roc_auc is None
     n_test = rows.filter("fold = 1 and part = 'test'").count()
-    assert [r.n_test for r in got] == [n_test, n_test, 0]
-    assert len(run().collect()) == 3 and made == [1, 2, 2, 3]
+    assert sorted(r.n_test for r in got) == [0, n_test, n_test, n_test]
+    assert len(run(lines, 2).collect()) == 4 and len(made) == 6
+    assert run(serial, 1).collect() == got
+
+
+def test_grid_run_reports_what_fails(spark, rows, tmp_path):
+    def of(config):
+        if config["tp"] == 1:
+            raise ValueError("always")
+        return rows.filter("fold = 9")
+
+    lines = models.grid_ledger(spark, f"file://{tmp_path}/lines")
+    with pytest.raises(RuntimeError, match="1 configurations failed"):
+        models.grid_run(of, spark.createDataFrame([(1, 1, 1), (2, 1, 1)], "tp int, sl int, hold int"), lines, FEATURES)
+    assert [r.tp for r in lines.read().collect()] == [2]
+
+
+def test_final_fit_export_and_reload(spark, rows, tmp_path):
+    registry = ledger.models(spark, f"file://{tmp_path}/registry")
+    facts = [models.fit_and_export(rows.filter("fold = 1"), FEATURES, registry, f"file://{tmp_path}/models", name, tier=k, maxIter=1, maxDepth=k) for k, name in ((1, "a"), (2, "b"))]
+    model, found = models.load(registry, "b")
+    assert found["features"] == FEATURES and found["path"] == facts[1]["path"] and {x["feature"] for x in found["importance"]} == set(FEATURES)
+    scored = models.predict(model, rows.filter("fold = 1"), FEATURES).filter("model_probability >= 0.5")
+    assert scored.agg(F.avg(F.col("label").cast("double"))).first()[0] == pytest.approx(found["precision"])
+    assert models.load(registry, "c") is None and models.load(registry, "a", 3) is None
+    assert {(r.tier, r.n_models) for r in models.by_tier(registry).collect()} == {(1, 1), (2, 1)}
 
 
 def test_areas_of_outcomes_that_are_all_alike(spark):
