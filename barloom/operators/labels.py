@@ -29,19 +29,6 @@ def first_at(levels: Column, level: Column, above: bool) -> Column:
     return F.array_position(F.transform(levels, (lambda v: v >= level) if above else (lambda v: v <= level)), F.lit(True))
 
 
-def _outcome(tp_at: Column, sl_at: Column, hold: int | Column, n_ahead: Column, tp: Column, sl: Column, end: Column, entry: Column, sign: int, tie: str, timeout: str) -> Column:
-    h = F.lit(hold) if isinstance(hold, int) else hold
-    hit = lambda at: (at > 0) & (at <= h)
-    first_tp = hit(tp_at) & (~hit(sl_at) | ((tp_at <= sl_at) if tie == "tp" else (tp_at < sl_at)))
-    enough = n_ahead >= h
-    marked = (end - entry) * sign
-    reason = F.when(~enough, "insufficient_data").when(first_tp, "tp_hit").when(hit(sl_at), "sl_hit").otherwise("timeout")
-    pips = F.when(reason == "tp_hit", tp).when(reason == "sl_hit", -sl).when(reason == "timeout", marked)
-    won = F.when(reason == "tp_hit", 1).when((reason == "timeout") & F.lit(timeout == "mark") & (marked > 0), 1).otherwise(0)
-    exit_bar = F.when(reason == "tp_hit", tp_at).when(reason == "sl_hit", sl_at).when(reason == "timeout", h)
-    return F.struct(won.cast("int").alias("label"), reason.alias("reason"), exit_bar.cast("int").alias("exit_bar"), pips.alias("pips"))
-
-
 #: Rows for which running extremes are laid out at once.
 ROWS = 4096
 
@@ -55,8 +42,8 @@ def _reached(highs: np.ndarray, lows: np.ndarray, closes: np.ndarray, ahead: np.
         hi = min(rows, lo + ROWS)
         at, known = np.arange(lo, hi)[:, None] + step, step <= ahead[lo:hi, None]
         at = np.minimum(at, highs.size - 1)
-        for out, values, worst, extreme, levels, sign in ((above, highs, -np.inf, np.fmax, up, 1), (below, lows, np.inf, np.fmin, down, -1)):
-            run = extreme.accumulate(np.where(known, values[at], worst), axis=1) if hold else np.zeros((hi - lo, 0))
+        for out, values, worst, extreme, levels, sign in ((above, highs, -np.inf, np.maximum, up, 1), (below, lows, np.inf, np.minimum, down, -1)):
+            run = extreme.accumulate(np.where(known & ~np.isnan(values[at]), values[at], worst), axis=1) if hold else np.zeros((hi - lo, 0))
             for k, x in enumerate(levels):
                 # A sorted row: the level's place in it is the number of values that don't come to it.
                 level = (closes[lo:hi] + sign * x)[:, None]
@@ -65,32 +52,44 @@ def _reached(highs: np.ndarray, lows: np.ndarray, closes: np.ndarray, ahead: np.
     return above, below
 
 
-def first_hits(df: DataFrame, up: list[float], down: list[float], holds: list[int]) -> DataFrame:
-    """Add __up and __down, the bar at which each level above or below the close is reached first (0: not within max(holds) bars),
-    __ahead, the number of bars ahead up to that, and __final, the close that many of each of `holds` bars ahead.
+REASONS = ("insufficient_data", "tp_hit", "sl_hit", "timeout")
+
+
+def _outcomes(tp_at: np.ndarray, sl_at: np.ndarray, ahead: np.ndarray, hold: int, tie: str) -> np.ndarray:
+    """The place of the reason in REASONS, and four times the bar of the exit (from 1)."""
+    tp, sl = (tp_at > 0) & (tp_at <= hold), (sl_at > 0) & (sl_at <= hold)
+    first = tp & (~sl | ((tp_at <= sl_at) if tie == "tp" else (tp_at < sl_at)))
+    found = np.where(first, 1 + 4 * tp_at, np.where(sl, 2 + 4 * sl_at, 3 + 4 * hold))
+    return np.where(ahead >= hold, found, 0).astype(np.int32)
+
+
+def outcomes(df: DataFrame, configs: list[tuple[float, float, int]], short: bool, tie: str) -> DataFrame:
+    """Add __found, of each configuration what _outcomes() gives, and __final, the close each of the horizons (sorted) ahead.
 
-    Rows are dealt by key, sorted by time and streamed: what waits for bars ahead is no more than max(holds) rows. Missing prices reach nothing.
+    Rows are dealt by key, sorted by time and streamed: what waits for bars ahead is no more than the longest horizon's rows. A configuration is
+    a few comparisons of the bars at which its two levels are reached. Missing prices reach nothing.
     """
-    hold = max(holds)
-    places = T.ArrayType(T.IntegerType())
-    more = T.StructType().add("__up", places).add("__down", places).add("__ahead", T.IntegerType()).add("__final", T.ArrayType(T.DoubleType()))
+    tps, sls, holds = (sorted({x[i] for x in configs}) for i in range(3))
+    up, down, hold = (sls, tps, holds[-1]) if short else (tps, sls, holds[-1])
+    more = T.StructType().add("__found", T.ArrayType(T.IntegerType())).add("__final", T.ArrayType(T.DoubleType()))
+    lists = lambda m, kind: pa.FixedSizeListArray.from_arrays(pa.array(m.ravel(), kind), m.shape[1]).cast(pa.list_(kind))
+
+    def made(table: pa.Table, keys: np.ndarray, rows: int) -> Iterator[pa.RecordBatch]:
+        """Results of the first rows; the table goes on to the end of their keys or `hold` rows further."""
+        highs, lows, closes = (np.asarray(table.column(x).cast(pa.float64()).fill_null(float("nan"))) for x in ("high", "low", "close"))
+        ends = np.append(np.flatnonzero(keys[1:] != keys[:-1]) + 1, keys.size)
+        at = np.arange(rows)
+        ahead = np.minimum(hold, ends[np.searchsorted(ends, at, "right")] - at - 1)
+        above, below = _reached(highs, lows, closes, ahead, rows, up, down, hold)
+        tp_at, sl_at = (below, above) if short else (above, below)
+        found = np.column_stack([_outcomes(tp_at[:, tps.index(t)], sl_at[:, sls.index(s)], ahead, h, tie) for t, s, h in configs])
+        final = np.column_stack([np.where(h <= ahead, closes[np.minimum(at + h, closes.size - 1)], np.nan) for h in holds])
+        out = table.slice(0, rows).drop_columns(["__key"])
+        for f, x in zip(more, (lists(found, pa.int32()), lists(final, pa.float64()))):
+            out = out.append_column(f.name, x)
+        yield from out.combine_chunks().to_batches(ROWS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def made(table: pa.Table, keys: np.ndarray, rows: int) -> Iterator[pa.RecordBatch]:
-            """Results of the first rows; the table goes on to the end of their keys or `hold` rows further."""
-            highs, lows, closes = (np.asarray(table.column(x).cast(pa.float64()).fill_null(float("nan"))) for x in ("high", "low", "close"))
-            ends = np.append(np.flatnonzero(keys[1:] != keys[:-1]) + 1, keys.size)
-            end = ends[np.searchsorted(ends, np.arange(rows), "right")]
-            ahead = np.minimum(hold, end - np.arange(rows) - 1)
-            found = _reached(highs, lows, closes, ahead, rows, up, down, hold)
-            final = [np.where(h <= ahead, closes[np.minimum(np.arange(rows) + h, closes.size - 1)], np.nan) for h in holds]
-            lists = lambda m, kind: pa.FixedSizeListArray.from_arrays(pa.array(m.ravel(), kind), m.shape[1]).cast(pa.list_(kind)) if m.shape[1] else pa.array([[]] * rows, pa.list_(kind))
-            columns = [*(lists(m, pa.int32()) for m in found), pa.array(ahead.astype(np.int32)), lists(np.column_stack(final), pa.float64())]
-            out = table.slice(0, rows).drop_columns(["__key"])
-            for f, x in zip(more, columns):
-                out = out.append_column(f.name, x)
-            yield from out.combine_chunks().to_batches(ROWS)
-
         waiting = None
         for batch in batches:
             new = pa.Table.from_batches([batch])
@@ -105,19 +104,26 @@ def first_hits(df: DataFrame, up: list[float], down: list[float], holds: list[in
             yield from made(waiting, waiting.column("__key").combine_chunks().to_numpy(zero_copy_only=False), waiting.num_rows)
 
     own = df.withColumn("__key", F.to_json(F.struct(w.KEY))).repartition("__key").sortWithinPartitions("__key", w.TS)
-    schema = T.StructType([*df.schema.fields, *more.fields])
-    return own.mapInArrow(run, schema)
+    return own.mapInArrow(run, T.StructType([*df.schema.fields, *more.fields]))
+
+
+def _named(found: Column, tp: Column, sl: Column, final: Column, entry: Column, sign: int, timeout: str) -> list[Column]:
+    """label, reason, exit_bar and pips of a configuration."""
+    code, marked = found.bitwiseAND(F.lit(3)), (final - entry) * sign
+    won = code == 1
+    if timeout == "mark":
+        won = won | ((code == 3) & (marked > 0))
+    pips = F.when(code == 1, tp).when(code == 2, -sl).when(code == 3, marked)
+    reason = F.element_at(F.array(*map(F.lit, REASONS)), code + 1)
+    return [F.coalesce(won, F.lit(False)).cast("int").alias("label"), reason.alias("reason"), F.when(code > 0, F.shiftright(found, 2)).alias("exit_bar"), pips.alias("pips")]
 
 
 def barrier(df: DataFrame, tp: float, sl: float, hold: int, *, direction: str = "short", tie: str = "sl", timeout: str = "loss") -> DataFrame:
     """Add label, reason, exit_bar and pips. tie: which barrier wins on one bar; timeout: loss, or mark to the last close.
     A row with fewer than `hold` bars ahead is insufficient_data, even if a barrier is hit."""
     short = direction == "short"
-    out = first_hits(df, [sl if short else tp], [tp if short else sl], [hold])
-    above, below = (F.element_at(f"__{x}", 1) for x in ("up", "down"))
-    tp_at, sl_at = (below, above) if short else (above, below)
-    x = _outcome(tp_at, sl_at, hold, c("__ahead"), F.lit(float(tp)), F.lit(float(sl)), F.element_at("__final", 1), c("close"), -1 if short else 1, tie, timeout)
-    return out.withColumn("__o", x).select(*df.columns, "__o.*")
+    out = outcomes(df, [(tp, sl, hold)], short, tie)
+    return out.select(*df.columns, *_named(F.element_at("__found", 1), F.lit(float(tp)), F.lit(float(sl)), F.element_at("__final", 1), c("close"), -1 if short else 1, timeout))
 
 
 def grid(tps: list[float], sls: list[float], holds: list[int]) -> list[tuple[float, float, int]]:
@@ -126,15 +132,13 @@ def grid(tps: list[float], sls: list[float], holds: list[int]) -> list[tuple[flo
 
 def barrier_grid(df: DataFrame, configs: list[tuple[float, float, int]], *, direction: str = "short", tie: str = "sl", timeout: str = "loss", keep: tuple[str, ...] = ()) -> DataFrame:
     """(key, ts, keep..., tp, sl, hold, label, reason, exit_bar, pips) for every row and configuration."""
-    short = direction == "short"
-    tps, sls, holds = (sorted({x[i] for x in configs}) for i in range(3))
-    out = first_hits(df.select("key", "ts", *keep, "high", "low", "close"), sls if short else tps, tps if short else sls, holds)
-    # One row for each configuration, then one outcome for all.
-    each = [F.struct(F.lit(float(t)).alias("tp"), F.lit(float(s)).alias("sl"), F.lit(h).alias("hold"), F.lit(tps.index(t) + 1).alias("t"), F.lit(sls.index(s) + 1).alias("s"), F.lit(holds.index(h) + 1).alias("h")) for t, s, h in configs]
-    out = out.withColumn("g", F.explode(F.array(*each)))
-    at = lambda kind, i: F.element_at("__up" if (kind == "tp") != short else "__down", c(i))
-    x = _outcome(at("tp", "g.t"), at("sl", "g.s"), c("g.hold"), c("__ahead"), c("g.tp"), c("g.sl"), F.element_at("__final", c("g.h")), c("close"), -1 if short else 1, tie, timeout)
-    return out.select("key", "ts", *keep, "g.tp", "g.sl", "g.hold", x.alias("o")).select("key", "ts", *keep, "tp", "sl", "hold", "o.*")
+    short, holds = direction == "short", sorted({h for *_, h in configs})
+    out = outcomes(df.select("key", "ts", *keep, "high", "low", "close"), configs, short, tie)
+    out = out.select("key", "ts", *keep, "close", "__final", F.posexplode("__found").alias("i", "found"))
+    of = lambda values: F.element_at(F.array(*map(F.lit, values)), c("i") + 1)
+    tp, sl, hold = (of([float(t) for t, _, _ in configs]), of([float(s) for _, s, _ in configs]), of([h for *_, h in configs]))
+    out = out.select("key", "ts", *keep, tp.alias("tp"), sl.alias("sl"), hold.alias("hold"), "close", "found", F.element_at("__final", of([holds.index(h) + 1 for *_, h in configs])).alias("final"))
+    return out.select("key", "ts", *keep, "tp", "sl", "hold", *_named(c("found"), c("tp"), c("sl"), c("final"), c("close"), -1 if short else 1, timeout))
 
 
 def config_id() -> Column:

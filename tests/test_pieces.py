@@ -144,3 +144,45 @@ def test_regimes_of_a_long_series(spark):
 def test_nothing_in_pieces(spark):
     empty = spark.createDataFrame([], "key string, ts timestamp, x double")
     assert pieces.in_pieces(empty).isEmpty() and pieces.streaks(empty, a=F.col("x") > 0).isEmpty()
+
+
+@pytest.mark.parametrize("records", [7, 10_000])
+def test_barriers_by_a_loop_over_batches(spark, records):
+    """Keys that end inside a batch, or go on over many of them; a price that is missing; fewer bars than the horizon."""
+    from barloom.operators import labels
+
+    rng = random.Random(records)
+    data = []
+    for k, n in (("a", 150), ("b", 3), (None, 40), ("d", 1)):
+        price = 100.0
+        for i in range(n):
+            price += rng.gauss(0, 2)
+            data.append((k, START + timedelta(hours=i), price + rng.random() * 3 if i != 20 else None, price - rng.random() * 3, price))
+    bars = spark.createDataFrame(data, "key string, ts timestamp, high double, low double, close double").repartition(3)
+    configs = labels.grid([2, 5], [3], [4, 11])
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", records)
+    try:
+        for tie in ("sl", "tp"):
+            got = {(r.key, r.ts, r.tp, r.hold): (r.label, r.reason, r.exit_bar, r.pips) for r in labels.barrier_grid(bars, configs, tie=tie, timeout="mark").collect()}
+            assert len(got) == len(data) * 4
+            for k in ("a", "b", None, "d"):
+                own = [x for x in data if x[0] == k]
+                for i, (_, ts, _, _, close) in enumerate(own):
+                    for tp, sl, hold in configs:
+                        want = (0, "insufficient_data", None, None)
+                        if i + hold < len(own):
+                            mark = close - own[i + hold][4]
+                            want = (int(mark > 0), "timeout", hold, pytest.approx(mark))
+                            for j in range(1, hold + 1):
+                                _, _, high, low, _ = own[i + j]
+                                down, up = low <= close - tp, high is not None and high >= close + sl
+                                if down and (not up or tie == "tp"):
+                                    want = (1, "tp_hit", j, tp)
+                                elif up:
+                                    want = (0, "sl_hit", j, -sl)
+                                if down or up:
+                                    break
+                        assert got[k, ts, tp, hold] == want, (k, i, tp, hold, tie)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)

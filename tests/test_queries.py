@@ -8,7 +8,7 @@ import pytest
 from barloom.plans import registry
 
 DATA = "/root/testdata/sf0.001"
-PICKED = ["flagship", "f_exporter", "f_early", "early_pairs", "label_summary", "loss_report", "asof_user_prev_day", "f_adx", "f_percentiles", "f_ema_levels", "f_zscores_chunked", "mtf_features", "label_grid_stats", "nonoverlap_trades", "signals_15", "filter_combos", "profit_metrics", "classification_metrics", "param_patterns", "walk_forward_rows", "trade_decision", "feature_comparison", "filter_impact", "filter_comparison", "fold_thresholds", "improved_folds", "fixed_date_folds", "final_report", "f_zscores_user", "label_grid_user"]
+PICKED = ["flagship", "f_exporter", "f_early", "early_pairs", "label_summary", "loss_report", "asof_user_prev_day", "f_adx", "f_percentiles", "f_ema_levels", "f_zscores_chunked", "mtf_features", "label_grid_stats", "nonoverlap_trades", "signals_15", "filter_combos", "profit_metrics", "classification_metrics", "param_patterns", "walk_forward_rows", "trade_decision", "feature_comparison", "filter_impact", "filter_comparison", "fold_thresholds", "improved_folds", "fixed_date_folds", "final_report", "f_zscores_user", "label_grid_user", "permutation_mc", "bootstrap_mc", "filter_combos_all", "filter_dynamic", "filter_oos", "one_series_zscores", "one_series_crossovers", "one_series_label_grid", "one_series_regime_clusters", "matched_baseline", "matched_baseline_regime", "equity_curve", "threshold_sweep", "fold_ledger", "stream_asof_prev_day"]
 
 
 def plain(v):
