@@ -2,8 +2,7 @@
 
 A hash of the last 7 bytes, taken at every byte, ends a chunk where its low `level` bits are all ones. Chunks shorter than
 a quarter of the block size, 2**level bytes, go on, and those of four block sizes end, so that a signature has 16 to 256
-chunks for text of any kind. Each chunk's hash gives two characters of the signature, on its first occurrence: lines that
-repeat count once. The level follows from the length: about 32 to 64 chunks, from LEVEL on. A fingerprint is
+chunks for text of any kind. Each chunk's hash gives two characters of the signature, repeats too. The level follows from the length: about 32 to 64 chunks, from LEVEL on. A fingerprint is
 level:signature:signature at the next level. Two fingerprints are compared at the block size that both have, where levels
 are equal or differ by one: twice the longest common subsequence of chunks over the chunks in all, that is one minus their
 edit distance (insertions and deletions) by its largest value. Other levels give 0.
@@ -49,7 +48,7 @@ def _power(n: int) -> list[np.ndarray]:
 
 
 def _signature(prefix: np.ndarray, roll: np.ndarray, level: int, back: np.ndarray) -> str:
-    """Two characters for each different chunk. prefix[i]: sum of byte * base**position before i, of which chunks' sums
+    """Two characters for each chunk. prefix[i]: sum of byte * base**position before i, of which chunks' sums
     are differences, moved back to position 0."""
     n, block = roll.size, 1 << level
     mask = np.uint32(block - 1)
@@ -61,7 +60,7 @@ def _signature(prefix: np.ndarray, roll: np.ndarray, level: int, back: np.ndarra
     h = (prefix[cuts[1:]] - prefix[cuts[:-1]]) * back[cuts[:-1]]
     h ^= h >> np.uint64(29)
     h *= np.uint64(0xBF58476D1CE4E5B9)
-    return "".join([_PAIRS[i] for i in dict.fromkeys((h >> np.uint64(52)).tolist())])
+    return "".join([_PAIRS[i] for i in (h >> np.uint64(52)).tolist()])
 
 
 def fingerprint(text: str | None) -> str:

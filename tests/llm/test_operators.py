@@ -63,6 +63,13 @@ def test_fingerprint_likeness():
         assert len(fingerprints.fingerprint(t)) < 1200
 
 
+def test_likeness_counts_repeats():
+    """A text and the same text twice share half of the longer one's chunks: two thirds by edit distance."""
+    text = prose(random.Random(7), 300)
+    a, b = fingerprints.fingerprint(text), fingerprints.fingerprint(text + " " + text)
+    assert 0.5 < fingerprints.likeness(a, b) < 0.8
+
+
 def test_fingerprints_null_ids_and_empty(spark, empty):
     assert fingerprints.edited_and_next(empty).isEmpty()
     df = spark.createDataFrame([(None, "aaa"), (None, "b"), (5, "c")], "doc_id long, text string")
