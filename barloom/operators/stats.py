@@ -114,9 +114,10 @@ def exact_quantiles(df: DataFrame, columns: list[str], at: list[float], accuracy
     """
     margin = 2 / accuracy
     asked = sorted({min(1.0, max(0.0, q + d)) for q in at for d in (-margin, margin)})
-    sketch = df.agg(F.count(F.lit(1)), *(F.percentile_approx(c(x).cast("double"), F.array(*map(F.lit, asked)), accuracy).alias(x) for x in columns)).first()
-    low = lambda x, q: sketch[x][asked.index(max(0.0, q - margin))] if q > margin else float("-inf")
-    high = lambda x, q: sketch[x][asked.index(min(1.0, q + margin))] if q < 1 - margin else float("inf")
+    sketch = df.agg(*(F.count(x).alias(f"n {x}") for x in columns), *(F.percentile_approx(c(x).cast("double"), F.array(*map(F.lit, asked)), accuracy).alias(x) for x in columns)).first()
+    many = lambda x: sketch[f"n {x}"] > 10 * accuracy  # noqa: E731  the bracket of a few values is all of them
+    low = lambda x, q: sketch[x][asked.index(max(0.0, q - margin))] if many(x) and q > margin else float("-inf")
+    high = lambda x, q: sketch[x][asked.index(min(1.0, q + margin))] if many(x) and q < 1 - margin else float("inf")
     known = [x for x in columns if sketch[x]]
     own = df.sparkSession.createDataFrame([(x, q, low(x, q), high(x, q)) for x in known for q in at], "feature string, q double, low double, high double")
     long = df.select(*(c(x).cast("double").alias(x) for x in known)).unpivot([], known, "name", "value").filter("value is not null") if known else df.select(F.lit("").alias("name"), F.lit(0.0).alias("value")).limit(0)
