@@ -12,8 +12,8 @@ the anchor's own label, and, once the positives are known, its best NEGATIVES sc
 are exact, as what is first in the whole table is first in its cell as well.
 
 Cases: rows with null label, null vector or a null or non-finite component take no part; a shorter vector counts as padded with
-zeros; rows that agree in id, label and vector count once, and rows of an anchor's own id aren't its partners, but
-partners of its twins' windows alike (an id with different vectors is an anchor once for each); null ids are partners that
+zeros; rows that agree in id, label and vector count once; rows of an anchor's own id aren't its partners, and an id
+with different vectors is an anchor once for each; null ids are partners that
 come last among equal scores, but no anchors; ties are settled by id, then by a hash of label and vector; an empty table gives an
 empty result; other columns play no part. A negative positive_score has no window, and one of 0 takes scores of 0. Products are
 exact: in double precision below 2 ** 53, otherwise in Python's integers, held inside 64 bits.
