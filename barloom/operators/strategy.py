@@ -85,6 +85,77 @@ def trade_key(*identity: str | Column, seed: int = 1) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), *identity), F.lit(PRIME))
 
 
+class _Simulator:
+    """Numbers and orders of a block's trades, `step` simulations at a time, in buffers that are used again.
+
+    PRIME is 2 ** 31 - 1, so that a remainder by it is the sum of the lower 31 bits and those above them. An order is a sort of words of 32 bits,
+    the upper bits of a number and the trade's place; the few that agree in these upper bits are put in order by whole numbers.
+    """
+
+    def __init__(self, key: np.ndarray, step: int) -> None:
+        self.bits = max(1, (key.size - 1).bit_length())
+        # The second sum is of what is PRIME less than needed, so that its square fits in 64 bits.
+        self.first, self.second = key * 48_271 + 11, key - (PRIME << 31)
+        self.held, self.carry = np.empty((2, step, key.size), np.int64)
+        self.words, self.place = np.empty((step, key.size), np.uint32), np.arange(key.size, dtype=np.uint32)
+
+    def numbers(self, lo: int, hi: int) -> np.ndarray:
+        """scrambled(key, sim) + 1 for the simulations from lo to hi, a row each; good until the next call."""
+        sims, y, t = np.arange(lo, hi, dtype=np.int64)[:, None], self.held[: hi - lo], self.carry[: hi - lo]
+        np.add(self.first, sims * 69_621, out=y)
+        for more in (self.second, sims + (1 << 31), None):
+            np.right_shift(y, 31, out=t)
+            np.bitwise_and(y, PRIME, out=y)
+            np.add(y, t, out=y)
+            if more is not None:
+                np.multiply(y, y, out=y)
+                np.add(y, more, out=y)
+        np.right_shift(y, 31, out=t)  # one more than the sum is here, by 1 << 31 above, and two where the sum isn't below PRIME
+        np.add(y, t, out=y)
+        return np.bitwise_and(y, PRIME, out=y)
+
+    def places(self, lo: int, hi: int) -> np.ndarray:
+        """The places of the trades in order of (number, place)."""
+        y, bits = self.numbers(lo, hi), self.bits
+        if bits > 16:
+            return np.argsort(y, axis=1, kind="stable")
+        w = self.words[: hi - lo]
+        np.right_shift(y, bits - 1, out=self.carry[: hi - lo])
+        np.copyto(w, self.carry[: hi - lo], casting="unsafe")
+        np.left_shift(w, bits, out=w)
+        np.bitwise_or(w, self.place, out=w)
+        w.sort(axis=1)
+        flat = w.ravel()
+        at = np.flatnonzero((flat[1:] ^ flat[:-1]) < 1 << bits)
+        if at.size:
+            both = np.unique(np.concatenate([at, at + 1]))
+            row, held = both // w.shape[1], flat[both]
+            place = held & ((1 << bits) - 1)
+            flat[both] = held[np.lexsort((place, y[row, place], row))]
+        return np.bitwise_and(w, (1 << bits) - 1, out=w)
+
+
+#: Trades of a stretch of a path.
+STRETCH = 8
+
+
+def _summaries(path: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(sum, highest, lowest point, deepest fall) of each row of steps, of which there are a multiple of STRETCH: those of the stretches, combined."""
+    parts = path.reshape(len(path), -1, STRETCH)
+    total = parts[:, :, 0].copy()
+    top, low, fall, here = total.copy(), total.copy(), np.zeros_like(total), np.empty_like(total)
+    for k in range(1, STRETCH):
+        np.add(total, parts[:, :, k], out=total)
+        np.maximum(top, total, out=top)
+        np.minimum(low, total, out=low)
+        np.maximum(fall, np.subtract(top, total, out=here), out=fall)
+    start = np.cumsum(total, axis=1) - total
+    peak = np.maximum.accumulate(start + top, axis=1)
+    low += start
+    deep = np.maximum(fall[:, 1:], peak[:, :-1] - low[:, 1:]).max(axis=1, initial=0)  # from the peak of earlier stretches
+    return start[:, -1] + total[:, -1], peak[:, -1], low.min(axis=1), np.maximum(deep, fall[:, 0])
+
+
 def _path_summaries(by: list[str], n: int, replace: bool):
     """Of a block's trades: for each simulation the sum of its path, its highest and lowest point and its deepest fall."""
 
@@ -92,14 +163,14 @@ def _path_summaries(by: list[str], n: int, replace: bool):
         own = own.sort_values(["trade", "x"])
         key, x = own["trade"].to_numpy(np.int64), own["x"].to_numpy(float)
         out = np.empty((4, n))
-        step = max(1, (1 << 18) // max(1, x.size))
+        step = min(n, max(1, (1 << 17) // x.size))
+        draws, paths = _Simulator(key, step), np.zeros((step, -(-x.size // STRETCH) * STRETCH))
         for lo in range(0, n, step):
-            sims = np.arange(lo, min(n, lo + step), dtype=np.int64)[:, None]
-            h = scrambled(key[None, :], sims)
-            path = x[h % x.size] if replace else x[np.argsort(h, axis=1, kind="stable")]
-            path = np.cumsum(path, axis=1)
-            fall = np.maximum.accumulate(path, axis=1) - path
-            out[:, lo : lo + step] = path[:, -1], path.max(axis=1), path.min(axis=1), fall.max(axis=1)
+            hi = min(n, lo + step)
+            at = (draws.numbers(lo, hi) - 1) % x.size if replace else draws.places(lo, hi)
+            path = paths[: hi - lo]  # steps of 0 at the end change nothing
+            path[:, : x.size] = x.take(at, mode="clip")
+            out[:, lo:hi] = _summaries(path)
         first = {b: [own[b].iloc[0]] * n for b in by}
         return pd.DataFrame(first | {"block": own["block"].iloc[0], "sim": np.arange(n), "total": out[0], "top": out[1], "low": out[2], "fall": out[3]})
 

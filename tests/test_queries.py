@@ -131,6 +131,46 @@ def test_resample_against_brute_force(spark, replace, block):
     assert got == want
 
 
+def test_simulations_in_buffers():
+    """Numbers and orders as by remainders and a stable sort, also at the ends of the range, of equal keys and of keys that agree in their
+    upper bits; paths' summaries in stretches; and all of it in less time than the remainders and the sort alone."""
+    import time
+
+    import numpy as np
+    import pandas as pd
+
+    from barloom.operators import strategy
+
+    p, rng = strategy.PRIME, np.random.default_rng(3)
+    ends = np.concatenate([np.arange(40), np.arange(40), p - 1 - np.arange(40)])
+    for key in (ends, rng.integers(0, p, 2048), rng.integers(0, p, 9000), rng.integers(0, p, 70_000), np.zeros(300, int), np.array([5])):
+        key = np.sort(key.astype(np.int64))
+        draws = strategy._Simulator(key, 16)
+        for lo, hi in ((0, 16), (16, 21), (999_990, 1_000_003)):
+            want = strategy.scrambled(key[None, :], np.arange(lo, hi)[:, None])
+            assert (draws.numbers(lo, hi) - 1 == want).all() and (draws.places(lo, hi) == np.argsort(want, axis=1, kind="stable")).all()
+    key, x = rng.integers(0, p, 2048), rng.integers(-40, 100, 2048).astype(float)
+    for m in (1, 15, 16, 17, 500):
+        path = rng.integers(-40, 41, (50, m)).astype(float)
+        run = np.cumsum(path, axis=1)
+        want = run[:, -1], run.max(axis=1), run.min(axis=1), (np.maximum.accumulate(run, axis=1) - run).max(axis=1)
+        assert np.array_equal(strategy._summaries(np.pad(path, ((0, 0), (0, -m % strategy.STRETCH)))), want)
+    own = pd.DataFrame({"g": "a", "block": 0, "trade": key, "x": x})
+    least = lambda f: min(f() for _ in range(3))
+
+    def by_run() -> float:
+        began = time.perf_counter()
+        strategy._path_summaries(["g"], 200, False)(own)
+        return time.perf_counter() - began
+
+    def by_sorting_places() -> float:
+        began = time.perf_counter()
+        np.argsort(strategy.scrambled(key[None, :], np.arange(200)[:, None]), axis=1, kind="stable")
+        return time.perf_counter() - began
+
+    assert least(by_run) < 0.7 * least(by_sorting_places)
+
+
 def test_reordering_of_one_block_is_uniform():
     """Every place of a path holds every trade about equally often."""
     import numpy as np
