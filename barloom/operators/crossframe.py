@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from barloom.functions import windows as w
 
 from . import asof, features
-from .features import over, regime_of, sign
+from .features import beyond, over, regime_of, sign
 
 c, flag = F.col, w.flag
 
@@ -22,7 +22,7 @@ def slow_features(slow: DataFrame) -> DataFrame:
     out = out.withColumns({
         "touched_upper_bb": flag(c("high") >= c("upper_band")), "rsi_overbought": flag(c("rsi_value") >= 70), "rsi_extreme": flag(c("rsi_value") >= 80), "rsi_oversold": flag(c("rsi_value") <= 30), "bearish_candle": flag(down), "bullish_candle": flag(c("close") > c("open")), "strong_bearish": flag(down & (c("candle_body_pct") > 0.6)), "bb_very_high": flag(c("bb_position") > 0.95), "bb_high": flag(c("bb_position") >= 0.8), "bb_low": flag(c("bb_position") <= 0.2),
         "rsi_slope_3": w.slope("rsi_value", 3), "rsi_slope_5": w.slope("rsi_value", 5), **{f"price_roc_{k}": w.change("close", k) for k in (3, 5, 10)}, "bb_position_slope_3": w.slope("bb_position", 3), "volume_slope_3": w.slope("volume_ratio", 3), "dist_from_ma10": w.safe_div(c("close") - ma10, ma10), "dist_from_ma20": w.safe_div(c("close") - ma20, ma20), "overextension": w.safe_div(c("close") - c("middle_band"), "middle_band"),
-        "atr_percentile": rank, "bb_squeeze": flag(c("bb_width_pct") < w.quantile("bb_width_pct", 0.2, 20)), "volatility_regime": regime_of(rank), "trend_direction": sign(c("close") - ma20), "near_d1_high": flag(c("close") > w.high("close", 20) * 0.98), "shooting_star": flag((c("candle_rejection") > 0.6) & (c("candle_body_pct") < 0.3) & down),
+        "atr_percentile": rank, "bb_squeeze": flag(c("bb_width_pct") < w.quantile("bb_width_pct", 0.2, 20)), "volatility_regime": regime_of(rank), "trend_direction": sign(beyond("close", ma20)), "near_d1_high": flag(c("close") > w.high("close", 20) * 0.98), "shooting_star": flag((c("candle_rejection") > 0.6) & (c("candle_body_pct") < 0.3) & down),
         "bearish_divergence": flag((c("close") > w.lag("close", 5)) & (c("rsi_value") < w.lag("rsi_value", 5))), "price_zscore": w.zscore("close", 20), "rsi_zscore": w.zscore("rsi_value", 20),
     })
     return out.withColumns({"is_trending_up": flag(c("trend_direction") > 0), "is_trending_down": flag(c("trend_direction") < 0)})

@@ -76,6 +76,12 @@ def sign(x: Column) -> Column:
     return F.coalesce(F.signum(x), F.lit(0.0))
 
 
+def beyond(x: str, level: Column) -> Column:
+    """x less a mean of prices, 0 where they differ by the rounding of the mean's sum only: a price may well be the mean of its window."""
+    away = c(x) - level
+    return F.when(F.abs(away) <= 1e-12 * (F.abs(c(x)) + F.abs(level)), 0.0).otherwise(away)
+
+
 def base() -> list[Layer]:
     """Indicators that bars may lack: RSI and ATR (14, simple means), bands (20, 2), volume ratio, trend strength, candles."""
     gain, loss = F.greatest(c("__d"), F.lit(0.0)), F.greatest(-c("__d"), F.lit(0.0))
@@ -224,7 +230,7 @@ def adx(n: int = 14) -> list[Layer]:
         {"plus_di": over(100 * c("__pu"), "__atr"), "minus_di": over(100 * c("__pd"), "__atr")},
         {"__dx": over(100 * F.abs(c("plus_di") - c("minus_di")), c("plus_di") + c("minus_di")), "di_diff": c("plus_di") - c("minus_di"), "di_ratio": c("plus_di") / (c("minus_di") + 0.001)},
         {"adx": mean("__dx", n)},
-        {"adx_slope": diff("adx", 3), "is_trending": flag(c("adx") > 25), "is_ranging": flag(c("adx") < 20), "trend_direction_h4": sign(c("close") - mean("close", 20))},
+        {"adx_slope": diff("adx", 3), "is_trending": flag(c("adx") > 25), "is_ranging": flag(c("adx") < 20), "trend_direction_h4": sign(beyond("close", mean("close", 20)))},
     ]
 
 
@@ -251,7 +257,7 @@ def volatility_expanded() -> list[Layer]:
 def reversion() -> list[Layer]:
     return [
         {f"ma_{n}": mean("close", n) for n in (10, 20, 50)},
-        {**{f"dist_from_ma{n}": safe(c("close") - c(f"ma_{n}"), f"ma_{n}") for n in (10, 20, 50)}, "overextension": safe(c("close") - c("middle_band"), "middle_band"), "reversion_probability": clip(1 - c("bb_position"), 0.0, 1.0), "price_above_ma20": flag(c("close") > c("ma_20")), "price_above_ma50": flag(c("close") > c("ma_50")), "all_ma_bullish": flag((c("close") > c("ma_20")) & (c("ma_20") > c("ma_50"))), "ma20_slope": w.change("ma_20", 5), "ma50_slope": w.change("ma_50", 10), "is_volatile": flag(c("atr_pct") > mean("atr_pct", 50) * 1.5), "trend_direction": F.signum(c("close") - c("ma_50"))},
+        {**{f"dist_from_ma{n}": safe(c("close") - c(f"ma_{n}"), f"ma_{n}") for n in (10, 20, 50)}, "overextension": safe(c("close") - c("middle_band"), "middle_band"), "reversion_probability": clip(1 - c("bb_position"), 0.0, 1.0), "price_above_ma20": flag(c("close") > c("ma_20")), "price_above_ma50": flag(c("close") > c("ma_50")), "all_ma_bullish": flag((c("close") > c("ma_20")) & (c("ma_20") > c("ma_50"))), "ma20_slope": w.change("ma_20", 5), "ma50_slope": w.change("ma_50", 10), "is_volatile": flag(c("atr_pct") > mean("atr_pct", 50) * 1.5), "trend_direction": F.signum(beyond("close", c("ma_50")))},
         {"mean_reversion_score": c("dist_from_ma20") * c("rsi_value") / 100, "overextension_20": F.greatest(c("dist_from_ma20"), F.lit(0.0)), "extreme_overextension": flag(c("dist_from_ma20") > w.quantile("dist_from_ma20", 0.95, 100))},
     ]
 

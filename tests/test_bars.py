@@ -218,3 +218,24 @@ def test_empty_frames(spark):
     assert features.add(empty, "base", "adx", "streaks").isEmpty()
     assert labels.barrier(empty, 1, 1, 3).isEmpty()
     assert asof.previous_day(empty, empty).isEmpty()
+
+
+def test_direction_of_a_price_at_its_mean(spark):
+    """A close that is exactly the mean of its window has no direction, whatever the mean's sum is rounded to."""
+    from datetime import datetime, timedelta
+    from fractions import Fraction
+
+    from barloom.operators import crossframe, features
+
+    rows, want = [], {}
+    for k in range(40):
+        closes = [Fraction((i * i * 7919 + k * 104_729) % 9973, 100) for i in range(19)]
+        closes.append(sum(closes) / 19)  # the mean of all 20
+        closes[-1] += Fraction(k % 3 - 1, 10**6) if k % 2 else 0
+        want[str(k)] = float((closes[-1] > sum(closes) / 20) - (closes[-1] < sum(closes) / 20))
+        rows += [(str(k), datetime(2024, 1, 1) + timedelta(days=i), *[float(x)] * 4, 1) for i, x in enumerate(closes)]
+    df = spark.createDataFrame(rows, "key string, ts timestamp_ntz, open double, high double, low double, close double, volume long")
+    last = datetime(2024, 1, 20)
+    fast = {r.key: r.trend_direction_h4 for r in features.add(df, "adx").filter(f"ts = timestamp_ntz'{last}'").collect()}
+    slow = {r.key: r.trend_direction for r in crossframe.slow_features(df).filter(f"ts = timestamp_ntz'{last}'").collect()}
+    assert fast == slow == want and {-1.0, 0.0, 1.0} == set(want.values())
