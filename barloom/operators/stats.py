@@ -119,15 +119,14 @@ def exact_quantiles(df: DataFrame, columns: list[str], at: list[float], accuracy
     low = lambda x, q: sketch[x][asked.index(max(0.0, q - margin))] if many(x) and q > margin else float("-inf")
     high = lambda x, q: sketch[x][asked.index(min(1.0, q + margin))] if many(x) and q < 1 - margin else float("inf")
     known = [x for x in columns if sketch[x]]
-    own = df.sparkSession.createDataFrame([(x, q, low(x, q), high(x, q)) for x in known for q in at], "feature string, q double, low double, high double")
+    own = df.sparkSession.createDataFrame([(x, q, low(x, q), high(x, q), sketch[f"n {x}"]) for x in known for q in at], "feature string, q double, low double, high double, size long")
     long = df.select(*(c(x).cast("double").alias(x) for x in known)).unpivot([], known, "name", "value").filter("value is not null") if known else df.select(F.lit("").alias("name"), F.lit(0.0).alias("value")).limit(0)
     # A row for each column and share: broadcast.
     met = long.join(F.broadcast(own), (c("name") == c("feature")) & (c("value") <= c("high")))
     inside = F.when(c("value") >= c("low"), c("value"))
-    cells = met.groupBy("feature", "q", inside.alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    sizes = long.groupBy("name").agg(F.count(F.lit(1)).alias("size"))
+    cells = met.groupBy("feature", "q", "size", inside.alias("value")).agg(F.count(F.lit(1)).alias("n"))
     upto = F.sum("n").over(Window.partitionBy("feature", "q").orderBy(F.asc_nulls_first("value")))
-    ranked = cells.withColumn("upto", upto).join(F.broadcast(sizes), c("feature") == c("name")).withColumn("rank", c("q") * (c("size") - 1))
+    ranked = cells.withColumn("upto", upto).withColumn("rank", c("q") * (c("size") - 1))
     first = F.min(F.when(c("upto") > F.floor("rank"), c("value")))
     then = F.min(F.when(c("upto") > F.ceil("rank"), c("value")))
     return ranked.groupBy("feature", "q").agg((first + (then - first) * (F.max("rank") - F.floor(F.max("rank")))).alias("value"))

@@ -135,9 +135,9 @@ _dynamic = [f"SELECT '{f}' AS feature, '{op}' AS op, {q}::DOUBLE AS cut, round(c
 
 def _filter_dynamic(t: DataFrame) -> DataFrame:
     rules = trades.dynamic_rules(t, FEATURES, _cuts)
-    names = [(str(i), r.feature, r.op, _cuts[i // 2 % len(_cuts)], float(r.value)) for i, r in enumerate(rules)]
-    named = t.sparkSession.createDataFrame(names, "id string, feature string, op string, cut double, value double")
-    return trades.impact(t, {str(i): [r] for i, r in enumerate(rules)}, 100, 40).join(named, F.col("rule") == F.col("id")).select("feature", "op", "cut", "value", "n_after")
+    names = [(i, r.feature, r.op, _cuts[i // 2 % len(_cuts)], float(r.value)) for i, r in enumerate(rules)]
+    named = t.sparkSession.createDataFrame(names, "id int, feature string, op string, cut double, value double")
+    return trades.kept(t, rules).join(named, F.col("rule") == F.col("id")).select("feature", "op", "cut", "value", F.col("n").alias("n_after"))
 
 
 query("filter_dynamic", " UNION ALL ".join(_dynamic))(_filter_dynamic)

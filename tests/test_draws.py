@@ -61,3 +61,17 @@ def test_signatures_of_rules_in_several_words(spark):
         count = lambda rows, what: sum(x[2] == what for x in rows)
         assert (r.n_before, r.wins_before, r.losses_before, r.pips_before) == (len(own), count(own, "WIN"), count(own, "LOSS"), sum(x[3] for x in own))
         assert (r.n_after, r.wins_after, r.losses_after, r.pips_after) == (len(kept), count(kept, "WIN"), count(kept, "LOSS"), sum(x[3] for x in kept))
+
+
+def test_trades_kept_by_each_rule(spark):
+    """As many as the impact of each rule alone, nulls, repeated rules and unknown columns too, from one scan that copies no trade."""
+    from barloom.operators import trades
+    from barloom.operators.trades import Rule
+
+    rows = [(float(i % 13) if i % 7 else None, i % 3, "WIN" if i % 2 else "LOSS", 1.0) for i in range(500)]
+    df = spark.createDataFrame(rows, "a double, b int, outcome string, pips_result double").repartition(3)
+    rules = [Rule("a", op, v) for v in (0.0, 4.0, 12.0, 40.0) for op in (">=", "<", "==")] + [Rule("b", "==", 1), Rule("c", ">=", 1), Rule("b", "==", 1)]
+    want = {int(r.rule): r.n_after for r in trades.impact(df, {str(i): [r] for i, r in enumerate(rules)}, 100, 40).collect()}
+    got = trades.kept(df, rules)
+    assert {r.rule: r.n for r in got.collect()} == want and len(want) == len(rules)
+    assert trades.kept(df.limit(0), rules).filter("n = 0").count() == len(rules)
