@@ -43,6 +43,18 @@ def cross_features(joined: DataFrame, weights: tuple[float, float, float, float]
     return out.withColumns({"mtf_confluence_score": score, "d1_neutral": flag((c("d1_supports_short") == 0) & (c("d1_opposes_short") == 0)), "mtf_strong_short_setup": flag((c("rsi_value") >= 70) & (c("d1_rsi_value") >= 70) & (score >= 0.5))})
 
 
+#: What cross_features reads of a fast row and of its slow one.
+CROSS_FAST = ["open", "high", "low", "close", "rsi_value", "bb_position", "trend_strength", "atr_pct", "trend_direction_h4", "price_slope_3"]
+CROSS_SLOW = ["open", "high", "low", "close", "rsi_value", "bb_position", "trend_strength", "atr_pct", "trend_direction", "price_roc_3"]
+
+
+def joined(fast: DataFrame, slow: DataFrame, fast_names: list[str], slow_names: list[str], *families: str) -> DataFrame:
+    """Only the fast features named and the previous day's slow ones (as d1_...): the join packs rows, so that Spark can't leave out unread
+    columns by itself, and tasks would sort all of them."""
+    ready = features.add(fast, *dict.fromkeys(("base", *families))).select("key", "ts", *fast_names)
+    return asof.previous_day(ready, slow_features(slow).select("key", "ts", *slow_names))
+
+
 def merged(fast: DataFrame, slow: DataFrame, *families: str) -> DataFrame:
     """Fast features, the previous day's slow features and the cross features in one frame."""
     ready = features.add(fast, *dict.fromkeys(("base", "adx", "slopes", *families)))

@@ -10,6 +10,11 @@ from barloom.functions import windows as w
 c = F.col
 
 
+#: What signals read of a fast row and of its slow one.
+FAST = ["high", "close", "rsi_value", "bb_position", "bb_width_pct", "upper_band", "lower_band"]
+SLOW = ["trend_strength", "rsi_value", "bb_position"]
+
+
 def prepare(df: DataFrame) -> DataFrame:
     """What the signals read beyond base indicators, on a merged frame."""
     hour = F.hour("ts")

@@ -76,7 +76,8 @@ def _merged() -> list[str]:
 
 @query("mtf_features", t.query(_merged(), f"SELECT key, {STAMP} AS ts, " + ", ".join(k if t.layers_flag(CROSS, k) else t.rounded(k) for k in _cross_names) + " FROM merged"))
 def mtf_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shown(crossframe.merged(fast(spark, sf_dir), slow(spark, sf_dir)), ["key", "ts", *_cross_names])
+    both = crossframe.joined(fast(spark, sf_dir), slow(spark, sf_dir), crossframe.CROSS_FAST, crossframe.CROSS_SLOW, "adx", "slopes")
+    return shown(crossframe.cross_features(both), ["key", "ts", *_cross_names])
 
 
 _early_pairs = {
@@ -230,7 +231,7 @@ def signals_15(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("signals_31", t.query([*_merged(), *t.stack("merged", _sig, "g")[0], _fired("g2", _ONE | _TWO)], f"SELECT key, {STAMP} AS ts, signal, direction FROM fired"))
 def signals_31(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ready = signals.prepare(crossframe.merged(fast(spark, sf_dir), slow(spark, sf_dir)))
+    ready = signals.prepare(crossframe.joined(fast(spark, sf_dir), slow(spark, sf_dir), signals.FAST, signals.SLOW))
     return shown(signals.evaluate(ready, signals.single_frame() | signals.two_frames()))
 
 

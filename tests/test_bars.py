@@ -239,3 +239,17 @@ def test_direction_of_a_price_at_its_mean(spark):
     fast = {r.key: r.trend_direction_h4 for r in features.add(df, "adx").filter(f"ts = timestamp_ntz'{last}'").collect()}
     slow = {r.key: r.trend_direction for r in crossframe.slow_features(df).filter(f"ts = timestamp_ntz'{last}'").collect()}
     assert fast == slow == want and {-1.0, 0.0, 1.0} == set(want.values())
+
+
+def test_signals_sort_only_what_they_read(spark):
+    """The rows that the join of frames packs and sorts hold the columns that are read, and the signals are those of all columns."""
+    from barloom.operators import crossframe, signals
+    from barloom.plans import feature_queries as fq
+    from barloom.plans import registry
+
+    data = "/root/testdata/sf0.001"
+    got = registry.QUERIES["signals_31"](spark, data)
+    both = crossframe.joined(fq.fast(spark, data), fq.slow(spark, data), signals.FAST, signals.SLOW)
+    assert both.columns == ["key", "ts", *signals.FAST, "d1_ts", *(f"d1_{x}" for x in signals.SLOW)]
+    every = fq.shown(signals.evaluate(signals.prepare(crossframe.merged(fq.fast(spark, data), fq.slow(spark, data))), signals.single_frame() | signals.two_frames()))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, every.collect()))
