@@ -481,3 +481,18 @@ def test_chat_long_conversation(spark):
     df = spark.range(n).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.lit("user").alias("role"), F.concat(F.lit("t"), "id").alias("text"))
     df = df.unionByName(df.filter(F.col("turn") < n - 1).withColumn("conv_id", F.lit(2).cast("long")))
     assert [(r.conv_id, r.n_turns) for r in chat.collapse(df).collect()] == [(1, n)]
+
+
+def test_distinct_pairs_as_by_unique():
+    """Pairs, places and counts of one packed sort are those of np.unique, which is left for what doesn't fit."""
+    import numpy as np
+
+    from barloom.llm import repair
+
+    rng = np.random.default_rng(2)
+    by_unique = lambda a, b: np.unique(a.astype(np.uint64) << np.uint64(32) | b, return_inverse=True, return_counts=True)
+    for n, ids in ((0, 5), (1, 1), (1, 2), (1000, 2), (5000, 70), (300_000, 60_000), (1000, 1 << 27), (1000, 1 << 32)):
+        a, b = (rng.integers(0, ids, n, dtype=np.uint32) for _ in "ab")
+        if n:
+            a[0] = b[0] = ids - 1
+        assert all(np.array_equal(x, y) for x, y in zip(repair.distinct(a, b, ids), by_unique(a, b)))
