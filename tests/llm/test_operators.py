@@ -464,6 +464,51 @@ def test_toxicity_learns_and_leaves_out_held_rows(spark, empty):
     assert toxicity.score(empty, None).isEmpty()
 
 
+@pytest.mark.parametrize("shard", [toxicity.SHARD, 900])
+def test_toxicity_learns_from_every_labelled_row(spark, monkeypatch, shard):
+    monkeypatch.setattr(toxicity, "SHARD", shard)
+    rng = random.Random(3)
+    ids = spark.range(7600).selectExpr("id", "xxhash64(id) as h", "pmod(crc32(cast(cast(id as string) as binary)), 4) = 2 as held").collect()
+    toxic = sorted((r for r in ids if r.id % 2 and not r.held), key=lambda r: (r.h, r.id))
+    late = {r.id for r in toxic[2500:]} | {r.id for r in ids if r.held and r.id % 4 == 1}  # after the first 2,500 of the label by hash
+    word = lambda i: "scumbag" if i in late else "vermin" if i % 2 else "lovely"
+    df = spark.createDataFrame([(r.id, f"{prose(rng, 6)} {word(r.id)} {prose(rng, 6)}") for r in ids], "doc_id long, text string")
+    labels = spark.createDataFrame([(r.id, r.id % 2) for r in ids], "doc_id long, toxic int")
+    held = [r for r in toxicity.score(df, toxicity.fit(df, labels)).collect() if r.held_out]
+    for some in (late, {r.doc_id for r in held} - late):
+        own = [r for r in held if r.doc_id in some]
+        assert len(own) > 200 and sum(r.predicted == r.doc_id % 2 for r in own) / len(own) > 0.95
+
+
+def test_toxicity_of_one_label_and_of_few_rows(spark):
+    df = spark.createDataFrame([(i, "you scumbag" if i % 2 else None) for i in range(8)], "doc_id long, text string")
+    labels = df.selectExpr("doc_id", "cast(doc_id % 2 as int) as toxic")
+    assert toxicity.fit(df, labels.filter("toxic = 0")) is None
+    assert len(toxicity.score(df, toxicity.fit(df, labels)).collect()) == 8
+
+
+def test_words_score_alike_in_any_company():
+    for w in ("abc", "scumbags", "Größenwahn", "a\ud800bcdefghi", "naïveté"):
+        parts = [w, *(f"^{w[:k]}" if len(w) > k else "" for k in toxicity.BEGINNINGS)]
+        assert toxicity.features(w) == [1 + zlib.crc32(x.encode("utf-8", "replace")) % (toxicity.ROWS - 1) if x else 0 for x in parts]
+    rng = random.Random(5)
+    model = toxicity.Model(toxicity.Weights.first())
+    model.shifts[-1] = 0.0
+    text = prose(rng, 90)
+    alone = model.score(text)
+    model.score(prose(rng, 500))
+    model.score(text[:200])
+    assert model.score(text) == alone
+    model._words = None
+    model.score(prose(rng, 3) + " " + text)
+    assert model.score(text) == alone
+
+
+def test_best_cut_by_bins():
+    assert toxicity.best_cut([(2.0, 2.5, 3, 3), (0.0, 0.25, 1, 1), (-1.0, -1.0, 5, 0)]) == -0.5
+    assert toxicity.best_cut([(2.0, 2.5, 3, 3), (-1.0, -1.0, 50, 1)]) == 0.5
+
+
 def test_chat_snapshots(spark):
     turns = [("user", "hi"), ("assistant", "yes"), ("user", "more"), ("assistant", "end")]
     data = [(c, k, *turns[k]) for c, n in ((1, 4), (2, 2), (3, 4), (4, 1)) for k in range(n)]
