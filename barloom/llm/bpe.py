@@ -27,17 +27,18 @@ from sys import byteorder
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import parts
+from .common import AT_ONCE
 
 #: Characters of a piece; texts of up to twice as many are encoded at once.
 PIECE = 16_384
 #: First window on either side of a join, in characters.
 MARGIN = 64
-#: Pretokens whose ids a worker remembers, and as many older ones.
-REMEMBERED = 500_000
+#: Pretokens whose ids a worker remembers, and as many older ones; FEWER where batches of texts lie beside them.
+REMEMBERED, FEWER = 500_000, 100_000
 
 # The letters of the fast pattern, and the contractions of the vocabulary's own pattern.
 LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
@@ -49,9 +50,10 @@ ODD = re.compile(rf"[^\t-\r -~{LETTERS}]")
 class Tokenizer(dict):
     """The library's tokenizer with a table of pretoken -> ids as little-endian 32-bit bytes."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, remembered: int = REMEMBERED) -> None:
         import tokenizers
 
+        self.remembered = remembered
         self.library = tokenizers.Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
@@ -66,7 +68,7 @@ class Tokenizer(dict):
         self._older: dict[str, bytes] = {}
 
     def __missing__(self, pretoken: str) -> bytes:
-        if len(self) >= REMEMBERED:  # what is met again is taken over from the older half
+        if len(self) >= self.remembered:  # what is met again is taken over from the older half
             self._older = dict(self)
             self.clear()
         found = self[pretoken] = self._older.get(pretoken) or self.pretoken(pretoken)
@@ -76,6 +78,7 @@ class Tokenizer(dict):
         """Empty the table: a worker that waits for other tasks holds no more than the library's tokenizer."""
         self.clear()
         self._older = {}
+        pa.default_memory_pool().release_unused()
 
     def pretoken(self, text: str) -> bytes:
         """Ids of one pretoken by the library's model alone, which takes bytes as printable characters."""
@@ -218,9 +221,9 @@ class Tokenizer(dict):
 
 
 @lru_cache(maxsize=2)
-def tokenizer(path: str) -> Tokenizer:
+def tokenizer(path: str, remembered: int = REMEMBERED) -> Tokenizer:
     """One for each worker process, kept between its tasks, but for its table where a task forgets it."""
-    return Tokenizer(path)
+    return Tokenizer(path, remembered)
 
 
 def _digests(t: Tokenizer, ids: bytes) -> tuple[int, str, str]:
@@ -235,32 +238,40 @@ def encode(docs: DataFrame, path: str, *, id_col: str = "doc_id", text: str = "t
     own = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     schema = "doc_id string, " + ("n_tokens long, ids_sha256 string, decoded_sha256 string" if digest else "ids binary")
 
+    names = [c.split()[0] for c in schema.split(", ")]
+
     def rows(t: Tokenizer, ids: Iterable, encoded: Iterable[bytes]) -> pd.DataFrame:
         if not digest:
             return pd.DataFrame({"doc_id": pd.Series(ids, dtype=object), "ids": pd.Series(list(encoded), dtype=object)})
         found = [_digests(t, x) for x in encoded]
         return pd.DataFrame({"doc_id": pd.Series(ids, dtype=object), "n_tokens": [x[0] for x in found], "ids_sha256": [x[1] for x in found], "decoded_sha256": [x[2] for x in found]})
 
-    def short(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        t = tokenizer(path)
-        for b in parts(batches):
-            yield rows(t, list(b["doc_id"]), map(t.encode, b["text"]))
+    def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = tokenizer(path, FEWER)
+        for b in batches:
+            for i in range(0, b.num_rows, AT_ONCE):  # of a batch of texts only so many are Python's strings at once
+                ids, text = b.slice(i, AT_ONCE).columns
+                encoded = [t.encode(x) for x in text.to_pylist()]
+                columns = [pa.array(encoded, pa.binary())]
+                if digest:
+                    columns = [pa.array(x, kind) for x, kind in zip(zip(*(_digests(t, x) for x in encoded)), (pa.int64(), pa.string(), pa.string()))]
+                yield pa.RecordBatch.from_arrays([ids, *columns], names=names)
         t.forget()
 
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        t = tokenizer(path)
+        t = tokenizer(path, FEWER)
         for b in batches:
             found = [t.piece(x) for x in b["text"]]
             yield b.assign(ids=[x[0].tobytes() for x in found], starts=[x[1].astype("<i4").tobytes() for x in found])
 
     def joined(group: pd.DataFrame) -> pd.DataFrame:
-        t = tokenizer(path)
+        t = tokenizer(path, FEWER)
         group = group.sort_values("part")
         encoded = [(np.frombuffer(a, "<u4"), np.frombuffer(b, "<i4").astype(np.int64)) for a, b in zip(group["ids"], group["starts"])]
         return rows(t, [group["doc_id"].iloc[0]], [t.tree(list(group["text"]), encoded).tobytes()])
 
     long = F.length("text") > 2 * piece
-    at_once = own.filter(~long).mapInPandas(short, schema)
+    at_once = own.filter(~long).mapInArrow(short, schema)
     cut = own.filter(long).withColumn("row", F.monotonically_increasing_id())
     cut = cut.withColumn("part", F.explode(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / piece).cast("int"))))
     cut = cut.select("doc_id", "row", "part", F.expr(f"substring(text, part * {piece} + 1, {piece})").alias("text"))

@@ -148,6 +148,12 @@ def test_bpe_equals_library(docs, empty):
     assert bpe.encode(empty, queries.tokenizer_path()).isEmpty()
 
 
+def test_bpe_with_a_small_table():
+    t, rng = bpe.Tokenizer(queries.tokenizer_path(), 50), random.Random(2)
+    for text in (prose(rng, 300, p) for p in ("w", "x", "w")):
+        assert t.encode(text) == t.whole(text) and len(t) <= 50 and len(t._older) <= 50
+
+
 def test_tree_concatenation_on_unsplit_text():
     rng = random.Random(2)
     t = bpe.tokenizer(queries.tokenizer_path())
