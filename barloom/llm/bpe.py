@@ -1,7 +1,7 @@
 """BPE encoding by tree concatenation, and decoding.
 
 Most texts split at once into short pretokens; their ids are looked up in a bounded table that the tokenizers library
-fills. Long texts are cut in Spark into pieces that are encoded in parallel tasks. Then the pieces of a text are joined
+fills, for many texts together once for each different pretoken. Long texts are cut in Spark into pieces that are encoded in parallel tasks. Then the pieces of a text are joined
 pairwise as a tree: around each join a window of text is encoded afresh and grows until it agrees with the left piece at
 one position and with the right piece at another one; at worst it is both pieces whole, so that the result is always what
 one encoding of the whole text gives.
@@ -23,6 +23,7 @@ import re
 from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import pairwise
 from sys import byteorder
 
 import numpy as np
@@ -37,6 +38,8 @@ from .common import AT_ONCE
 PIECE = 16_384
 #: First window on either side of a join, in characters.
 MARGIN = 64
+#: Bytes of the texts that are split together, about; a longer text is alone.
+TOGETHER = 4 << 20
 #: Pretokens whose ids a worker remembers, and as many older ones; FEWER where batches of texts lie beside them.
 REMEMBERED, FEWER = 500_000, 100_000
 
@@ -46,6 +49,54 @@ FAST = re.compile(rf" ?[{LETTERS}]+|'(?:s|t|re|ve|m|ll|d)| ?[0-9]+| ?[^\s{LETTER
 #: Texts with other characters than these are left to the library whole.
 ODD = re.compile(rf"[^\t-\r -~{LETTERS}]")
 
+# The same pattern by bytes: what each byte of UTF-8 is (0: odd), where C3 leads all letters beyond ASCII.
+LETTER, DIGIT, OTHER, BLANK, WHITE = range(1, 6)
+KIND = np.zeros(256, np.uint8)
+KIND[33:127], KIND[48:58], KIND[9:14], KIND[32] = OTHER, DIGIT, WHITE, BLANK
+KIND[[*range(65, 91), *range(97, 123), 0xC3, *range(0x80, 0xC0)]] = LETTER
+KIND[[0x97, 0xB7]] = 0  # multiplication and division sign, after C3
+SHORTENED = re.compile(rb"'(?:[stmd]|re|ve|ll)")
+
+
+def _bounds(texts: pa.StringArray) -> np.ndarray:
+    """Where each text starts in the array's bytes, and the end."""
+    return np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int32)
+
+
+def _data(texts: pa.StringArray) -> tuple[bytes, np.ndarray]:
+    """The bytes of all texts, and where each starts in them, and the end."""
+    bounds, data = _bounds(texts), texts.buffers()[2]
+    first, last = int(bounds[0]), int(bounds[-1])
+    return data.slice(first, last - first).to_pybytes() if last > first else b"", bounds - bounds[0]
+
+
+def odd_bytes(data: np.ndarray) -> np.ndarray:
+    """Places of bytes that ODD's characters have, one at least of each."""
+    odd = KIND[data] == 0
+    if data.size and data.max() >= 0x80:
+        after = (data & 0xC0) == 0x80
+        odd[0] |= after[0]
+        odd[1:] |= after[1:] != (data[:-1] == 0xC3)  # bytes that follow another lead than C3
+    return np.flatnonzero(odd)
+
+
+def split(data: bytes, first: np.ndarray) -> np.ndarray:
+    """Where the matches of FAST start in texts without odd characters that stand one after another. first: where the texts start."""
+    kind = KIND[np.frombuffer(data, np.uint8)]
+    text = np.zeros(kind.size, bool)
+    text[first] = True
+    white = kind >= BLANK
+    start = text.copy()
+    # What isn't white takes a blank before it along; of a run of white space, what stands last before it is apart.
+    start[1:] |= np.where(white[1:], ~white[:-1], (kind[1:] != kind[:-1]) & (kind[:-1] != BLANK))
+    start[:-1] |= white[:-1] & ~white[1:] & ~text[1:]
+    for m in SHORTENED.finditer(data):
+        a, b = m.span()
+        if start[a] and not text[a + 1 : b].any():
+            start[a + 1] = False
+            start[b : b + 1] = True
+    return np.flatnonzero(start)
+
 
 class Tokenizer(dict):
     """The library's tokenizer with a table of pretoken -> ids as little-endian 32-bit bytes."""
@@ -64,13 +115,17 @@ class Tokenizer(dict):
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in printable]
         self._shown = {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(rest)}
+        self._points = np.array([0, *(ord(self._shown[b]) for b in range(1, 256))], "<u4")  # 0 stands between pretokens
         self._bytes: list[bytes] | None = None
         self._older: dict[str, bytes] = {}
 
-    def __missing__(self, pretoken: str) -> bytes:
-        if len(self) >= self.remembered:  # what is met again is taken over from the older half
+    def _make_room(self, n: int) -> None:
+        if len(self) + n > self.remembered:  # what is met again is taken over from the older half
             self._older = dict(self)
             self.clear()
+
+    def __missing__(self, pretoken: str) -> bytes:
+        self._make_room(1)
         found = self[pretoken] = self._older.get(pretoken) or self.pretoken(pretoken)
         return found
 
@@ -91,6 +146,26 @@ class Tokenizer(dict):
             ids.byteswap()
         return ids.tobytes()
 
+    def pretokens(self, different: list[str]) -> list[bytes]:
+        """Ids of each of many different pretokens without odd characters."""
+        found = list(map(self.get, different))
+        missing = [x for x, ids in zip(different, found) if ids is None]
+        if not missing:
+            return found
+        self._make_room(len(missing))
+        self.update((x, self._older[x]) for x in missing if x in self._older)
+        if new := [x for x in missing if x not in self]:
+            shown = self._points[np.frombuffer("\0".join(new).encode(), np.uint8)].tobytes().decode("utf-32-le").split("\0")
+            tokenize, ids, ends = self.model.tokenize, array("I"), [0]
+            for x in shown:
+                ids.extend([y.id for y in tokenize(x)])
+                ends.append(4 * len(ids))
+            if byteorder == "big":
+                ids.byteswap()
+            data = ids.tobytes()
+            self.update((x, data[a:b]) for x, (a, b) in zip(new, pairwise(ends)))
+        return [self[x] if ids is None else ids for x, ids in zip(different, found)]
+
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
@@ -100,6 +175,37 @@ class Tokenizer(dict):
             return self.whole(text)
         return b"".join(map(self.__getitem__, FAST.findall(text)))
 
+    def encode_all(self, texts: pa.StringArray) -> Iterator[bytes]:
+        """What encode() gives for each of many texts, none of them null."""
+        bounds, at = _bounds(texts).astype(np.int64), 0
+        while at < len(texts):
+            to = max(at + 1, int(np.searchsorted(bounds, bounds[at] + TOGETHER, "right")) - 1)
+            yield from self._together(texts.slice(at, to - at))
+            at = to
+
+    def _together(self, texts: pa.StringArray) -> Iterator[bytes]:
+        data, bounds = _data(texts)
+        odd = odd_bytes(np.frombuffer(data, np.uint8)).tolist()
+        if self.special:  # ends as well: what lies across two texts may hide one in the second
+            odd += [k for m in re.finditer(self.special.pattern.encode(), data) for k in (m.start(), m.end() - 1)]
+        apart = set((np.searchsorted(bounds, odd, "right") - 1).tolist())
+        if not apart:
+            yield from self._plain(data, bounds)
+            return
+        others = self._plain(*_data(texts.filter(pa.array([k not in apart for k in range(len(texts))]))))
+        for k in range(len(texts)):
+            yield self.whole(texts[k].as_py()) if k in apart else next(others)
+
+    def _plain(self, data: bytes, bounds: np.ndarray) -> Iterator[bytes]:
+        """Ids of texts without odd characters and special tokens."""
+        start = split(data, bounds[:-1][bounds[:-1] < bounds[1:]])
+        each = pa.StringArray.from_buffers(start.size, pa.py_buffer(np.append(start, len(data)).astype(np.int32)), pa.py_buffer(data)).dictionary_encode()
+        different = each.dictionary.to_numpy(zero_copy_only=False).tolist()
+        ids = pa.array(self.pretokens(different), pa.large_binary()).take(each.indices)
+        ends, ids = np.frombuffer(ids.buffers()[1], np.int64), memoryview(ids.buffers()[2] or b"")
+        for a, b in pairwise(ends[np.searchsorted(start, bounds)].tolist()):
+            yield bytes(ids[a:b])
+
     def decode(self, ids: bytes) -> str:
         if self._bytes is None:
             self._bytes = self._token_bytes()

@@ -6,7 +6,8 @@ of lengths and only what covers it is expanded. Pairs never cross documents.
 
 Each round replaces many pairs at once: a table of slots bounds what pairs can be frequent, these are counted exactly and
 ranked by count, and where two occurrences overlap the more frequent pair wins; of a run of one id every other place counts. The
-rounds end when no pair occurs LEAST times.
+rounds end when no pair occurs LEAST times. A pair's count never grows once both its ids are there, so that a round looks only at places
+of pairs that were frequent in the round before, and beside new ids.
 
 Format: one row of a Parquet table for each shard, as any store that Spark writes to takes it: bucket and shard (the
 order; a bucket is a range of ids), start_in_bucket, n_docs, n_ids, first_new (the first new id), rules (pairs of u32), lengths (u32 of each new id),
@@ -25,6 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,8 +63,8 @@ def distinct(a: np.ndarray, b: np.ndarray, ids: int) -> tuple[np.ndarray, np.nda
     packed >>= far
     new = np.append(True, packed[1:] != packed[:-1])
     first = np.flatnonzero(new)
-    which = np.empty(a.size, np.intp)
-    which[place] = np.cumsum(new) - 1
+    which = np.empty(a.size, np.int32)
+    which[place] = np.cumsum(new, dtype=np.int32) - np.int32(1)
     pairs = packed[first]
     return pairs >> wide << np.uint64(32) | pairs & ((np.uint64(1) << wide) - np.uint64(1)), which, np.diff(np.append(first, a.size))
 
@@ -75,43 +77,45 @@ def compress(ids: np.ndarray, ends: np.ndarray, vocabulary: int) -> tuple[Gramma
     seq, rules, lengths = ids.astype(np.uint32), [], []
     known = np.ones(vocabulary, np.int64)
     shift = np.uint32(32 - SLOTS.bit_length() + 1)
-    while seq.size > 1:
-        a, b = seq[:-1], seq[1:]
-        may = (a != END) & (b != END)
-        same = np.flatnonzero(a == b)
+    live = np.flatnonzero((seq[:-1] != END) & (seq[1:] != END))  # where a frequent pair may stand
+    while live.size:
+        stays = np.zeros(seq.size, bool)  # what is live in the next round
+        same = np.flatnonzero(seq[:-1] == seq[1:])
         if same.size:  # of a run of one id, every other place from its start
             k = np.arange(same.size)
             start = np.maximum.accumulate(np.where(np.append(True, np.diff(same) > 1), k, 0))
-            may[same[(k - start) & 1 == 1]] = False
+            stays[same[(k - start) & 1 == 1]] = True
+            live = live[~stays[live]]
+        a, b = seq[live], seq[live + 1]
         slot = ((a * np.uint32(2654435761)) ^ (b * np.uint32(2246822519))) * np.uint32(3266489917) >> shift
-        slot[~may] = SLOTS
-        often = np.bincount(slot, minlength=SLOTS + 1) >= LEAST
-        often[SLOTS] = False
-        at = np.flatnonzero(often[slot])
-        pairs, which, count = distinct(a[at], b[at], known.size)
+        often = (np.bincount(slot, minlength=SLOTS) >= LEAST)[slot]
+        pairs, which, count = distinct(a[often], b[often], known.size)
         if not (count >= LEAST).any():
             break
         rank = np.empty(pairs.size, np.int32)
         rank[np.argsort(-count, kind="stable")] = np.arange(pairs.size, dtype=np.int32)
         rank[count < LEAST] = pairs.size
         place = np.full(seq.size + 1, pairs.size, np.int32)  # shifted by one: place[i + 1] belongs to the pair at i
-        place[at + 1] = rank[which]
-        mine = place[at + 1]
-        wins = (mine < place[at]) & (mine < place[at + 2]) & (mine < pairs.size)
-        won = np.bincount(which[wins], minlength=pairs.size)
-        used = won >= LEAST  # the most frequent pair has all its places, so that every round makes a rule
-        wins &= used[which]
-        new = np.cumsum(used) - 1 + known.size
-        parts = np.stack([pairs[used] >> np.uint64(32), pairs[used] & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32)
+        place[live[often] + 1] = rank[which]
+        mine = place[1:-1]
+        at = np.flatnonzero((mine < place[:-2]) & (mine < place[2:]))
+        used = np.bincount(mine[at], minlength=pairs.size + 1) >= LEAST  # by rank; the most frequent pair has all its places, so that every round makes a rule
+        at = at[used[mine[at]]]
+        made = used[rank]
+        new = np.empty(pairs.size + 1, np.uint32)
+        new[rank] = np.cumsum(made) - 1 + known.size
+        parts = np.stack([pairs[made] >> np.uint64(32), pairs[made] & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32)
         rules.append(parts)
         lengths.append(known[parts].sum(1))
         known = np.concatenate([known, lengths[-1]])
-        at, which = at[wins], which[wins]
-        seq = seq.copy()  # the caller's ids stay
-        seq[at] = new[which]
+        seq[at] = new[mine[at]]
+        stays[:-1] |= mine < pairs.size
+        stays[at] = stays[np.maximum(at - 1, 0)] = True
         keep = np.ones(seq.size, bool)
         keep[at + 1] = False
         seq = seq[keep]
+        live = np.flatnonzero(stays[keep][:-1])
+        live = live[(seq[live] != END) & (seq[live + 1] != END)]
     g = Grammar(vocabulary, np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32), np.concatenate(lengths).astype(np.uint32) if lengths else np.zeros(0, np.uint32), seq)
     doc_ends = np.searchsorted(np.cumsum(symbol_lengths(g, seq)), ends) + 1
     return g, doc_ends
@@ -167,7 +171,10 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, *, id_col: str = "doc
     placed = own.repartitionByRange(partitions(docs.sparkSession), "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text")
     placed = placed.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
 
-    def shards(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "array<string>": pa.list_(pa.string())}
+    schema = pa.schema([(name, kinds[kind]) for name, kind in (c.split() for c in SHARD.split(", "))])
+
+    def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizer(tokenizer_path)
         size = t.library.get_vocab_size()
         end = np.array([END], "<u4").tobytes()
@@ -175,16 +182,16 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, *, id_col: str = "doc
         names: list[str | None] = []
         bucket, shard, start, count = TaskContext.get().partitionId(), 0, 0, 0
 
-        def flush() -> pd.DataFrame:
+        def flush() -> pa.RecordBatch:
             lens = np.array([len(x) // 4 for x in held])
             g, doc_ends = compress(np.frombuffer(b"".join(held), "<u4"), np.cumsum(lens), size)
             width = 2 if g.first_new + len(g.rules) <= 65_536 else 4
             row = (bucket, shard, start, len(held), int(lens.sum()), g.first_new, g.rules.astype("<u4").tobytes(), g.lengths.astype("<u4").tobytes(), width, g.sequence.astype(f"<u{width}").tobytes(), np.append(0, doc_ends).astype("<u4").tobytes(), list(names))
-            return pd.DataFrame([row], columns=[c.split()[0] for c in SHARD.split(", ")])
+            return pa.RecordBatch.from_pylist([dict(zip(schema.names, row))], schema)
 
         for b in batches:
-            for name, x in zip(b["doc_id"].tolist(), b["text"].tolist()):
-                ids = t.encode(x) + end
+            for name, x in zip(b.column("doc_id").to_pylist(), t.encode_all(b.column("text").cast(pa.string()))):
+                ids = x + end
                 if held and count + len(ids) // 4 > shard_ids:
                     yield flush()
                     shard, start = shard + 1, start + count
@@ -195,7 +202,7 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, *, id_col: str = "doc
         if held:
             yield flush()
 
-    placed.mapInPandas(shards, SHARD).write.parquet(path)
+    placed.mapInArrow(shards, SHARD).write.parquet(path)
 
 
 def starts(spark: SparkSession, path: str) -> DataFrame:

@@ -547,3 +547,37 @@ def test_distinct_pairs_as_by_unique():
         if n:
             a[0] = b[0] = ids - 1
         assert all(np.array_equal(x, y) for x, y in zip(repair.distinct(a, b, ids), by_unique(a, b)))
+
+
+def test_texts_together_are_encoded_as_the_library_does(monkeypatch):
+    """Each different pretoken of a group of texts is looked up once, not each occurrence."""
+    import pyarrow as pa
+
+    t, rng = bpe.Tokenizer(queries.tokenizer_path(), 50), random.Random(8)
+    plain = ["a", "Z", "é", "ÿ", "0", "12", " ", "  ", "\n", "\t", "\r\n", "\x0b", "'", "'s", "'re", "'LL", "''", "-", "!?", "word", " word", " 's", "\n's", "'st"]
+    odd = ["中", "×", "÷", "\x00", "\x1c", " ", "é", "😀", t.specials[0], t.specials[0][:5], "\x7f", "ª"]
+    for k in range(400):
+        texts = ["".join(rng.choice(odd if rng.random() < 0.03 and k % 2 else plain) for _ in range(rng.randrange(25))) for _ in range(rng.randrange(9))]
+        monkeypatch.setattr(bpe, "TOGETHER", rng.choice([1, 40, 1 << 20]))
+        assert list(t.encode_all(pa.array(["left out", *texts], pa.string()).slice(1))) == [t.whole(x) for x in texts], texts
+        for x in texts:
+            if x and not bpe.ODD.search(x):
+                at = bpe.split(x.encode(), np.array([0])).tolist()
+                assert [x.encode()[i:j].decode() for i, j in zip(at, [*at[1:], None])] == bpe.FAST.findall(x)
+    asked = []
+    monkeypatch.setattr(t, "pretokens", lambda different, f=t.pretokens: (asked.append(different), f(different))[1])
+    assert list(t.encode_all(pa.array(["one two two one"] * 500))) == [t.whole("one two two one")] * 500
+    assert [sorted(x) for x in asked] == [[" one", " two", "one"]]
+
+
+def test_repair_counts_rare_pairs_once(monkeypatch):
+    """Places of pairs that aren't frequent are left out of later rounds, also where the table of slots lets all through."""
+    rng = np.random.default_rng(6)
+    ids = np.append(rng.permutation(40_000) + 100, np.tile(np.arange(1, 65), 64))
+    ids = np.append(ids, repair.END).astype(np.uint32)
+    sizes = []
+    monkeypatch.setattr(repair, "SLOTS", 2)
+    monkeypatch.setattr(repair, "distinct", lambda a, b, n, f=repair.distinct: (sizes.append(a.size), f(a, b, n))[1])
+    g, at = repair.compress(ids, np.array([ids.size]), 50_000)
+    assert (repair.expand(g, g.sequence) == ids).all() and at.tolist() == [g.sequence.size]
+    assert len(sizes) > 3 and sizes[0] > 40_000 and sum(sizes[1:]) < 2 * sizes[0]
