@@ -90,11 +90,10 @@ def split(data: bytes, first: np.ndarray) -> np.ndarray:
     # What isn't white takes a blank before it along; of a run of white space, what stands last before it is apart.
     start[1:] |= np.where(white[1:], ~white[:-1], (kind[1:] != kind[:-1]) & (kind[:-1] != BLANK))
     start[:-1] |= white[:-1] & ~white[1:] & ~text[1:]
-    for m in SHORTENED.finditer(data):
-        a, b = m.span()
-        if start[a] and not text[a + 1 : b].any():
-            start[a + 1] = False
-            start[b : b + 1] = True
+    a, b = np.array([m.span() for m in SHORTENED.finditer(data)], np.int64).reshape(-1, 2).T
+    own = start[a] & ~text[a + 1] & ~text[b - 1]  # of two or three characters, in one text
+    start[a[own] + 1] = False
+    start[b[own & (b < kind.size)]] = True
     return np.flatnonzero(start)
 
 
